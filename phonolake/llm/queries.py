@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records
+from . import fingerprints, gif, mixing, packing, records, sharding, suffixes
 from .common import documents
 
 
@@ -16,11 +16,40 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), "mix_n", "mix_copy", "mix_key")
+
+
+def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
+def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffle_to_shards(documents(spark, sf_dir))
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    return placed.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store_texts(documents(spark, sf_dir)))
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, read = records.encode_to_folder(documents(spark, sf_dir))
     digests = read.select("file", "record", "doc_id", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
     return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_best_fit, op8_binary_records)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records)
+}
+ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL}
