@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, gif, mixing, packing, records, sharding, suffixes
+from . import fingerprints, gif, langid, mixing, packing, records, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -22,6 +22,17 @@ def op2_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _fold(n: int) -> Column:
+    """crc32 of the id as text, mod n; ids that are null are in no fold."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), "mix_n", "mix_copy", "mix_key")
@@ -48,8 +59,14 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records)
+    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op3_marginal_unigram_langid, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records, op9_compression_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL}
