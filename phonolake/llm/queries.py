@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, gif, langid, mixing, packing, records, sharding, suffixes, toxicity
+from . import fingerprints, forest, gif, langid, mixing, packing, records, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -65,8 +65,12 @@ def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op3_marginal_unigram_langid, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records, op9_compression_toxicity)
+    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op3_marginal_unigram_langid, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records, op9_compression_toxicity, op10_lsh_forest)
 }
 ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL}
