@@ -10,20 +10,20 @@ many windows pass the calibrated excess.
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_rows
 
 #: Labelled documents that dictionaries and calibration are fitted on, at most, about.
-SAMPLE_DOCS = 9_000
+SAMPLE_DOCS = 8_000
 ORDINARY_BYTES = 65_536
 TOXIC_BYTES = 4_096
 LEVEL = 13
@@ -109,30 +109,38 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool], seed: int = 7
     Surroundings (the word before) are counted instead of texts, so that copies of a text count once.
     """
     rng = random.Random(seed)
-    seen: dict[bool, dict[str, set[str]]] = {True: defaultdict(set), False: defaultdict(set)}
-    stems: dict[bool, dict[str, set[tuple[str, str]]]] = {True: defaultdict(set), False: defaultdict(set)}
+    seen: dict[str, set[int]] = defaultdict(set)  # hashes of surroundings, in toxic texts
+    stems: dict[str, set[int]] = defaultdict(set)
+    plain: Counter[str] = Counter()
+    plain_stems: Counter[str] = Counter()
     size: Counter[bool] = Counter()
-    for t in sorted({(t, bool(y)) for t, y, c in zip(texts, toxic, calibrate, strict=True) if not c}):
-        ws = windows(t[0])
-        size[t[1]] += len(ws)
+    for i in sorted(range(len(texts)), key=lambda i: texts[i]):
+        if calibrate[i]:
+            continue
+        ws = windows(texts[i])
+        size[bool(toxic[i])] += len(ws)
+        if not toxic[i]:
+            plain.update(ws)
+            plain_stems.update(w[:STEM] for w in ws if len(w) > STEM)
+            continue
         for before, w in zip([""] + ws, ws, strict=False):
-            seen[t[1]][w].add(before)
+            seen[w].add(zlib.crc32(before.encode("utf-8", "surrogatepass")))
             if len(w) > STEM:
-                stems[t[1]][w[:STEM]].add((before, w))
+                stems[w[:STEM]].add(zlib.crc32(f"{before}{w}".encode("utf-8", "surrogatepass")))
 
-    def lift(of: dict[bool, dict[str, set]], x: str) -> float:
-        return (len(of[True][x]) / max(1, size[True])) / ((len(of[False].get(x, ())) + 1) / max(1, size[False]))
+    def lift(n: int, ordinary: int) -> float:
+        return (n / max(1, size[True])) / ((ordinary + 1) / max(1, size[False]))
 
-    rooted = {x for x in stems[True] if len(stems[True][x]) >= 4 and lift(stems, x) >= 8}
-    marked = [w for w in sorted(seen[True]) if w[:STEM] in rooted or len(seen[True][w]) >= 3 and lift(seen, w) >= 5]
-    plain = [w for w in sorted(seen[False]) for _ in range(min(len(seen[False][w]), 40))]
-    if len(plain) > 250_000:
-        plain = rng.sample(plain, 250_000)
-    model = Model(_dictionary(plain, ORDINARY_BYTES, rng), _dictionary([w for w in marked for _ in range(min(len(seen[True][w]), 400))], TOXIC_BYTES, rng), [0.0] * 6, [0.0] * 5, [1.0] * 5, 4.0)
+    rooted = {x for x, c in stems.items() if len(c) >= 4 and lift(len(c), plain_stems[x]) >= 8}
+    marked = [w for w in sorted(seen) if w[:STEM] in rooted or len(seen[w]) >= 3 and lift(len(seen[w]), plain[w]) >= 5]
+    known = sorted(plain)
+    usual = rng.choices(known, [min(plain[w], 40) for w in known], k=200_000) if known else []
+    model = Model(_dictionary(usual, ORDINARY_BYTES, rng), _dictionary([w for w in marked for _ in range(min(len(seen[w]), 400))], TOXIC_BYTES, rng), [0.0] * 6, [0.0] * 5, [1.0] * 5, 4.0)
+    del seen, stems, plain, plain_stems, known, usual
     held = [(t, y) for t, y, c in zip(texts, toxic, calibrate, strict=True) if c]
     if not held:
         return model
-    scorer, y = Scorer(model), np.array([float(y) for _, y in held])
+    scorer, y = Scorer(model, 100_000), np.array([float(y) for _, y in held])
     tops = np.array([scorer.excess(windows(t)).max(initial=0.0) for t, _ in held])
     limits = np.arange(2.0, 13.0)
     right = [((tops >= v) == (y > 0)).mean() for v in limits]
@@ -163,22 +171,32 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 _scorers: dict[int, Scorer] = {}
 
 
+def score_column(spark: SparkSession, model: Model):
+    """A function of a text column that gives each whole text's score."""
+    shared = spark.sparkContext.broadcast(model)  # of a fixed size: two dictionaries and a few numbers
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        m = shared.value
+        key = hash((m.ordinary, m.toxic, tuple(m.weights)))
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(m)
+        return texts.map(_scorers[key].score)
+
+    return of
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) for every document, from its whole text.
 
     Null and empty texts have no window and get the score that this has; null ids and repeated rows are kept; an
     empty table gives no rows; other columns are not read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: two dictionaries and a few numbers
+    return text_rows(df, id_col, text_col).select("doc_id", score_column(df.sparkSession, model)("text").alias("score"))
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        key = hash((m.ordinary, m.toxic, tuple(m.weights)))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(m)
-        one = _scorers[key].score
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": [one(t) for t in pdf["text"]]})
 
-    return text_rows(df, id_col, text_col).mapInPandas(task, "doc_id long, score double")
+def drop_toxic(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose texts score less than limit, with all their columns."""
+    scored = df.withColumn("_toxicity", score_column(df.sparkSession, model)(F.coalesce(F.col(text_col), F.lit(""))))
+    return scored.where(F.col("_toxicity") < limit).drop("_toxicity")
