@@ -54,9 +54,9 @@ def op7_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, read = records.encode_to_folder(documents(spark, sf_dir))
+    read, index = records.encode_to_folder(documents(spark, sf_dir))
     digests = read.select("file", "record", "doc_id", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
-    return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return records.with_starts(digests, index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A shard file is a run of records; each is framed as
     length of the payload (8 bytes), masked CRC-32 of those 8 bytes (4 bytes), payload, masked CRC-32 of the payload (4 bytes),
 all little-endian. A payload is the document's number (8 bytes, signed), a null mark (1 byte), the bytes per id
-(1 byte), and the ids. The index of a shard holds one row for each record: shard, place, length, ids. With it a
+(1 byte), and the ids. The index of a shard holds one row for each record: file, record, place, length, ids. With it a
 reader can open any record by itself, in any order.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import scratch_dir, text_rows
 from .tokens import SPACED_WORDS, default_path, encoder
 
-INDEX = "shard int, record int, place long, length long, n_tokens long"
+INDEX = "file string, record int, place long, length long, n_tokens long"
 _MASK_DELTA = 0xA282EAD8  # fixed value of the masked-checksum format
 
 
@@ -93,12 +93,13 @@ def write_records(df: DataFrame, folder: str, tokenizer: str | None = None, end_
 
         def flush() -> pd.DataFrame:
             nonlocal n, buffer, index
-            name = f"{folder}/part-{me:07d}-{n:05d}"
-            out = pd.DataFrame(index, columns=["shard", "record", "place", "length", "n_tokens"]).astype({"shard": "int32", "record": "int32"})
-            write_bytes(f"{name}.rec", bytes(buffer))
+            name = f"part-{me:07d}-{n:05d}"
+            out = pd.DataFrame(index, columns=["record", "place", "length", "n_tokens"]).astype({"record": "int32"})
+            out.insert(0, "file", f"{name}.rec")
+            write_bytes(f"{folder}/{name}.rec", bytes(buffer))
             sink = io.BytesIO()
             pq.write_table(pa.Table.from_pandas(out, preserve_index=False), sink)
-            write_bytes(f"{name}.idx", sink.getvalue())
+            write_bytes(f"{folder}/{name}.idx", sink.getvalue())
             n, buffer, index = n + 1, bytearray(), []
             return out
 
@@ -108,7 +109,7 @@ def write_records(df: DataFrame, folder: str, tokenizer: str | None = None, end_
                 for d, ids in zip(docs.iloc[i : i + 256], e.encode(pdf["text"].iloc[i : i + 256].tolist()), strict=True):
                     ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
                     record = frame(serialize(None if d is pd.NA else int(d), ids, width))
-                    index.append((me, len(index), len(buffer), len(record), len(ids)))
+                    index.append((len(index), len(buffer), len(record), len(ids)))
                     buffer += record
                     if len(buffer) >= shard_bytes:
                         yield flush()
@@ -142,25 +143,25 @@ def read_records(spark, folder: str) -> DataFrame:
     return files.mapInPandas(task, "file string, record long, doc_id long, token_ids binary, n_tokens long")
 
 
-def with_starts(records: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
     """Adds start: the ids of all documents before each one, in file order.
 
-    Sums by file (one row for each file, however many documents there are) are summed on; within a file the window
-    is partitioned by the file.
+    The index's sums by file (one row for each file, however many documents there are) are summed on; within a file
+    the window is partitioned by the file.
     """
-    by_file = records.groupBy("file").agg(F.sum("n_tokens").alias("_in_file"))
+    by_file = index.groupBy("file").agg(F.sum("n_tokens").alias("_in_file"))
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = by_file.select("file", F.coalesce(F.sum("_in_file").over(w), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("file").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "file").withColumn("start", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def encode_to_folder(df: DataFrame, **kw) -> tuple[str, DataFrame]:
-    """Writes to a fresh shared folder; (folder, documents read back)."""
+def encode_to_folder(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """Writes to a fresh shared folder; (documents read back, index)."""
     spark = df.sparkSession
     folder = scratch_dir(spark, "records")
-    index = write_records(df, folder, **kw)
-    index.write.parquet(f"{folder}/index")
-    if spark.read.schema(INDEX).parquet(f"{folder}/index").limit(1).count() == 0:
-        return folder, spark.createDataFrame([], "file string, record long, doc_id long, token_ids binary, n_tokens long")
-    return folder, read_records(spark, folder)
+    write_records(df, folder, **kw).write.parquet(f"{folder}/index")
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    if not index.limit(1).count():
+        return spark.createDataFrame([], "file string, record long, doc_id long, token_ids binary, n_tokens long"), index
+    return read_records(spark, folder), index

@@ -64,12 +64,12 @@ class Encoder:
                 edges.append(1 if self.spaced or not m[1] else 2)
             else:
                 rest.append(u)
-        for i in range(0, len(plain), 2000):
-            got = self._together(plain[i : i + 2000], edges[i : i + 2000])
+        for i in range(0, len(plain), 400):
+            got = self._together(plain[i : i + 400], edges[i : i + 400])
             if got is None:
-                rest += plain[i : i + 2000]
+                rest += plain[i : i + 400]
             else:
-                self.known.update(zip(plain[i : i + 2000], got, strict=True))
+                self.known.update(zip(plain[i : i + 400], got, strict=True))
         for i in range(0, len(rest), 1000):
             for u, e in zip(rest[i : i + 1000], self.tokenizer.encode_batch_fast(rest[i : i + 1000], add_special_tokens=False), strict=True):
                 self.known[u] = np.array(e.ids, dtype="<u4").tobytes()
