@@ -297,3 +297,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     out = rows.select("doc_id", "n_shingles", "root").join(first, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of one document from each group of near-duplicates (the one with the smallest id), with all their columns.
+
+    Rows of one id are one document, of which repeated rows (equal in all columns) are dropped; rows without an id stay.
+    """
+    found = near_duplicates(df, size, percent, id_col, text_col)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    rest = df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rest = rest.dropDuplicates()
+    return rest

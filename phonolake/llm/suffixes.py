@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_rows
 
-REACH = 256
+#: Bytes that the rolling hash covers.
 GRAM = 16
 #: Of a seed with more different surroundings than this, the windows are split.
 MOST_TOGETHER = 512
@@ -39,12 +39,20 @@ CHUNK = 16_384
 SPLITS = (32, 4, 1)
 
 _byte = np.random.default_rng(11).integers(1 << 32, size=256, dtype=np.uint32)
+
+
+def reach_of(length: int) -> int:
+    """REACH for windows of `length` bytes: the greatest power of two of which a seed is left that is long enough to tell."""
+    return 1 << (2 * length // 3).bit_length() - 1
+
+
 _context = "doc_id long, key binary, a int, lo int, hi int, n long, ctx binary, seed long, hull long"
 
 
 def triggers(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, lo, hi): the triggers and, for each, the least and greatest r so that the window from a - r is its own."""
-    n = len(t) - length + REACH  # positions that may be triggers
+    reach = reach_of(length)
+    n = len(t) - length + reach  # positions that may be triggers
     h = _byte[t[: n + GRAM - 1]]
     step = 1
     while step < GRAM:
@@ -54,7 +62,7 @@ def triggers(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     h *= np.uint32(0x85EBCA6B)
     v = h.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
     step = 1
-    while step < REACH:
+    while step < reach:
         v = np.minimum(v[:-step], v[step:])
         step *= 2
     at = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)  # by window; never falls
@@ -72,7 +80,7 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
     """The triggers of every text: doc_id, key (the text's digest), a, lo, hi, seed, hull."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h64, own = xxhash.xxh3_64_intdigest, length - REACH + 1
+        h64, own = xxhash.xxh3_64_intdigest, length - reach_of(length) + 1
         columns = ["doc_id", "key", "a", "lo", "hi", "seed", "hull"]
         for pdf in batches:
             parts, held = [], 0
@@ -105,8 +113,8 @@ def repeated_windows(ctx: list[bytes], lo: np.ndarray, hi: np.ndarray, n: np.nda
 
     n: how often each context occurs.
     """
-    m = len(ctx)
-    right, left = np.zeros((m, length), np.uint8), np.zeros((m, REACH), np.uint8)
+    m, reach = len(ctx), reach_of(length)
+    right, left = np.zeros((m, length), np.uint8), np.zeros((m, reach), np.uint8)
     for i, (c, q) in enumerate(zip(ctx, hi.tolist(), strict=True)):
         b = np.frombuffer(c, np.uint8)
         right[i, : len(b) - q] = b[q:]
@@ -122,7 +130,7 @@ def repeated_windows(ctx: list[bytes], lo: np.ndarray, hi: np.ndarray, n: np.nda
     parse_order, parse_lcp = suffix_array(right)
     phrase_order, phrase_lcp = suffix_array(left)
     parse_class, phrase_class = np.empty(m, np.int64), np.empty(m, np.int64)
-    out = np.zeros((m, REACH), bool)
+    out = np.zeros((m, reach), bool)
     for r in range(int(lo.min()), int(hi.max()) + 1):
         here = np.flatnonzero((lo <= r) & (r <= hi))
         if not len(here):
@@ -260,3 +268,26 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
 def digest(kept: bytes) -> str:
     return hashlib.sha256(kept).hexdigest()
+
+
+def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+    """The same rows with repeated passages cut out of their texts; characters cut apart go. All other columns stay."""
+    keyed = df.withColumn("_key", F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
+    docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spans = materialize(repeated_spans(docs, length), "spans").select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, spans, strict=True):
+            if found is not None:
+                raw = text.encode()
+                edges = [0, *(x for s in _merged(found) for x in s), len(raw)]
+                text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    out = keyed.join(spans, "_key", "left").withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).drop("_key", "_spans")
+    if n_chars_col in df.columns:
+        out = out.withColumn(n_chars_col, F.coalesce(F.length(text_col), F.lit(0)).cast(df.schema[n_chars_col].dataType))
+    return out.select(df.columns)
