@@ -1 +1,124 @@
+"""Text, pronunciation and sequence queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import g2p, sequences
+from ..functions.exprs import WORD, turkish_lower, words
+from .adapters import table
+
 Q, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+_W = "regexp_extract_all(text, '" + WORD.replace("'", "''") + "')"
+
+
+def document_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+
+
+@query(f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_W}) AS word FROM documents) GROUP BY word")
+def tokens(spark, d):
+    return document_words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"SELECT doc_id, array_to_string({_W}[1:6], ' ') AS first_words, len({_W}) AS n_words FROM documents")
+def listagg_words(spark, d):
+    w = words(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(w, 1, 6), " ").alias("first_words"), F.size(w).cast("long").alias("n_words"))
+
+
+_LETTERS = "list_extract([" + ", ".join(f"'{x}'" for x in g2p.PHONES) + "], list_position([" + ", ".join(f"'{x}'" for x in g2p.LETTERS) + "], c))"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest({_W}) AS word FROM documents))
+SELECT word, replace(list_aggregate(list_filter(list_transform(regexp_split_to_array(lower(translate(word, 'Iİ', 'ıi')), ''), lambda c: CASE WHEN c = 'x' THEN 'ks' ELSE {_LETTERS} END), lambda p: p IS NOT NULL), 'string_agg', ''), '~', '') AS phones FROM w""")
+def grapheme_map(spark, d):
+    distinct = document_words(spark, d).select("word").distinct()
+    phones = g2p.seed(F.col("word"))
+    return distinct.select("word", F.when(phones != "", phones).alias("phones"))
+
+
+@query()
+def g2p_full(spark, d):
+    """Distinct words with their phones; held against golden words and a plain fold in the tests."""
+    return g2p.pronounce(document_words(spark, d), "word")
+
+
+@query()
+def phone_inventory_counts(spark, d):
+    """Phones of all words of the corpus: distinct words are transcribed once and weighted by their counts."""
+    n = document_words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    coded = n.select("n", F.explode(g2p.strip_stress(g2p.phones(g2p.transcribe(F.col("word"))))).alias("phone"))
+    return coded.groupBy("phone").agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, list_slice(list_transform({_W}, lambda w: lower(w)), 1, 40) AS tok FROM conversations), p AS (SELECT conv_id % 5 AS grp, a.tok AS r, b.tok AS h FROM t a JOIN t b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1),
+q AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM p), e AS (SELECT grp, len(r) AS ref_len, levenshtein(list_aggregate(list_transform(r, lambda x: chr((32 + list_position(v, x))::INTEGER)), 'string_agg', ''), list_aggregate(list_transform(h, lambda x: chr((32 + list_position(v, x))::INTEGER)), 'string_agg', '')) AS edits FROM q WHERE len(r) > 0 AND len(h) > 0)
+SELECT grp, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, sum(edits)::DOUBLE / sum(ref_len) AS error_rate FROM e GROUP BY grp""")
+def token_error_rate(spark, d):
+    edits = _pairs(spark, d).select("grp", F.size("r").alias("ref_len"), sequences.token_edits(F.col("r"), F.col("h")).alias("edits"))
+    return edits.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"), (F.sum("edits") / F.sum("ref_len")).alias("error_rate"))
+
+
+def _pairs(spark, d):
+    """User turns with the assistant turn that follows, by one window over the conversation."""
+    low = F.slice(F.transform(words(F.col("text")), lambda w: F.lower(w)), 1, 40)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", low.alias("r"))
+    t = t.withColumn("h", F.lead("r").over(w)).withColumn("next", F.lead(F.struct("role", "turn")).over(w))
+    t = t.where((F.col("role") == "user") & (F.col("next.role") == "assistant") & (F.col("next.turn") == F.col("turn") + 1))
+    return t.select((F.col("conv_id") % 5).alias("grp"), "r", "h").where((F.size("r") > 0) & (F.size("h") > 0))
+
+
+@query()
+def confusion_pairs(spark, d):
+    """Edit operations between turns by kind and tokens; their numbers add up to the edit distances (tested)."""
+    ops = _pairs(spark, d).select("grp", F.explode(sequences.align("r", "h")).alias("e"))
+    return ops.groupBy("grp", "e.op", "e.target", "e.predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def viterbi_paths(spark, d):
+    """Each label's vectors in id order as frames over three targets."""
+    frames = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("utterance")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("x")))).alias("f"))
+    return frames.select("utterance", sequences.viterbi(F.transform("f", lambda s: s["x"]), F.lit(3)).alias("path"))
+
+
+@query("""SELECT doc_id, lang, source FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), 'pass') AND source <> 'src1'""")
+def search_filter(spark, d):
+    hay = F.lower(F.concat_ws(" ", "lang", "source", "text"))
+    return table(spark, d, "documents").where(F.contains(hay, F.lit("pass")) & (F.col("source") != "src1")).select("doc_id", "lang", "source")
+
+
+@query("""SELECT key, count(*) AS n, sum(CAST(json_extract_string(props, '$.' || key) AS BIGINT))::BIGINT AS total FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY key""")
+def json_flatten(spark, d):
+    pairs = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("""SELECT CASE WHEN text LIKE '%password%' THEN 'secret' WHEN length(text) < 60 THEN 'too_short' WHEN lang = 'fr' THEN 'other_language' ELSE 'keep' END AS route, count(*) AS n FROM documents GROUP BY 1""")
+def reject_routing(spark, d):
+    route = F.when(F.contains("text", F.lit("password")), "secret").when(F.length("text") < 60, "too_short").when(F.col("lang") == "fr", "other_language").otherwise("keep")
+    return table(spark, d, "documents").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT DISTINCT source AS value FROM documents ORDER BY value""")
+def filter_options(spark, d):
+    return table(spark, d, "documents").select(F.col("source").alias("value")).distinct().orderBy("value")
+
+
+@query(f"""SELECT lower(translate(w, 'Iİ', 'ıi')) AS word, count(*) AS n FROM (SELECT unnest({_W}) AS w FROM documents WHERE lang = 'de') GROUP BY 1 HAVING count(*) > 20""")
+def turkish_lower_counts(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'de'").select(F.explode(words(F.col("text"))).alias("w"))
+    return docs.groupBy(turkish_lower(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n > 20")
