@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_edits(ref: Column, hyp: Column) -> Column:
@@ -15,7 +16,7 @@ def token_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(code(ref), code(hyp))
 
 
-EDITS = "array<struct<op:string,target:string,predicted:string>>"
+EDITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "target", "predicted")]))
 
 
 def _edits(target: list[str], predicted: list[str]) -> list[dict]:
@@ -46,7 +47,7 @@ def align(target: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series([_edits(list(t), list(p)) for t, p in zip(target, predicted, strict=True)])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def viterbi(scores: pd.Series, n_targets: pd.Series) -> pd.Series:
     """Monotonic path through frames (arrays of log scores of each target): stay or advance, each target at least one frame, staying on ties. Empty if there are fewer frames than targets."""
 
