@@ -77,12 +77,12 @@ def shingles(text: str, size: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values of each set (none may be empty), 32 bits each."""
+    """MinHash values of each set (none may be empty): of each least value the low 16 bits, which are as good as random."""
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), _values), np.uint32)
+    out = np.empty((len(sets), _values), np.uint16)
     for k in range(_values):
         x = ((flat * _mul[k] + _add[k]) >> np.uint64(32)).astype(np.uint32)
-        out[:, k] = np.minimum.reduceat(x, starts)
+        out[:, k] = (np.minimum.reduceat(x, starts) & np.uint32(0xFFFF)).astype(np.uint16)
     return out
 
 
@@ -107,23 +107,36 @@ def _sign(df: DataFrame, size: int) -> DataFrame:
     return df.mapInPandas(task, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
+def _keys(own: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """A hash of each row's first `depth` values in the tree's order."""
+    import xxhash
+
+    raw = np.ascontiguousarray(own[:, _order[tree][:depth]])
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), tree << 8 | depth) for r in raw], np.uint64).view(np.int64)
+
+
 def _nodes(classes: DataFrame) -> DataFrame:
-    """id, tree and the keys of the prefixes at all depths, k0 (shallowest) and on."""
+    """tree, id, node (the key of the shallowest prefix) of every class in every tree."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
-            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), _values)
+            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint16).reshape(len(pdf), _values)
             for t in range(TREES):
-                own = np.ascontiguousarray(sig[:, _order[t]])
-                out = {"id": pdf["id"], "tree": t}
-                for j, d in enumerate(DEPTHS):
-                    raw = np.ascontiguousarray(own[:, :d])
-                    out[f"k{j}"] = np.array([xxhash.xxh3_64_intdigest(r.tobytes(), t << 8 | j) for r in raw], np.uint64).view(np.int64)
-                yield pd.DataFrame(out)
+                yield pd.DataFrame({"tree": t, "id": pdf["id"], "node": _keys(sig, t, DEPTHS[0])})
+
+    return classes.select("id", "signature").mapInPandas(task, "tree int, id binary, node long")
+
+
+def _deeper(rows: DataFrame, sig: DataFrame, depth: int) -> DataFrame:
+    """The rows with the key of a longer prefix."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, part in pdf.groupby("tree"):
+                own = np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(len(part), _values)
+                yield pd.DataFrame({"tree": t, "id": part["id"], "node": _keys(own, t, depth)})
 
-    return classes.select("id", "signature").mapInPandas(task, "id binary, tree int, " + ", ".join(f"k{j} long" for j in range(len(DEPTHS))))
+    return rows.select("tree", "id").join(sig, "id").select("tree", "id", "signature").mapInPandas(task, "tree int, id binary, node long")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,7 +149,7 @@ def _leaf_pairs(members: DataFrame, least: float) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(rows: pd.DataFrame) -> pd.DataFrame:
             ids = rows["id"].to_numpy()
-            sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), _values)
+            sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), _values)
             leaf, out = rows["leaf"].to_numpy(), [empty]
             for gap in range(1, LEAF):  # rows are sorted by leaf: all pairs of a leaf, gap by gap
                 same = np.flatnonzero(leaf[gap:] == leaf[:-gap])
@@ -168,15 +181,15 @@ def _neighbour_pairs(deep: DataFrame, sig: DataFrame, least: float) -> DataFrame
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), _values)
+            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint16).reshape(len(pdf), _values)
             further = sig[np.arange(len(pdf))[:, None], _order[pdf["tree"].to_numpy()][:, DEEPEST:]]
-            yield pdf.assign(further=[r.tobytes() for r in further.astype(">u4")])
+            yield pdf.assign(further=[r.tobytes() for r in further.astype(">u2")])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = pd.DataFrame()
         for pdf in batches:
             rows = pd.concat([before, pdf], ignore_index=True)
-            sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), _values)
+            sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), _values)
             node, ids = rows["node"].to_numpy(), rows["id"].to_numpy()
             for gap in range(1, NEIGHBOURS + 1):
                 near = np.flatnonzero(node[gap:] == node[:-gap])
@@ -194,12 +207,12 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
     level = materialize(_nodes(classes), "nodes")
     sig = classes.select("id", "signature")
     leaves, large = [], []
-    for j in range(len(DEPTHS)):
-        size = level.groupBy(f"k{j}").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        here = level.join(size, f"k{j}")
-        leaves.append(here.where(F.col("size") <= LEAF).select(F.col(f"k{j}").alias("leaf"), "id"))
-        level = materialize(here.where(F.col("size") > LEAF).drop("size"), f"large-{j}")
-        large.append(level.select(F.col(f"k{j}").alias("node"), "tree", "id"))
+    for depth in (*DEPTHS[1:], None):
+        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        here = level.join(size, "node")
+        leaves.append(here.where(F.col("size") <= LEAF).select(F.col("node").alias("leaf"), "id"))
+        large.append(materialize(here.where(F.col("size") > LEAF).select("node", "tree", "id"), "large"))
+        level = materialize(_deeper(large[-1], sig, depth), "deeper") if depth else None
     small = leaves[0]
     for x in leaves[1:]:
         small = small.unionByName(x)
