@@ -323,3 +323,16 @@ def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
         rest = rest.dropDuplicates()
     return rest
+
+
+#: The same for three-word shingles and 85 percent, comparing all documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u)
+SELECT n.doc_id, n.n AS n_shingles, m.u AS component_id, n.doc_id = m.u AS kept FROM n JOIN (SELECT v, min(u) AS u FROM r GROUP BY v) m ON m.v = n.doc_id
+"""

@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pack_best_fit, op2_prefix_free_dedup, op3_marginal_unigram_langid, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records, op9_compression_toxicity, op10_lsh_forest)
 }
-ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op10_lsh_forest": forest.SQL}
