@@ -12,8 +12,8 @@ from phonolake.llm import forest, mixing, packing, suffixes, toxicity
 from phonolake.llm.common import documents, materialize
 from phonolake.session import ship
 
-#: Bytes of a passage that counts as repeated: less than any run of 50 words has.
-PASSAGE = 200
+#: Bytes of a passage that counts as repeated: fewer than 50 words usually have.
+PASSAGE = 256
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +27,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+_inside: ContextVar[str | None] = ContextVar("_inside", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables materialized within are removed at the end, but for those to keep."""
     path = scratch_dir(spark, name)
+    token = _inside.set(path)
+    try:
+        yield
+    finally:
+        _inside.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+    spark, inside = df.sparkSession, _inside.get()
+    path = scratch_dir(spark, name) if keep or not inside else f"{inside}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import materialize, scratch, text_rows
 
 TREES = 28
 #: A tree's depths, in MinHash values: the first is what candidates share at least.
@@ -299,17 +299,19 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     kept is then true); an empty table gives no rows; other columns are not read.
     """
     docs = text_rows(df, id_col, text_col)
-    signed = materialize(_sign(docs, size), "signed")
-    classes = signed.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(F.first("signature").alias("signature"))
-    classes = materialize(classes, "set-classes")
-    pairs = materialize(candidates(classes, percent / 100 - SLACK), "pairs")
-    links = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
-    linked = components(links)
-    rows = signed.join(linked.select(F.col("id").alias("set_key"), "component"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
-    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "root").join(first, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    with scratch(df.sparkSession, "forest"):
+        signed = materialize(_sign(docs, size), "signed")
+        classes = signed.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(F.first("signature").alias("signature"))
+        classes = materialize(classes, "set-classes")
+        pairs = materialize(candidates(classes, percent / 100 - SLACK), "pairs")
+        links = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
+        linked = components(links)
+        rows = signed.join(linked.select(F.col("id").alias("set_key"), "component"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
+        first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        out = rows.select("doc_id", "n_shingles", "root").join(first, "root", "left")
+        component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+        return materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "near-duplicates", keep=True)
 
 
 def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

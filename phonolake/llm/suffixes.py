@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import materialize, scratch, text_rows
 
 #: Bytes that the rolling hash covers.
 GRAM = 16
@@ -42,8 +42,8 @@ _byte = np.random.default_rng(11).integers(1 << 32, size=256, dtype=np.uint32)
 
 
 def reach_of(length: int) -> int:
-    """REACH for windows of `length` bytes: the greatest power of two of which a seed is left that is long enough to tell."""
-    return 1 << (2 * length // 3).bit_length() - 1
+    """REACH for windows of `length` bytes: three quarters of them, so that seeds are long enough to tell."""
+    return max(8, 3 * length // 4 // 32 * 32)
 
 
 _context = "doc_id long, key binary, a int, lo int, hi int, n long, ctx binary, seed long, hull long"
@@ -62,9 +62,11 @@ def triggers(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     h *= np.uint32(0x85EBCA6B)
     v = h.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
     step = 1
-    while step < reach:
+    while 2 * step <= reach:
         v = np.minimum(v[:-step], v[step:])
         step *= 2
+    if step < reach:  # two windows of `step` that overlap
+        v = np.minimum(v[: -(reach - step)], v[reach - step :])
     at = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)  # by window; never falls
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     last = np.append(first[1:] - 1, len(at) - 1)
@@ -205,6 +207,11 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """key, spans (array of s, e; may overlap) for the texts that have repeated windows. docs: doc_id, key, text."""
+    with scratch(docs.sparkSession, "suffixes"):
+        return materialize(_repeated_spans(docs, length), "spans", keep=True)
+
+
+def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = materialize(parse(docs, length), "triggers")
     classes = materialize(_classes(found.withColumn("n", F.lit(1).cast("long"))), "classes")
     whole = found.join(classes.where("count > 1").select(*_CLASS), _CLASS, "left_semi")
@@ -249,7 +256,7 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     empty table gives no rows; other columns are not read.
     """
     docs = text_rows(df, id_col, text_col).withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    spans = materialize(repeated_spans(docs, length), "spans")
+    spans = repeated_spans(docs, length)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -274,7 +281,7 @@ def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", te
     """The same rows with repeated passages cut out of their texts; characters cut apart go. All other columns stay."""
     keyed = df.withColumn("_key", F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
     docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = materialize(repeated_spans(docs, length), "spans").select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(docs, length).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
