@@ -59,9 +59,10 @@ def rate_or_null(part: Column, whole: Column) -> Column:
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Both ends of the Wilson interval of a proportion; null without trials."""
     p = F.try_divide(successes.cast("double"), n)
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    middle, scale = p + z * z / (2 * n), 1 + z * z / n
-    return F.greatest(F.lit(0.0), (middle - half) / scale), F.least(F.lit(1.0), (middle + half) / scale)
+    some = F.nullif(n, F.lit(0))
+    half = z * F.sqrt(p * (1 - p) / some + z * z / (4 * some * some))
+    middle, scale = p + z * z / (2 * some), 1 + z * z / some
+    return F.when(n > 0, F.greatest(F.lit(0.0), (middle - half) / scale)), F.when(n > 0, F.least(F.lit(1.0), (middle + half) / scale))
 
 
 def empty_as(c: Column, label: str) -> Column:

@@ -48,7 +48,7 @@ def zero_filled_counts(df: DataFrame, inventory: DataFrame, key: str, by: str, e
 
 
 def flagged_report(df: DataFrame, by: str, flagged: Column) -> DataFrame:
-    """Flagged rows and their share, for each value and overall (`ALL`); the share is null without rows."""
+    """Flagged rows and their share, for each value and overall (`ALL`); an empty table gives no rows."""
     hit = F.sum(F.when(flagged, 1).otherwise(0))
     out = df.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(hit, F.lit(0)).alias("n_flagged"), F.grouping_id().alias("g"))
     return out.select(F.when(F.col("g") == 1, F.lit("ALL")).otherwise(F.coalesce(F.col(by), F.lit("unknown"))).alias(by), "n", "n_flagged", rate_or_null(F.col("n_flagged"), F.col("n")).alias("rate"))

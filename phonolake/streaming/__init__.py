@@ -1,0 +1 @@
+"""The windowed reports as streams."""
