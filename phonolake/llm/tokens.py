@@ -13,6 +13,9 @@ import numpy as np
 
 # White space as Unicode defines it (fixed values).
 _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Texts with a character of these kinds are cut by the patterns below, others by plain splitting, to the same units.
+_ODD = re.compile("[\x00\x1c-\x1f]")
+_ODD_SPACED = re.compile(rf"[{_WS}][{_WS}]|[\x00{_WS.replace(' ', '').replace(chr(10), '')}]|\A[{_WS}]|[{_WS}]\Z")
 #: Words between white space, for tokenizers that drop white space.
 WORDS = rf"[^{_WS}]+"
 #: A word with at most one space before it, else white space, for byte-level tokenizers that keep it.
@@ -22,7 +25,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 # Units of this kind are encoded many at once: one run of letters, then at most one run of marks.
-_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?|]*)")
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?|]*)")
 
 
 class Encoder:
@@ -32,7 +35,7 @@ class Encoder:
     bounded.
     """
 
-    def __init__(self, path: str, pattern: str, max_units: int = 350_000):
+    def __init__(self, path: str, pattern: str, max_units: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,11 +43,21 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.find, self.max_units, self.known, self.older = re.compile(pattern).findall, max_units, {}, {}
         self.spaced = pattern == SPACED_WORDS
+        self.odd = _ODD_SPACED if self.spaced else _ODD
         edge = [False] * (1 + max(self.tokenizer.get_vocab().values()))
         for token, k in self.tokenizer.get_vocab().items():
             edge[k] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
         self.edge = np.array(edge)
 
+    def _units(self, text: str) -> list[str]:
+        """Keys of a text's units. Where spaces count, a mark stands before the unit itself; a key without it is a word and the space before it."""
+        if self.odd.search(text):
+            units = self.find(text)
+            return [f"\0{u}" for u in units] if self.spaced else units
+        if not self.spaced:
+            return text.split()
+        return f"\0{text}".replace("\n", " \0\n \0").split(" ") if text else []
+
     def _together(self, units: list[str], edges: list[int]) -> list[bytes] | None:
         """Ids of plain units by one call; a unit ends before a token that begins with a space, or with its last word-end token."""
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(units) if self.spaced else " ".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -58,26 +71,29 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         plain, edges, rest = [], [], []
         for u in new:
-            m = _PLAIN.fullmatch(u)
-            if m and (u[0] == " ") == self.spaced:
+            m = _PLAIN.fullmatch(u)  # marked keys never match
+            if m:
                 plain.append(u)
                 edges.append(1 if self.spaced or not m[1] else 2)
             else:
                 rest.append(u)
         for i in range(0, len(plain), 400):
-            got = self._together(plain[i : i + 400], edges[i : i + 400])
+            part = plain[i : i + 400]
+            got = self._together([f" {u}" for u in part] if self.spaced else part, edges[i : i + 400])
             if got is None:
-                rest += plain[i : i + 400]
+                rest += part
             else:
-                self.known.update(zip(plain[i : i + 400], got, strict=True))
+                self.known.update(zip(part, got, strict=True))
         for i in range(0, len(rest), 1000):
-            for u, e in zip(rest[i : i + 1000], self.tokenizer.encode_batch_fast(rest[i : i + 1000], add_special_tokens=False), strict=True):
+            part = rest[i : i + 1000]
+            texts = [u[1:] if u[0] == "\0" else f" {u}" for u in part] if self.spaced else part
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 self.known[u] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 256):
-            units = [self.find(t) for t in texts[i : i + 256]]
+            units = [self._units(t) for t in texts[i : i + 256]]
             if len(self.known) > self.max_units:
                 self.older, self.known = self.known, {}
             new = []

@@ -39,7 +39,7 @@ def texts_of(df):
 
 
 def test_units_give_the_ids_of_whole_texts():
-    texts = [t or "" for t in AWKWARD] + ["Wort, Wort. Wört!? naïve ΑΣ ΑΣ Β  tail ", "　a b", "x y z"]
+    texts = [t or "" for t in AWKWARD] + ["Wort, Wort. Wört!? naïve ΑΣ ΑΣ Β  tail ", "　a b", "x y z", "\0abc \0d e", "a\nb\n\nc \n d"]
     for name, pattern in (("word_bpe_49k.json", WORDS), ("byte_bpe_50k.json", SPACED_WORDS)):
         e = encoder(default_path(name), pattern)
         whole = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
