@@ -26,7 +26,7 @@ from .common import text_rows
 SAMPLE_DOCS = 8_000
 ORDINARY_BYTES = 65_536
 TOXIC_BYTES = 4_096
-LEVEL = 13
+LEVEL = 12
 LONGEST = 48
 #: Words that begin with the same characters (the space is one) count as one stem.
 STEM = 5
