@@ -68,3 +68,41 @@ def viterbi(scores: pd.Series, n_targets: pd.Series) -> pd.Series:
         return out[::-1]
 
     return pd.Series([path(f, int(n)) for f, n in zip(scores, n_targets, strict=True)])
+
+
+STATUSES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("status", "target", "observed")]))
+
+
+def _statuses(target: list[str], observed: list[str]) -> list[dict]:
+    """The path of least (cost, -matches); among equal ones a diagonal step goes before a missing, a missing before an extra."""
+    n, m = len(target), len(observed)
+    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+    step = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            ways = []
+            if i and j:
+                same = target[i - 1] == observed[j - 1]
+                ways.append((best[i - 1][j - 1][0] + (not same), best[i - 1][j - 1][1] - same, 0))
+            if i:
+                ways.append((best[i - 1][j][0] + 1, best[i - 1][j][1], 1))
+            if j:
+                ways.append((best[i][j - 1][0] + 1, best[i][j - 1][1], 2))
+            if ways:
+                cost, matches, step[i][j] = min(ways)
+                best[i][j] = cost, matches
+    out, i, j = [], n, m
+    while i or j:
+        k = step[i][j]
+        i, j = i - (k != 2), j - (k != 1)
+        if k == 0:
+            out.append({"status": "correct" if target[i] == observed[j] else "incorrect", "target": target[i], "observed": observed[j]})
+        else:
+            out.append({"status": "missing", "target": target[i], "observed": None} if k == 1 else {"status": "extra", "target": None, "observed": observed[j]})
+    return out[::-1]
+
+
+@F.pandas_udf(STATUSES)
+def assess(target: pd.Series, observed: pd.Series) -> pd.Series:
+    """Status of each target and each extra token."""
+    return pd.Series([_statuses(list(t), list(o)) for t, o in zip(target, observed, strict=True)])

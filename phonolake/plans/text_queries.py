@@ -88,6 +88,13 @@ def confusion_pairs(spark, d):
     return ops.groupBy("grp", "e.op", "e.target", "e.predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def assessment_statuses(spark, d):
+    """Statuses of the alignment that keeps the most matches, by group (their numbers are tested)."""
+    rows = _pairs(spark, d).select("grp", F.explode(sequences.assess("r", "h")).alias("x"))
+    return rows.groupBy("grp", "x.status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def viterbi_paths(spark, d):
     """Each label's vectors in id order as frames over three targets."""

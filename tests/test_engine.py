@@ -6,9 +6,10 @@ import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from phonolake.functions import exprs, g2p, phonetics, sequences
-from phonolake.operators import aggregates, joins, sampling, windows
+from phonolake.operators import aggregates, joins, sampling, scoring, windows
 from phonolake.plans import registry
 from phonolake.sources import files
 from phonolake.streaming import sessions
@@ -81,6 +82,30 @@ def test_edits_agree(spark):
         assert [e["predicted"] for e in r["e"] if e["op"] != "deletion"] == r["h"]
 
 
+def test_assessment_keeps_the_most_matches(spark):
+    rng = random.Random(4)
+    rows = [([rng.choice("abc") for _ in range(rng.randint(0, 6))], [rng.choice("abc") for _ in range(rng.randint(0, 6))]) for _ in range(40)] + [(list("ab"), list("ba"))]
+    df = spark.createDataFrame(rows, "t array<string>, o array<string>")
+    for r in df.select("t", "o", sequences.assess("t", "o").alias("s")).collect():
+        assert sum(x["status"] != "correct" for x in r["s"]) == fold_edits(r["t"], r["o"])
+        assert [x["target"] for x in r["s"] if x["status"] != "extra"] == r["t"]
+    assert sum(x["status"] == "correct" for x in df.where("t = array('a', 'b') AND o = array('b', 'a')").select(sequences.assess("t", "o").alias("s")).first()["s"]) == 1
+
+
+def test_typicality_is_the_distance_from_the_robust_centre(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3)) @ np.diag([1, 2, 3])
+    rows = spark.createDataFrame([("a", v.tolist()) for v in x] + [("few", [0.0, 0.0, 0.0])], "g string, v array<double>")
+    models = scoring.robust_models(rows, "g", "v")
+    m = {r["g"]: r for r in models.collect()}
+    assert set(m) == {"a"}
+    got = scoring.typicality(rows, models, "g", "v").collect()
+    p = np.array(m["a"]["precision"]).reshape(3, 3)
+    for r in got:
+        d = np.array(r["v"]) - m["a"]["centre"]
+        assert math.isclose(r["distance"], math.sqrt(d @ p @ d), rel_tol=1e-9) and 0 <= r["fit"] <= 1
+
+
 def test_viterbi_stays_on_ties(spark):
     df = spark.createDataFrame([([[0.0, 0.0]] * 4, 2), ([[1.0, 0.0], [0.0, 5.0]], 2), ([[1.0, 0.0]], 2)], "x array<array<double>>, n int")
     assert [r[0] for r in df.select(sequences.viterbi("x", "n")).collect()] == [[0, 1, 1, 1], [0, 1], []]
