@@ -1,29 +1,61 @@
-"""Phonetic distance between phones, as a table that is computed once and joined."""
+"""Likeness of phones by their features, as a dictionary table that is computed once and joined."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Vowels: height (0 high to 3 open), back, rounded (fixed values).
-VOWELS = {"i": (0, 0, 0), "y": (0, 0, 1), "ɯ": (0, 1, 0), "u": (0, 1, 1), "e": (1, 0, 0), "œ": (1, 0, 1), "o": (1, 1, 1), "æ": (2, 0, 0), "a": (3, 1, 0)}
-
-
-def vowel_table(spark: SparkSession) -> DataFrame:
-    """phone, height, back, rounded, long: short and long vowels."""
-    rows = [(v + mark, *f, int(bool(mark))) for v, f in VOWELS.items() for mark in ("", "ː") if not (v == "æ" and mark)]
-    return spark.createDataFrame(rows, "phone string, height int, back int, rounded int, long int")
-
-
-def vowel_distance(a: str, b: str) -> Column:
-    """Distance of two vowels given as struct columns: .12 a step of height up to .24, .20 for place, .16 for rounding, .24 for length, at least .30 between different vowels, at most 1."""
-    d = lambda f: F.abs(F.col(f"{a}.{f}") - F.col(f"{b}.{f}"))
-    total = F.least(0.12 * d("height"), F.lit(0.24)) + 0.20 * d("back") + 0.16 * d("rounded") + 0.24 * d("long")
-    return F.when(F.col(f"{a}.phone") == F.col(f"{b}.phone"), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.30), total)))
+# Vowels: height (0 high to 2 low), back, rounded (fixed values).
+VOWELS = {"i": (0, 0, 0), "y": (0, 0, 1), "ɯ": (0, 1, 0), "u": (0, 1, 1), "e": (1, 0, 0), "œ": (1, 0, 1), "o": (1, 1, 1), "æ": (2, 0, 0), "a": (2, 1, 0)}
+# Consonants by manner and place; the voiceless ones before the bar (fixed values).
+CONSONANTS = {
+    ("stop", "bilabial"): "p pʰ | b", ("stop", "alveolar"): "t tʰ | d", ("stop", "velar"): "k kʰ | ɡ", ("stop", "palatal"): "c cʰ | ɟ", ("affricate", "postalveolar"): "t͡ʃ | d͡ʒ",
+    ("fricative", "labiodental"): "f | v", ("fricative", "bilabial"): "| β", ("fricative", "alveolar"): "s | z", ("fricative", "postalveolar"): "ʃ | ʒ", ("fricative", "glottal"): "h |",
+    ("approximant", "bilabial"): "| β̞", ("approximant", "palatal"): "| j", ("nasal", "bilabial"): "| m", ("nasal", "alveolar"): "| n", ("nasal", "palatal"): "| ɲ", ("nasal", "velar"): "| ŋ",
+    ("lateral", "alveolar"): "| l ɫ", ("tap", "alveolar"): "ɾ̞̊ | ɾ",
+}
+# Penalties of neighbouring places (fixed values).
+NEAR_PLACES = {("bilabial", "labiodental"): 0.12, ("alveolar", "postalveolar"): 0.14, ("postalveolar", "palatal"): 0.18, ("palatal", "velar"): 0.20, ("alveolar", "palatal"): 0.24}
+OBSTRUENT, SONORANT = ("stop", "affricate", "fricative"), ("nasal", "lateral", "tap", "approximant")
+SCHEMA = "phone string, class string, manner string, place string, voiced boolean, aspirated boolean, velarized boolean, height int, back int, rounded int, long int"
+
+
+def inventory(spark: SparkSession) -> DataFrame:
+    """All phones with their features."""
+    vowels = [(v + mark, "vowel", None, None, None, None, None, *f, int(bool(mark))) for v, f in VOWELS.items() for mark in ("", "ː") if not (v == "æ" and mark)]
+    sides = [(m, p, voiced, phone) for (m, p), text in CONSONANTS.items() for voiced, side in enumerate(text.split("|")) for phone in side.split()]
+    consonants = [(phone, "consonant", m, p, bool(voiced), phone.endswith("ʰ"), phone == "ɫ", None, None, None, None) for m, p, voiced, phone in sides]
+    return spark.createDataFrame(vowels + consonants, SCHEMA)
+
+
+def likeness(a: str, b: str) -> Column:
+    """1 for the same phone, 0.05 for a vowel and a consonant, else 1 less the penalties of the features that differ; vowels at least 0.30, consonants at least 0.12. a, b: struct columns of the inventory."""
+    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
+    unlike = lambda f, p: F.when(x(f) != y(f), p).otherwise(0.0)
+    both = lambda f, *values: x(f).isin(*values) & y(f).isin(*values)
+    vowel = F.least(0.12 * F.abs(x("height") - y("height")), F.lit(0.24)) + unlike("back", 0.20) + unlike("rounded", 0.16) + unlike("long", 0.24)
+    manner = F.when(x("manner") == y("manner"), 0.0).when(both("manner", "stop", "affricate"), 0.20).when(both("manner", "fricative", "affricate"), 0.22)
+    manner = manner.when(both("manner", *OBSTRUENT), 0.38).when(both("manner", *SONORANT), 0.28).otherwise(0.46)
+    place = F.when(x("place") == y("place"), 0.0)
+    for (p, q), penalty in NEAR_PLACES.items():
+        place = place.when(both("place", p, q), penalty)
+    place = place.when(both("place", "alveolar", "postalveolar", "palatal") | both("place", "palatal", "velar"), 0.28).when((x("place") == "glottal") | (y("place") == "glottal"), 0.42).otherwise(0.36)
+    voicing = F.when(x("voiced") == y("voiced"), 0.0).when(both("manner", *SONORANT), 0.12).otherwise(0.17)
+    consonant = manner + place + voicing + unlike("aspirated", 0.10) + unlike("velarized", 0.07)
+    score = F.when(x("class") != y("class"), 0.05).when(x("class") == "vowel", F.greatest(1 - vowel, F.lit(0.30))).otherwise(F.greatest(1 - consonant, F.lit(0.12)))
+    return F.when(x("phone") == y("phone"), 1.0).otherwise(F.round(score, 6))
+
+
+def likeness_table(spark: SparkSession) -> DataFrame:
+    """target, observed, likeness for all ordered pairs: a fixed dictionary of some 2,400 rows."""
+    v = inventory(spark)
+    pairs = v.select(F.struct("*").alias("x")).crossJoin(F.broadcast(v.select(F.struct("*").alias("y"))))
+    return pairs.select(F.col("x.phone").alias("target"), F.col("y.phone").alias("observed"), likeness("x", "y").alias("likeness"))
 
 
-def distance_table(spark: SparkSession) -> DataFrame:
-    """All ordered pairs of vowels with their distance: a fixed dictionary."""
-    v = vowel_table(spark)
-    pairs = v.select(F.struct("*").alias("x")).crossJoin(F.broadcast(v.select(F.struct("*").alias("y"))))
-    return pairs.select(F.col("x.phone").alias("target"), F.col("y.phone").alias("observed"), F.round(vowel_distance("x", "y"), 6).alias("distance"))
+def with_duration(score: Column, target: Column, observed: Column, note: Column, reliable: Column) -> Column:
+    """A likeness after evidence of duration: where the phones differ in length only and the evidence is reliable, at least 0.90 if it fits the target, at most 0.58 if not."""
+    long = lambda c: F.endswith(c, F.lit("ː"))
+    applies = (F.replace(target, F.lit("ː")) == F.replace(observed, F.lit("ː"))) & (long(target) != long(observed)) & F.coalesce(reliable, F.lit(False)) & note.isin("short", "expected", "long")
+    fits = F.when(long(target), note.isin("expected", "long")).otherwise(note.isin("expected", "short"))
+    return F.when(applies & fits, F.greatest(score, F.lit(0.90))).when(applies, F.least(score, F.lit(0.58))).otherwise(score)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import g2p, sequences
+from ..functions import g2p, phonetics, sequences
 from ..functions.exprs import WORD, turkish_lower, words
 from .adapters import table
 
@@ -95,6 +95,16 @@ def assessment_statuses(spark, d):
     return rows.groupBy("grp", "x.status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def phone_likeness(spark, d):
+    """Phones that follow each other in the corpus's words, weighted by counts, with their likeness from the dictionary (its values are tested)."""
+    n = document_words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    p = n.select("n", g2p.strip_stress(g2p.phones(g2p.transcribe(F.col("word")))).alias("p")).where(F.size("p") > 1)
+    steps = p.select("n", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("target"), F.slice("p", F.lit(2), F.size("p") - 1).alias("observed"))).alias("x"))
+    per = steps.groupBy("x.target", "x.observed").agg(F.sum("n").alias("n"))
+    return per.join(F.broadcast(phonetics.likeness_table(spark)), ["target", "observed"])
+
+
 @query()
 def viterbi_paths(spark, d):
     """Each label's vectors in id order as frames over three targets."""

@@ -188,7 +188,12 @@ def test_stream_equals_table(spark, tmp_path):
     assert sorted(spark.table("sessions").collect()) == sorted(batch.collect())
 
 
-def test_vowel_distances(spark):
-    d = {(r["target"], r["observed"]): r["distance"] for r in phonetics.distance_table(spark).collect()}
-    assert d["a", "a"] == 0 and d["i", "u"] == 0.36 and d["a", "aː"] == 0.30 and len(d) == 17 * 17
+def test_likeness_of_phones(spark):
+    d = {(r["target"], r["observed"]): r["likeness"] for r in phonetics.likeness_table(spark).collect()}
+    n = len({a for a, _ in d})
+    assert n == 49 and len(d) == n * n and all(d[x, x] == 1 for x, _ in d)
+    want = {("i", "u"): 0.64, ("a", "aː"): 0.76, ("i", "aː"): 0.32, ("p", "b"): 0.83, ("t", "tʰ"): 0.9, ("l", "ɫ"): 0.93, ("s", "ʃ"): 0.86, ("t", "t͡ʃ"): 0.66, ("a", "t"): 0.05, ("h", "m"): 0.12, ("ɾ", "ɾ̞̊"): 0.88, ("n", "ŋ"): 0.64}
+    assert all(math.isclose(d[k], v, abs_tol=1e-9) for k, v in want.items()), {k: d[k] for k in want}
     assert all(math.isclose(x, d[b, a]) for (a, b), x in d.items())
+    rows = spark.createDataFrame([("aː", "a", "long", True), ("aː", "a", "short", True), ("a", "aː", "long", None), ("a", "e", "long", True)], "t string, o string, note string, ok boolean")
+    assert [r[0] for r in rows.select(phonetics.with_duration(F.lit(0.7), F.col("t"), F.col("o"), F.col("note"), F.col("ok"))).collect()] == [0.9, 0.58, 0.7, 0.7]
