@@ -53,7 +53,10 @@ def is_acronym(word: Column) -> Column:
 
 
 def soft_g(x: Column, proper: Column) -> Column:
-    x = F.when(proper, _sub(x, f"(?<=[{_C}])ğ", "ɡ")).otherwise(x)
+    return _then(x, lambda x: F.when(proper, _sub(x, f"(?<=[{_C}])ğ", "ɡ")).otherwise(x), _soften)
+
+
+def _soften(x: Column) -> Column:
     x = _sub(x, f"^([{_C}]*)ğ+", "$1")  # no vowel before it
     x = _sub(x, f"(?<=[{_FRONT}]{_NEAR})ğ(?=[{_FRONT}])", "j")
     x = _sub(x, f"ğ(?=[{_V}])", "")
@@ -68,34 +71,61 @@ def syllabify(x: Column) -> Column:
     return _sub(x, f"([{_V}][{_C}]*?)(?=(?:[tdkɡpbfcɟTKPQ]ɾ|[{_C}])?[{_V}])", "$1.")
 
 
-def rules(x: Column, lower: Column, proper: Column, pedagogical: bool = True) -> Column:
-    """The ordered rules from seed phones to dotted phones with the stress mark."""
-    x = syllabify(soft_g(x, proper))
+def _then(x: Column, *steps) -> Column:
+    """Applies functions of a column one after the other; each value is computed once, however often a step uses it."""
+    for step in steps:
+        x = F.element_at(F.transform(F.array(x), step), 1)
+    return x
+
+
+def _palatal(x: Column) -> Column:
     for plain, palatal in (("k", "c"), ("ɡ", "ɟ")):
         x = _sub(x, f"{plain}(?=[{_C}]*[{_FRONT}])", palatal)  # in the onset of a front syllable
         x = _sub(x, f"(?<=[{_FRONT}]{_NEAR})(?<!n){plain}(?=\\.?[lɫɾ]|$)", palatal)  # in its coda, finally or before a liquid
-    thin = lower.isin(THIN_L)
+    return x
+
+
+def _liquid(x: Column) -> Column:
     dark = F.translate(x, "l", "ɫ")
-    near = f"[{_C}.]*"
-    light = _sub(_sub(dark, f"ɫ(?={near}[{_FRONT}])", "l"), f"(?<=[{_FRONT}][{_C}.]{{0,8}})ɫ", "l")
-    x = F.when(thin, F.translate(x, "ɫ", "l")).otherwise(light)
+    return _sub(_sub(dark, f"ɫ(?=[{_C}.]*[{_FRONT}])", "l"), f"(?<=[{_FRONT}][{_C}.]{{0,8}})ɫ", "l")
+
+
+def _labial_and_nasal(x: Column) -> Column:
     x = _sub(x, f"(?<=[{_ROUND}]\\.?)v(?=\\.?[{_V}])|(?<=[{_V}]\\.?)v(?=\\.?[{_ROUND}])", "W")
     x = _sub(x, f"(?<=[{_ROUND}]\\.?)v|v(?=\\.?[{_ROUND}])", "β")
-    x = _sub(_sub(x, "n(?=\\.?[kɡ])", "ŋ"), "n(?=\\.?[cɟCJ])", "ɲ")
-    opened = _sub(x, f"e(?!ɾɾ)(?=[lɫmnɾŋɲ][{_C}]*(?:\\.|$))", "æ")
-    negated = _sub(opened, "(\\.?m)ez(?!.*m\\.?ez)(?=$|(?=[^aeiɯoœuyæ]*[aeiɯoœuyæ])(?:\\.?[^.]){1,4}$)", "$1æz")
-    opened = F.when(lower.rlike("m[ea]z$"), negated).otherwise(opened)
-    x = F.when(lower.isin(CLOSED_E), x).otherwise(opened)
-    if pedagogical:
-        # onset stops; a word without a vowel is all onset
-        aspirated = x
-        for plain, code in zip("ptkc", "PTKQ", strict=True):
-            aspirated = _sub(aspirated, f"{plain}(?=[{_C}]*[{_V}])", code)
-        x = F.when(x.rlike(f"[{_V}]"), aspirated).otherwise(F.translate(x, "ptkc", "PTKQ"))
-        x = _sub(x, f"ɾ(?=$|\\.?[{_VOICELESS}])", "R")
-    last = _sub(x, "\\.(?=[^.]*$)", ".ˈ")
-    stressed = F.when(lower.isin(FIRST_STRESSED), F.concat(F.lit("ˈ"), x)).otherwise(last)
-    return F.when(F.contains(x, F.lit(".")), stressed).otherwise(x)
+    return _sub(_sub(x, "n(?=\\.?[kɡ])", "ŋ"), "n(?=\\.?[cɟCJ])", "ɲ")
+
+
+def _open_e(x: Column) -> Column:
+    return _sub(x, f"e(?!ɾɾ)(?=[lɫmnɾŋɲ][{_C}]*(?:\\.|$))", "æ")
+
+
+def _open_negation(x: Column) -> Column:
+    return _sub(x, "(\\.?m)ez(?!.*m\\.?ez)(?=$|(?=[^aeiɯoœuyæ]*[aeiɯoœuyæ])(?:\\.?[^.]){1,4}$)", "$1æz")
+
+
+def _aspirate(x: Column) -> Column:
+    for plain, code in zip("ptkc", "PTKQ", strict=True):
+        x = _sub(x, f"{plain}(?=[{_C}]*[{_V}])", code)
+    return x
+
+
+def rules(x: Column, lower: Column, proper: Column, pedagogical: bool = True) -> Column:
+    """The ordered rules from seed phones to dotted phones with the stress mark."""
+    thin, closed, negated, first = lower.isin(THIN_L), lower.isin(CLOSED_E), lower.rlike("m[ea]z$"), lower.isin(FIRST_STRESSED)
+    x = _then(
+        x,
+        lambda x: syllabify(soft_g(x, proper)),
+        _palatal,
+        lambda x: F.when(thin, F.translate(x, "ɫ", "l")).otherwise(_liquid(x)),
+        _labial_and_nasal,
+        lambda x: F.when(closed, x).otherwise(_open_e(x)),
+        lambda x: F.when(negated & ~closed, _open_negation(x)).otherwise(x),
+    )
+    if pedagogical:  # onset stops are aspirated (a word without a vowel is all onset), then r loses its voice
+        x = _then(x, lambda x: F.when(x.rlike(f"[{_V}]"), _aspirate(x)).otherwise(F.translate(x, "ptkc", "PTKQ")), lambda x: _sub(x, f"ɾ(?=$|\\.?[{_VOICELESS}])", "R"))
+    stressed = lambda x: F.when(first, F.concat(F.lit("ˈ"), x)).otherwise(_sub(x, "\\.(?=[^.]*$)", ".ˈ"))
+    return _then(x, lambda x: F.when(F.contains(x, F.lit(".")), stressed(x)).otherwise(x))
 
 
 def transcribe(word: Column, lexicon_phones: Column | None = None, pedagogical: bool = True) -> Column:
