@@ -7,6 +7,9 @@ classes all pairs whose signatures agree enough are candidates. In a larger grou
 group's leaders (the classes that lie in large groups in the most trees: the middle of a cloud of copies), and where
 the prefixes end, with its neighbours in sorted order; so a group costs as many pairs as it has members. Candidates
 are confirmed on full sets of shingles.
+
+What leaders and neighbours leave open in large groups is settled exactly: the classes that lie in any are joined on
+their rarest shingles (prefix and position filter), but for pairs that are in one component already.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ DEPTHS = (4, 7, 11)
 DEEPEST = DEPTHS[-1]
 LEAF = 32
 LEADERS = 2
+#: The join on rare shingles is split so that this many classes of a shingle meet all its others in one part.
+PART = 2000
 #: A pair is confirmed on full sets if its signatures agree at least so much less than the threshold.
 SLACK = 0.15
 _rng = np.random.default_rng(1010)
@@ -202,8 +207,8 @@ def _neighbour_pairs(deep: DataFrame, sig: DataFrame, least: float) -> DataFrame
     return rows.repartitionByRange("node", "further").sortWithinPartitions("node", "further", "id").mapInPandas(task, "a binary, b binary")
 
 
-def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """Pairs a < b of class ids. classes: id, signature."""
+def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of class ids; and the ids that lie in a large group, whose pairs may be incomplete. classes: id, signature."""
     level = materialize(_nodes(classes), "nodes")
     sig = classes.select("id", "signature")
     leaves, large = [], []
@@ -227,13 +232,63 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
         rest = rest.join(best, "node").where("rank <> best").select("node", "rank")
         led = members.join(best.select("node", F.col("best.id").alias("leader")), "node").where("id <> leader")
         pairs = pairs.unionByName(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-    return pairs.distinct()
+    return pairs.distinct(), large[0].select("id").distinct()
+
+
+def _crowd(crowded: DataFrame, linked: DataFrame, signed: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, root (its component, or itself), s (array of the set's hashes) of the crowded classes."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            for i in range(0, len(pdf), 500):
+                sets = [shingles(t, size) for t in pdf["text"].iloc[i : i + 500]]
+                yield pd.DataFrame({"id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "s": [s.view(np.int64) for s in sets]})
+
+    sets = _texts(crowded.select(F.col("id").alias("set_key")), signed, docs).mapInPandas(make, "id binary, s array<long>").dropDuplicates(["id"])
+    return materialize(sets.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("root"), "s"), "crowd")
+
+
+def crowd_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of classes of different components, all that link among them. crowd: id, root, s.
+
+    All shingles are put in one order: first those that a single component holds (no pair sought here shares them), then
+    from rare to frequent. Two sets that link share one of their first n - percent * n + 1 shingles, and what is left
+    from the first one shared on suffices for the overlap.
+    """
+    rows = crowd.select(F.xxhash64("id").alias("k"), F.xxhash64("root").alias("root"), F.size("s").alias("n"), "s")
+    each = rows.select("k", "root", F.explode("s").alias("x"))
+    held = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("x", "df")
+    held = materialize(held, "shared-shingles")
+    total = held.agg(F.sum("df")).first()[0] or 0
+    hot = F.col("df") > max(PART, total // 50_000)  # at most 50,000 shingles
+    each = each.select("k", "x")
+    shared = each.join(F.broadcast(held.where(hot)), "x").unionByName(each.join(held.where(~hot), "x"))
+    shared = shared.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("at")).join(rows.drop("s"), "k")
+    shared = shared.withColumn("before", F.col("n") - F.size("at"))
+    reach = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1 - F.col("before")
+    first = shared.where(reach > 0).select("k", "root", "n", "before", F.posexplode(F.slice("at", F.lit(1), reach)).alias("i", "at"))
+    first = materialize(first.select("k", "root", "n", (F.col("n") - F.col("before") - F.col("i")).alias("left"), "at.df", "at.x"), "rare-shingles")
+    parts = F.ceil(F.col("df") / PART).cast("int")
+    some = first.select("x", F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), *[F.col(c).alias(f"{c}1") for c in ("k", "root", "n", "left")])
+    others = first.select("x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("k", "root", "n", "left")])
+    enough = F.least("left1", "left2") * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+    pairs = some.join(others, ["x", "part"]).where((F.col("k1") < F.col("k2")) & (F.col("root1") != F.col("root2")) & enough).select("k1", "k2").distinct()
+    name = lambda k, c: crowd.select(F.xxhash64("id").alias(k), F.col("id").alias(c))
+    pairs = pairs.join(name("k1", "i1"), "k1").join(name("k2", "i2"), "k2")
+    return pairs.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"))
+
+
+def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """A document's text for each wanted class. wanted: set_key."""
+    ids = signed.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    return docs.alias("d").join(ids.select("doc_id").distinct().alias("i"), F.expr("d.doc_id <=> i.doc_id")).select("d.text")
 
 
 def _representatives(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """id, s (the set's hashes) of the classes in pairs, each from the text of one document."""
     wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    ids = signed.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -243,8 +298,7 @@ def _representatives(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size:
                 sets = [shingles(t, size).tobytes() for t in pdf["text"].iloc[i : i + 500]]
                 yield pd.DataFrame({"id": [xxhash.xxh3_128_digest(s) for s in sets], "s": sets})
 
-    chosen = docs.alias("d").join(ids.select("doc_id").distinct().alias("i"), F.expr("d.doc_id <=> i.doc_id")).select("d.text")
-    return materialize(chosen.mapInPandas(make, "id binary, s binary").dropDuplicates(["id"]), "sets")
+    return materialize(_texts(wanted, signed, docs).mapInPandas(make, "id binary, s binary").dropDuplicates(["id"]), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -303,9 +357,15 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
         signed = materialize(_sign(docs, size), "signed")
         classes = signed.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(F.first("signature").alias("signature"))
         classes = materialize(classes, "set-classes")
-        pairs = materialize(candidates(classes, percent / 100 - SLACK), "pairs")
+        pairs, crowded = candidates(classes, percent / 100 - SLACK)
+        pairs = materialize(pairs, "pairs")
         links = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
         linked = components(links)
+        if not crowded.isEmpty():
+            pairs = materialize(crowd_pairs(_crowd(crowded, linked, signed, docs, size), percent), "crowd-pairs")
+            if not pairs.isEmpty():
+                more = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
+                linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
         rows = signed.join(linked.select(F.col("id").alias("set_key"), "component"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
         first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         out = rows.select("doc_id", "n_shingles", "root").join(first, "root", "left")

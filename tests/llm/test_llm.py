@@ -345,6 +345,35 @@ def test_near_duplicates_against_brute_force(spark, none, size, percent):
     assert forest.near_duplicates(none).count() == 0
 
 
+def template_family(seed, n=500, slots=14, choices=4, twins=25):
+    """Texts on one template, their slots filled from few choices, and for some of them a twin with a few words more changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, fill = [word() for _ in range(slots * 12)], [[word() for _ in range(choices)] for _ in range(slots)]
+    texts = []
+    for _ in range(n):
+        ws = list(base)
+        for k, f in enumerate(fill):
+            ws[12 * k + 5] = rng.choice(f)
+        texts.append(ws)
+    for ws in texts[:twins]:
+        texts.append(list(ws))
+        for k in rng.sample(range(slots), 2):
+            texts[-1][12 * k + 5] = word()
+    return [" ".join(ws) for ws in texts]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_isolated_pairs_in_a_template_family(spark, monkeypatch, seed):
+    """Hardly any group of the family is small: what meets in large ones only is linked all the same."""
+    monkeypatch.setattr(forest, "LEAF", 2)
+    df = table(spark, template_family(seed))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in forest.near_duplicates(df, 5, 80).collect()}
+    want = brute_components(texts_of(df), 5, 80)
+    assert 10 < sum(not x[2] for x in want.values()) < 300
+    assert got == want
+
+
 def test_near_duplicates_on_awkward_rows(spark, awkward):
     rows = forest.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
