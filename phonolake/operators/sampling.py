@@ -8,6 +8,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_key(*parts: Column) -> Column:
@@ -56,34 +57,63 @@ def budget_fill(df: DataFrame, by: str, key: str, cost: str, target: int, keep:
     return df.select(by, key, cost, *[k for k in keep if k not in (key, cost)]).groupBy(by).applyInPandas(fold, taken)
 
 
+#: Rows of each group that a round of balanced_fill holds.
+BLOCK = 256
+
+
 def balanced_fill(df: DataFrame, groups: str, key: str, cost: str, target: int, keep: list[str]) -> DataFrame:
     """Round by round, the group with the least cost so far gives its next row that still fits the overall target.
 
-    The overall total binds all groups, so the fold runs once, over the rows that can be taken: each group's first ones
-    in key order whose running cost stays within the target, chosen before by a window over the group.
+    The overall total binds all groups, so the fold runs once, on the driver, over the next BLOCK rows of each group
+    that still fit; when a group's block is used up, its following rows that fit are fetched, until none has any. Rows
+    that don't fit, or have no cost, are skipped. Rows of equal keys follow in the order of their costs and kept columns.
     """
-    running = F.sum(cost).over(Window.partitionBy(groups).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    near = df.select(groups, key, cost, *keep).withColumn("_before", F.coalesce(running, F.lit(0))).where(F.col("_before") <= 2 * target)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = defaultdict(list)
-        for i, (g, c) in enumerate(zip((pdf := pdf.sort_values([groups, key]))[groups], pdf[cost], strict=True)):
-            rows[g].append((i, c))
-        heap, total, out = [(0, g) for g in rows], 0, []
-        heapq.heapify(heap)
-        while heap and total < target:
-            own, g = heapq.heappop(heap)
-            while rows[g]:
-                i, c = rows[g].pop(0)
-                if not out or total + c <= target:
-                    out.append(i)
-                    total += c
-                    heapq.heappush(heap, (own + c, g))
-                    break
-        return pdf.iloc[out][[groups, *keep]]
-
-    kinds = dict(df.dtypes)
-    return near.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in [groups, *keep]))
+    names = list(dict.fromkeys([groups, key, cost, *keep]))
+    rows = df.select(*names).withColumn("_at", F.struct(*names[1:]))
+    kinds = T.StructType([T.StructField("_g", df.schema[groups].dataType), T.StructField("_after", rows.schema["_at"].dataType)])
+    total, out, whole = 0, [], set()
+    last: dict = {}  # of each group, the last row passed, and how many equal ones were
+
+    def fetch(wanted: list | None = None) -> dict:
+        near, n = rows.where(F.col(cost) + F.lit(total) <= target), BLOCK
+        if wanted is not None:
+            after = df.sparkSession.createDataFrame([(g, last[g][0]) for g in wanted], kinds)
+            near = near.join(F.broadcast(after), F.col(groups).eqNullSafe(F.col("_g"))).where("_at >= _after")
+            n += max(last[g][1] for g in wanted)
+        got = defaultdict(list)
+        ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(groups).orderBy("_at"))).where(F.col("_r") <= n)
+        for g, at, _ in sorted(ranked.select(groups, "_at", "_r").collect(), key=lambda r: -r[2]):
+            got[g].append(tuple(at))
+        for g in got if wanted is None else wanted:
+            if len(got[g]) < n:
+                whole.add(g)
+            for _ in range(last[g][1] if g in last else 0):
+                if got[g] and got[g][-1] == last[g][0]:
+                    got[g].pop()
+        return got
+
+    def passed(g) -> tuple:
+        at = held[g].pop()
+        last[g] = (at, last[g][1] + 1 if g in last and last[g][0] == at else 1)
+        return at
+
+    held = fetch()
+    heap = [(0, g is not None, g) for g in held]
+    heapq.heapify(heap)
+    while heap:
+        own, named, g = heap[0]
+        while held[g] and total + held[g][-1][1] > target:
+            passed(g)
+        if held[g]:
+            at = passed(g)
+            total += at[1]
+            out.append((g, *at))
+            heapq.heapreplace(heap, (own + at[1], named, g))
+        elif g in whole:
+            heapq.heappop(heap)
+        else:
+            held |= fetch([x for _, _, x in heap if not held[x] and x not in whole])
+    return df.sparkSession.createDataFrame(out, df.select(*names).schema).select(groups, *keep)
 
 
 def quota_select(df: DataFrame, by: str, provider: str, quotas: dict[str, int], n: int, order: list[Column]) -> DataFrame:

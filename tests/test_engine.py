@@ -132,6 +132,33 @@ def test_balanced_fill_is_the_plain_fold(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("block", "odd"), [(256, False), (1, True), (3, True)])
+def test_balanced_fill_skips_rows_that_do_not_fit(spark, monkeypatch, block, odd):
+    monkeypatch.setattr(sampling, "BLOCK", block, raising=False)
+    rng = random.Random(6)
+    rows = [(f"g{g}", f"{i:04d}", rng.choice([90, 400, 700]), i) for g in range(3) for i in range(4)]  # long rows come first
+    rows += [(f"g{rng.randint(0, 2)}", f"{i:04d}", rng.randint(1, 60), i) for i in range(4, 60)]
+    if odd:
+        rows += [("g1", "0050", 7, 60)] * 4 + [("g2", "0002", None, 61), (None, "0001", 20, 62)]
+    df = spark.createDataFrame(rows, "g string, k string, c long, i long")
+    got = sampling.balanced_fill(df, "g", "k", "c", 300, ["i"]).collect()
+    by = defaultdict(list)
+    for r in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[0] or "", *r[1:])):
+        by[r[0]].append(r)
+    heap, total, want = [(0, g or "", g) for g in by], 0, []
+    heapq.heapify(heap)
+    while heap:
+        own, _, g = heapq.heappop(heap)
+        while by[g]:
+            r = by[g].pop(0)
+            if total + r[2] <= 300:
+                want.append((g, r[3]))
+                total += r[2]
+                heapq.heappush(heap, (own + r[2], g or "", g))
+                break
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) > 5
+
+
 def test_rates_and_reports_on_few_rows(spark):
     empty = spark.createDataFrame([], "phone string, ok boolean")
     assert [tuple(r) for r in aggregates.flagged_report(empty, "phone", F.col("ok")).collect()] == []
