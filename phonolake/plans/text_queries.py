@@ -67,13 +67,14 @@ def phone_inventory_counts(spark, d):
 q AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM p), e AS (SELECT grp, len(r) AS ref_len, levenshtein(list_aggregate(list_transform(r, lambda x: chr((32 + list_position(v, x))::INTEGER)), 'string_agg', ''), list_aggregate(list_transform(h, lambda x: chr((32 + list_position(v, x))::INTEGER)), 'string_agg', '')) AS edits FROM q WHERE len(r) > 0 AND len(h) > 0)
 SELECT grp, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, sum(edits)::DOUBLE / sum(ref_len) AS error_rate FROM e GROUP BY grp""")
 def token_error_rate(spark, d):
-    edits = _pairs(spark, d).select("grp", F.size("r").alias("ref_len"), sequences.token_edits(F.col("r"), F.col("h")).alias("edits"))
+    edits = _pairs(spark, d, 40).select("grp", F.size("r").alias("ref_len"), sequences.token_edits(F.col("r"), F.col("h")).alias("edits"))
     return edits.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"), (F.sum("edits") / F.sum("ref_len")).alias("error_rate"))
 
 
-def _pairs(spark, d):
-    """User turns with the assistant turn that follows, by one window over the conversation."""
-    low = F.slice(F.transform(words(F.col("text")), lambda w: F.lower(w)), 1, 40)
+def _pairs(spark, d, most=None):
+    """User turns with the assistant turn that follows, by one window over the conversation; whole, or of each the first `most` words."""
+    low = F.transform(words(F.col("text")), lambda w: F.lower(w))
+    low = F.slice(low, 1, most) if most else low
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", low.alias("r"))
     t = t.withColumn("h", F.lead("r").over(w)).withColumn("next", F.lead(F.struct("role", "turn")).over(w))

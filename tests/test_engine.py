@@ -82,6 +82,15 @@ def test_edits_agree(spark):
         assert [e["predicted"] for e in r["e"] if e["op"] != "deletion"] == r["h"]
 
 
+def test_whole_turns_are_aligned(spark, tmp_path):
+    long = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    rows = [(5, 0, "user", " ".join(long)), (5, 1, "assistant", " ".join(long[:60] + ["other"] + long[61:]))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    ops = {(r["op"], r["target"]): r["n"] for r in registry.QUERIES["confusion_pairs"](spark, str(tmp_path)).collect()}
+    assert len(ops) == 90 and ops["substitution", long[60]] == 1
+    assert {r["status"]: r["n"] for r in registry.QUERIES["assessment_statuses"](spark, str(tmp_path)).collect()} == {"correct": 89, "incorrect": 1}
+
+
 def test_assessment_keeps_the_most_matches(spark):
     rng = random.Random(4)
     rows = [([rng.choice("abc") for _ in range(rng.randint(0, 6))], [rng.choice("abc") for _ in range(rng.randint(0, 6))]) for _ in range(40)] + [(list("ab"), list("ba"))]
