@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, text_rows
+from .common import free_names, join_hot, materialize, scratch, text_key, text_rows
 
 TREES = 28
 #: A tree's depths, in MinHash values: the first is what candidates share at least.
@@ -92,7 +92,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(df: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set, null for an empty one), signature for every document."""
+    """doc_id, text_key, n_shingles, set_key (digest of the set, null for an empty one), signature for every document."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -107,9 +107,9 @@ def _sign(df: DataFrame, size: int) -> DataFrame:
                     for k, row in zip(some, signatures([sets[k] for k in some]), strict=True):
                         sig[k] = row.tobytes()
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_key": keys, "signature": sig})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "n_shingles": [len(s) for s in sets], "set_key": keys, "signature": sig})
 
-    return df.mapInPandas(task, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return df.withColumn("text_key", text_key()).mapInPandas(task, "doc_id long, text_key binary, n_shingles long, set_key binary, signature binary")
 
 
 def _keys(own: np.ndarray, tree: int, depth: int) -> np.ndarray:
@@ -343,19 +343,13 @@ def components(edges: DataFrame) -> DataFrame:
     return step.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept, for every document.
-
-    Documents are linked if 100 * intersection >= percent * union holds for their sets of `size`-word shingles
-    (words in lower case A-Z, separated by ASCII white space; a text of fewer words is one shingle; null, empty and
-    blank texts have no shingle and no link). Equal sets are linked without comparing. Repeated rows get equal
-    results; rows with a null id link like others, but only an id can name a component (null if no row has one;
-    kept is then true); an empty table gives no rows; other columns are not read.
-    """
+def _found(df: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_key, first (of the row's component, the row with the smallest id: absent, doc_id, text_key)."""
     docs = text_rows(df, id_col, text_col)
     with scratch(df.sparkSession, "forest"):
         signed = materialize(_sign(docs, size), "signed")
-        classes = signed.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(F.first("signature").alias("signature"))
+        rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")  # rows without an id come last
+        classes = signed.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
         classes = materialize(classes, "set-classes")
         pairs, crowded = candidates(classes, percent / 100 - SLACK)
         pairs = materialize(pairs, "pairs")
@@ -366,25 +360,45 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
             if not pairs.isEmpty():
                 more = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
                 linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-        rows = signed.join(linked.select(F.col("id").alias("set_key"), "component"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
-        first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        out = rows.select("doc_id", "n_shingles", "root").join(first, "root", "left")
-        component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        kept = F.coalesce(F.col("doc_id") == component, component.isNull())
-        return materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "near-duplicates", keep=True)
+        rooted = materialize(classes.join(linked, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("root")), "rooted")
+        roots = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+        per_class = join_hot(rooted.select("id", "root"), roots.drop("n"), "root", roots.select("root", "n")).select(F.col("id").alias("set_key"), "first")
+        rows = join_hot(signed.drop("signature"), per_class, "set_key", rooted.select(F.col("id").alias("set_key"), "n"))
+        return materialize(rows.select("doc_id", "text_key", "n_shingles", "set_key", "first"), "near-duplicates", keep=True)
+
+
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept, for every document.
+
+    Documents are linked if 100 * intersection >= percent * union holds for their sets of `size`-word shingles
+    (words in lower case A-Z, separated by ASCII white space; a text of fewer words is one shingle; null, empty and
+    blank texts have no shingle and no link). Equal sets are linked without comparing. Repeated rows get equal
+    results; rows with a null id link like others, but only an id can name a component (null if no row has one;
+    kept is then true); an empty table gives no rows; other columns are not read.
+    """
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return _found(df, size, percent, id_col, text_col).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document from each group of near-duplicates (the one with the smallest id), with all their columns.
+    """One row of each group of near-duplicates, with all its columns: that of the smallest id.
 
-    Rows of one id are one document, of which repeated rows (equal in all columns) are dropped; rows without an id stay.
+    What goes is decided by id and text, so that rows which share an id but not their group each have their say. Of
+    rows that repeat id and text one stays; rows without an id go for one that has an id; documents without a shingle
+    all stay.
     """
-    found = near_duplicates(df, size, percent, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rest = rest.dropDuplicates()
-    return rest
+    found = _found(df, size, percent, id_col, text_col).where("set_key IS NOT NULL")
+    is_first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_key") == F.col("first.text_key"))
+    key, gone_id, gone_key = free_names(df, "_key", "_gone_id", "_gone_key")
+    pair = (F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    rest = df.withColumn(key, text_key(text_col)).join(found.where(~is_first).select(*pair).distinct(), same, "left_anti")
+    again = found.where(is_first).groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if not again.isEmpty():
+        again = materialize(again, "repeated-rows")
+        rest = rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_col, key]))
+    return rest.drop(key)
 
 
 #: The same for three-word shingles and 85 percent, comparing all documents that share a shingle.

@@ -18,27 +18,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import hash_sample, materialize, text_rows
 from .tokens import default_path
 
 #: Documents that the probabilities are learnt from, at most, about.
 SAMPLE_DOCS = 12_000
 ROUNDS = 3
-#: Longer words are cut.
+#: Words of more letters are summed one by one, with rescaling, and not held; others many at once.
 LONGEST = 24
-#: Letters of a piece, at most.
-PIECE = 12
 UNKNOWN = 1e-7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _letter = re.compile(r"[^\W\d_]")
 
 
 def words(text: str) -> list[str]:
-    out = []
-    for w in text.split():
-        w = "▁" + w
-        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    return ["▁" + w for w in text.split()]
 
 
 class Pieces:
@@ -49,7 +43,9 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        pieces = sorted({p for p in pieces if len(p) <= PIECE})
+        pieces = sorted(set(pieces))
+        self.known = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces))
         h = np.array([int(self.prefixes(self.codes([p]))[0, -1]) for p in pieces], np.uint64)
         order = np.argsort(h)
         self.hashes, self.ids, self.n = h[order], order, len(pieces)
@@ -73,11 +69,11 @@ class Pieces:
         p = self.prefixes(self.codes(ws))
         power = [np.uint64(1)]
         with np.errstate(over="ignore"):
-            for _ in range(PIECE):
+            for _ in range(self.longest):
                 power.append(power[-1] * _BASE)
         n = p.shape[1] - 1
         for to in range(1, n + 1):
-            for at in range(max(0, to - PIECE), to):
+            for at in range(max(0, to - self.longest), to):
                 h = p[:, to] - p[:, at] * power[to - at]
                 w = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
                 k = np.searchsorted(self.hashes, h[w])
@@ -91,6 +87,15 @@ class Pieces:
                     yield at, to, w, ids
 
 
+    def steps(self, w: str) -> list[list[tuple[int, int]]]:
+        """For each place of a word after the first, (from, piece or -1 for an unknown letter) of the pieces that end there."""
+        find, out = self.known.get, []
+        for to in range(1, len(w) + 1):
+            ends = [(at, k) for at in range(max(0, to - self.longest), to) if (k := find(w[at:to])) is not None]
+            out.append(ends if ends and ends[-1][0] == to - 1 else [*ends, (to - 1, -1)])
+        return out
+
+
 _pieces: dict[str, Pieces] = {}
 
 
@@ -107,8 +112,44 @@ class Model:
     path: str
 
 
+def forward_long(v: Pieces, w: str, probability: np.ndarray) -> np.ndarray:
+    """Log probability of one word of any length in each language; the sums are rescaled as they go."""
+    a, scale = [np.ones(probability.shape[1])], np.zeros(probability.shape[1])
+    for to, ends in enumerate(v.steps(w), 1):
+        x = sum(a[at - to] * probability[k] for at, k in ends)  # a holds the last places only
+        a = [*a[1 - v.longest :], x]
+        if to % 16 == 0:
+            most = np.maximum(np.max(a, axis=0), 1e-300)
+            a = [y / most for y in a]
+            scale += np.log(most)
+    return np.log(np.maximum(a[-1], 1e-300)) + scale
+
+
+def expected_long(v: Pieces, w: str, n: float, p: np.ndarray) -> Iterator[tuple[int, float]]:
+    """(piece, expected count) in one word of any length that occurs n times, in one language."""
+    steps, size = v.steps(w), len(w)
+    a, b = np.zeros(size + 1), np.zeros(size + 1)
+    up, down = np.zeros(size + 1), np.zeros(size + 1)  # log scales of a and b at each place
+    a[0] = b[size] = 1
+    for to, ends in enumerate(steps, 1):
+        base = up[to - 1]
+        x = sum(a[at] * np.exp(up[at] - base) * p[k] for at, k in ends)
+        a[to], up[to] = 1.0, base + np.log(max(x, 1e-300))
+    after: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+    for to, ends in enumerate(steps, 1):
+        for at, k in ends:
+            after[at].append((to, k))
+    for at in range(size - 1, -1, -1):
+        base = down[at + 1]
+        x = sum(b[to] * np.exp(down[to] - base) * p[k] for to, k in after[at])
+        b[at], down[at] = 1.0, base + np.log(max(x, 1e-300))
+    for to, ends in enumerate(steps, 1):
+        for at, k in ends:
+            yield k, n * float(np.exp(up[at] + np.log(max(p[k], 1e-300)) + down[to] - up[size]))
+
+
 def forward(v: Pieces, ws: list[str], probability: np.ndarray) -> np.ndarray:
-    """Log probability of each of the words (all of one length) in each language."""
+    """Log probability of each of the words (all of one length, LONGEST at most) in each language."""
     a = np.zeros((len(ws[0]) + 1, len(ws), probability.shape[1]))
     a[0] = 1
     for at, to, w, ids in v.arcs(ws):
@@ -149,8 +190,7 @@ def train(df: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS
     path = path or default_path("piece_bpe_32k.model")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     known = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(F.coalesce(fold, F.lit(0)) != 1)
-    share = min(1.0, sample_docs / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    chosen = hash_sample(known, sample_docs, known.count(), 5)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,7 +213,12 @@ def train(df: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS
                 for lang, part in pdf.groupby("lang"):
                     ws, n, k = part["word"].tolist(), part["n"].to_numpy(np.float64), languages.index(lang)
                     for g in _by_length(ws):
-                        total[:, k] += expected(v, [ws[i] for i in g], n[g], p[:, k])
+                        if len(ws[g[0]]) <= LONGEST:
+                            total[:, k] += expected(v, [ws[i] for i in g], n[g], p[:, k])
+                    for w, m in zip(ws, n, strict=True):
+                        if len(w) > LONGEST:
+                            for piece, x in expected_long(v, w, m, p[:, k]):
+                                total[piece, k] += x
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -202,7 +247,9 @@ class Identifier:
 
     def identify(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, share of the likelihood) of each text; the share is of likelihoods to the power 1/sqrt(words)."""
-        ws = [words(t) for t in texts]
+        every_word = [words(t) for t in texts]
+        ws = [[w for w in own if len(w) <= LONGEST] for own in every_word]
+        long = [[w for w in own if len(w) > LONGEST] for own in every_word]
         every = set().union(*ws)
         if len(self.known) + len(every) > self.max_known:
             self.known = {}
@@ -210,12 +257,14 @@ class Identifier:
                 self.table = np.zeros((len(every), self.table.shape[1]), np.float32)
         self.learn([w for w in every if w not in self.known])
         out = []
-        for t, own in zip(texts, ws, strict=True):
+        for t, own, rest in zip(texts, ws, long, strict=True):
             if not self.model.languages or not _letter.search(t):
                 out.append(("und", 0.0))
                 continue
             s = self.table[np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))].sum(0, dtype=np.float64)
-            e = np.exp((s - s.max()) / np.sqrt(len(own)))
+            for w in rest:
+                s = s + forward_long(self.v, w, self.model.probability)
+            e = np.exp((s - s.max()) / np.sqrt(len(own) + len(rest)))
             k = int(np.argmax(s))  # the first in the alphabet, if likelihoods are equal
             out.append((self.model.languages[k], float(e[k] / e.sum())))
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on_key
+from .common import free_names, join_on_key, number_among_equal
 
 #: A Poisson count of a larger mean is the sum of counts of means up to this, whose probabilities a double can hold.
 MOST_MEAN = 500.0
@@ -56,18 +56,20 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, exponent:
     id: the same in every run, whatever the partitioning. Adds mix_n (copies of this document), mix_copy (from 0)
     and mix_key; rows lie in hash partitions of mix_key, ordered by it, which is a seeded global shuffle.
 
-    A null id is hashed as an empty one; repeated rows get the same count; a source of rate 0 leaves; all of the
-    input's columns are kept, those named like the added ones are replaced; an empty table stays empty.
+    Rows that share an id, or have none, are drawn one by one, each with a number of its own in its hash: their counts
+    depend on how the table is read. A source of rate 0 leaves; all of the input's columns are kept, those named like
+    the added ones are replaced; an empty table stays empty.
     """
     df = df.drop("mix_n", "mix_copy", "mix_key")
-    table = rates(df, weights, exponent, total, source_col).select(F.col("source_key").alias("_mix_source"), F.col("parts").alias("_mix_parts"), F.col("cdf").alias("_mix_cdf"))
-    doc = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    one = lambda k: F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= uniform(F.lit(str(seed)), k.cast("string"), doc)))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_mix_parts") - 1), F.lit(0), lambda n, k: n + one(k))
-    out = join_on_key(df.withColumn("_mix_source", source_key(source_col)), table, "_mix_source")
-    out = out.withColumn("mix_n", count).where("mix_n > 0").drop("_mix_source", "_mix_parts", "_mix_cdf")
+    source, parts, cdf, number, doc = free_names(df, "_source", "_parts", "_cdf", "_number", "_doc")
+    table = rates(df, weights, exponent, total, source_col).select(F.col("source_key").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    rows = number_among_equal(df, id_col, None, number)
+    rows = rows.withColumn(doc, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(number))).withColumn(source, source_key(source_col))
+    one = lambda k: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(str(seed)), k.cast("string"), F.col(doc))))
+    count = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda n, k: n + one(k))
+    out = join_on_key(rows, table, source).withColumn("mix_n", count).where("mix_n > 0").drop(source, parts, cdf, number)
     out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), doc, F.col("mix_copy").cast("string")).cast("binary")))
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(doc), F.col("mix_copy").cast("string")).cast("binary"))).drop(doc)
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 

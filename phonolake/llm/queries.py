@@ -50,13 +50,13 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.digests(gif.store_texts(documents(spark, sf_dir)))
+    return gif.digests(gif.store_frames(gif.store_texts(documents(spark, sf_dir))))
 
 
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read, index = records.encode_to_folder(documents(spark, sf_dir))
-    digests = read.select("file", "record", "doc_id", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
-    return records.with_starts(digests, index).select("doc_id", "start", "n_tokens", "ids_crc32")
+    folder, index = records.encode_to_folder(documents(spark, sf_dir))
+    read = records.read_shuffled(spark, folder, records.with_starts(index))
+    return read.select("doc_id", "start", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.crc32("token_ids").alias("ids_crc32"))
 
 
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

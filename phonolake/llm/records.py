@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, text_rows
+from .common import free_names, remove_at_exit, scratch_dir, text_rows
 from .tokens import SPACED_WORDS, default_path, encoder
 
 INDEX = "file string, record int, place long, length long, n_tokens long"
@@ -143,25 +143,57 @@ def read_records(spark, folder: str) -> DataFrame:
     return files.mapInPandas(task, "file string, record long, doc_id long, token_ids binary, n_tokens long")
 
 
-def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before each one, in file order.
+def read_shuffled(spark, folder: str, index: DataFrame, seed: int = 0, handles: int = 64) -> DataFrame:
+    """The records that an index names, opened one by one at their places, in a seeded order over all files.
 
-    The index's sums by file (one row for each file, however many documents there are) are summed on; within a file
-    the window is partitioned by the file.
+    Returns the index's columns, doc_id and token_ids. A task holds the index rows of a batch, opens each of its files
+    once and reads the places there in ascending order; every checksum is verified.
+    """
+    (order,) = free_names(index, "_order")
+    names, kinds = index.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        open_files: dict = {}
+        for pdf in batches:
+            found: list = [None] * len(pdf)
+            rows = sorted(zip(pdf["file"], pdf["place"], pdf["length"], range(len(pdf)), strict=True))
+            for name, place, length, i in rows:
+                f = open_files.get(name)
+                if f is None:
+                    if len(open_files) >= handles:
+                        open_files.pop(next(iter(open_files))).close()
+                    f = open_files[name] = store.open_input_file(f"{root}/{name}")
+                payload, _ = unframe(f.read_at(length, place), 0)
+                found[i] = deserialize(payload)
+            out = pdf[names].reset_index(drop=True)
+            out["doc_id"] = pd.array([d for d, _ in found], dtype="Int64")
+            out["token_ids"] = [ids.tobytes() for _, ids in found]
+            yield out
+
+    shuffled = index.withColumn(order, F.xxhash64(F.lit(seed), "file", "record")).repartitionByRange(order).sortWithinPartitions(order)
+    return shuffled.mapInPandas(task, f"{kinds}, doc_id long, token_ids binary")
+
+
+def with_starts(index: DataFrame) -> DataFrame:
+    """Adds start to index rows: the ids of all documents before each one, in file order.
+
+    The sums by file (one row for each file, however many documents there are) are summed on; within a file the window
+    is partitioned by the file, which is of a bounded size.
     """
     by_file = index.groupBy("file").agg(F.sum("n_tokens").alias("_in_file"))
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = by_file.select("file", F.coalesce(F.sum("_in_file").over(w), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("file").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "file").withColumn("start", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    return index.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "file").withColumn("start", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def encode_to_folder(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
-    """Writes to a fresh shared folder; (documents read back, index)."""
+def encode_to_folder(df: DataFrame, **kw) -> tuple[str, DataFrame]:
+    """Writes to a fresh shared folder; (folder, index)."""
     spark = df.sparkSession
     folder = scratch_dir(spark, "records")
     write_records(df, folder, **kw).write.parquet(f"{folder}/index")
-    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
-    if not index.limit(1).count():
-        return spark.createDataFrame([], "file string, record long, doc_id long, token_ids binary, n_tokens long"), index
-    return read_records(spark, folder), index
+    remove_at_exit(spark, folder)
+    return folder, spark.read.schema(INDEX).parquet(f"{folder}/index")

@@ -8,13 +8,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_on_key, materialize
+from .common import join_on_key, materialize, number_among_equal
 
 
 def shuffle_to_shards(df: DataFrame, n_shards: int = 8, bucket_bytes: int = 32 << 20, least_buckets: int = 64, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row at a place of a seeded global permutation and deal the places out to n_shards shards.
 
-    Pass one scatters the rows uniformly into buckets of about bucket_bytes by a seeded hash of id and text. Pass two
+    Pass one scatters the rows uniformly into buckets of about bucket_bytes by a seeded hash of id and text (and, for
+    rows that repeat both, of where they are read, so that no bucket fills with one document). Pass two
     takes one bucket at a time into memory, Fisher-Yates shuffles it and writes it to the shared folder. A row's
     place in the whole is the rows of all buckets before its own plus its place there; the shard is that place modulo
     n_shards and the slot what is left, so that the shards' counts are at most one apart and each one's slots have no gap.
@@ -32,7 +33,8 @@ def shuffle_to_shards(df: DataFrame, n_shards: int = 8, bucket_bytes: int = 32 <
         order = np.random.default_rng([seed, key[0].as_py()]).permutation(len(bucket))  # Fisher-Yates
         return bucket.take(pa.array(order)).append_column("position", pa.array(np.arange(len(bucket))))
 
-    scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(n_buckets)).cast("int"))
+    numbered = number_among_equal(rows, "doc_id", "text", "number")
+    scattered = numbered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "number"), F.lit(n_buckets)).cast("int")).drop("number")
     shuffled = scattered.groupBy("bucket").applyInArrow(shuffle_bucket, "doc_id long, text string, bucket int, position long")
     buckets = materialize(shuffled, "shards")
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each bucket

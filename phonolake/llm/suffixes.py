@@ -18,7 +18,6 @@ byte by byte. Rows are triggers, about two for REACH bytes of text.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, text_rows
+from .common import free_names, join_hot, materialize, scratch, text_key, text_rows
 
 #: Bytes that the rolling hash covers.
 GRAM = 16
@@ -214,7 +213,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = materialize(parse(docs, length), "triggers")
     classes = materialize(_classes(found.withColumn("n", F.lit(1).cast("long"))), "classes")
-    whole = found.join(classes.where("count > 1").select(*_CLASS), _CLASS, "left_semi")
+    several = classes.where("count > 1")
+    whole = join_hot(found, several.select(*_CLASS), _CLASS, several.select(*_CLASS, F.col("count").alias("n")), "left_semi")
     spans = whole.select("key", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + length).alias("e")).distinct()
 
     # Contexts: a row for each class of a seed that has some class of one member.
@@ -255,7 +255,7 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     like any other (a repeated text of length bytes or more is removed whole); texts under length bytes stay; an
     empty table gives no rows; other columns are not read.
     """
-    docs = text_rows(df, id_col, text_col).withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    docs = text_rows(df, id_col, text_col).withColumn("key", text_key())
     spans = repeated_spans(docs, length)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,18 +270,21 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
                     rows.append((d, len(raw), [{"s": s, "e": e} for s, e in gone], kept))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
 
-    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInPandas(task, "doc_id long, n_bytes long, spans array<struct<s:int,e:int>>, kept binary")
+    return join_hot(docs, spans, "key", copies(docs, "key")).select("doc_id", "text", "spans").mapInPandas(task, "doc_id long, n_bytes long, spans array<struct<s:int,e:int>>, kept binary")
 
 
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
+def copies(df: DataFrame, key: str) -> DataFrame:
+    """How often each text occurs that occurs more than once: key, n."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(n, "copies")
 
 
 def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """The same rows with repeated passages cut out of their texts; characters cut apart go. All other columns stay."""
-    keyed = df.withColumn("_key", F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
-    docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(docs, length).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    key, found_at = free_names(df, "_key", "_spans")
+    keyed = df.withColumn(key, text_key(text_col))
+    docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spans = repeated_spans(docs, length).select(F.col("key").alias(key), F.col("spans").alias(found_at))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -294,7 +297,7 @@ def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", te
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    out = keyed.join(spans, "_key", "left").withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).drop("_key", "_spans")
+    out = join_hot(keyed, spans, key, copies(keyed, key)).withColumn(text_col, cut(F.col(text_col), F.col(found_at))).drop(key, found_at)
     if n_chars_col in df.columns:
         out = out.withColumn(n_chars_col, F.coalesce(F.length(text_col), F.lit(0)).cast(df.schema[n_chars_col].dataType))
     return out.select(df.columns)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import free_names, hash_sample, text_rows
 
 #: Labelled documents that dictionaries and calibration are fitted on, at most, about.
 SAMPLE_DOCS = 8_000
@@ -157,12 +157,14 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool], seed: int = 7
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from labelled documents whose crc32(doc_id as text) mod 5 is not 0: about sample_docs of them, chosen by a hash."""
+    """A model from labelled documents whose crc32(doc_id as text) mod 5 is not 0: about sample_docs of them, chosen by a hash.
+
+    Where labels of one document conflict, toxic counts.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic IS NOT NULL").where(fold % 5 != 0)
-    n = known.count()
-    share = min(1.0, sample_docs / max(1, n))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = hash_sample(known, sample_docs, known.count(), 3)
     rows = text_rows(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic", (fold % 5 == 1).alias("calibrate")).toPandas()
     rows = rows.sort_values(["doc_id", "text"])
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), rows["calibrate"].tolist())
@@ -198,5 +200,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def drop_toxic(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose texts score less than limit, with all their columns."""
-    scored = df.withColumn("_toxicity", score_column(df.sparkSession, model)(F.coalesce(F.col(text_col), F.lit(""))))
-    return scored.where(F.col("_toxicity") < limit).drop("_toxicity")
+    (name,) = free_names(df, "_toxicity")
+    scored = df.withColumn(name, score_column(df.sparkSession, model)(F.coalesce(F.col(text_col), F.lit(""))))
+    return scored.where(F.col(name) < limit).drop(name)

@@ -80,16 +80,22 @@ def test_pack(spark, awkward, none):
 
 
 def test_records_round_trip(spark, awkward, none, tmp_path):
-    read, index = records.encode_to_folder(awkward)
-    got = records.with_starts(read, index).orderBy("start").toPandas()
+    folder, index = records.encode_to_folder(awkward)
+    placed = records.with_starts(index)
+    got = records.read_shuffled(spark, folder, placed, handles=1).orderBy("start").toPandas()
     e = encoder(default_path("byte_bpe_50k.json"), SPACED_WORDS)
     docs = sorted(texts_of(awkward), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want = [e.encode([t])[0] + struct.pack("<I", 2) for _, t in docs]
     assert [bytes(x) for x in got["token_ids"]] == want
     assert got["start"].tolist() == [0, *np.cumsum([len(x) // 4 for x in want])[:-1]]
-    place = index.where("n_tokens > 1000").first()
-    assert place["length"] > 0
-    assert records.encode_to_folder(none)[0].count() == 0
+    in_order = records.read_records(spark, folder).orderBy("file", "record").toPandas()
+    assert [bytes(x) for x in in_order["token_ids"]] == want
+    orders = [[r["record"] for r in records.read_shuffled(spark, folder, placed, seed).collect()] for seed in (1, 1, 2)]
+    assert orders[0] == orders[1] != orders[2] and orders[0] != sorted(orders[0])
+    few = records.read_shuffled(spark, folder, placed.where("n_tokens > 1000")).collect()  # records opened by themselves
+    assert few and all(bytes(r["token_ids"]) in want and len(r["token_ids"]) == 4 * r["n_tokens"] for r in few)
+    folder, index = records.encode_to_folder(none)
+    assert records.read_shuffled(spark, folder, records.with_starts(index)).count() == 0
 
 
 def test_damaged_records_are_told():
@@ -157,7 +163,7 @@ def test_mixing_is_poisson_and_repeatable(spark, awkward, none):
 def test_join_on_key_beyond_the_broadcast_bound(spark):
     left = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     right = spark.range(6).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    a, b = (sorted(map(tuple, join_on_key(left, right, "k", broadcast_rows=n).select("k", "id", "v").collect()), key=repr) for n in (100, 2))
+    a, b = (sorted(map(tuple, join_on_key(left, right, "k", broadcast_bytes=n).select("k", "id", "v").collect()), key=repr) for n in (10_000, 2))
     assert a == b and len(a) == 1000
 
 
@@ -195,12 +201,14 @@ def test_gif_round_trip(spark, awkward, none):
     for payload in (b" " * 192, bytes(rng.integers(0, 256, 192 * 700, dtype=np.uint8)), b"a" * 192 * 1500, b"abc" * 64 * 900):
         frames = list(gif.decode(gif.encode(payload)))
         assert b"".join(f.samples.tobytes() for f in frames) == payload and len(frames) == -(-len(payload) // (192 * gif.FRAME_ROWS))
-    got = gif.digests(gif.store_texts(awkward)).toPandas()
+    got = gif.digests(gif.store_frames(gif.store_texts(awkward))).toPandas()
     want = Counter(hashlib.sha256(gif.payload_of(t)[1]).hexdigest() for _, t in texts_of(awkward))
     assert Counter(got["payload_sha256"]) == want
     rows = gif.frames(gif.store_texts(awkward)).collect()
     assert all(sum(r["histogram"]) == r["width"] * r["height"] == len(r["samples"]) for r in rows if r["frame"] == 0)
-    assert gif.digests(gif.store_texts(none)).count() == 0
+    stored = gif.store_frames(gif.store_texts(awkward)).collect()
+    assert all(sum(f["width"] * f["height"] for f in r["frames"]) == r["payload_bytes"] == sum(sum(f["histogram"]) for f in r["frames"]) and {f["delay_ms"] for f in r["frames"]} == {40} for r in stored)
+    assert gif.digests(gif.store_frames(gif.store_texts(none))).count() == 0
     broken = spark.createDataFrame([(1, b"GIF89a"), (2, None), (3, b"no")], "doc_id long, media binary")
     assert gif.frames(broken).count() == 0
 
@@ -244,26 +252,53 @@ def test_gif_palettes_disposal_transparency_interlace():
 def brute_forward(word, pieces, p):
     ways = [1.0] + [0.0] * len(word)
     for j in range(1, len(word) + 1):
-        for i in range(max(0, j - langid.PIECE), j):
+        for i in range(j):
             k = pieces.get(word[i:j], -1 if i == j - 1 else None)
             if k is not None:
                 ways[j] += ways[i] * p[k]
     return np.log(ways[-1])
 
 
+def brute_expected(word, pieces, p):
+    """Uses of each piece over all segmentations, each weighted by its share of the probability."""
+    ways = [[(1.0, ())]]
+    for j in range(1, len(word) + 1):
+        ends = []
+        for i in range(j):
+            k = pieces.get(word[i:j], -1 if i == j - 1 else None)
+            if k is not None:
+                ends += [(q * p[k], (*path, k)) for q, path in ways[i]]
+        ways.append(ends)
+    whole, out = sum(q for q, _ in ways[-1]), np.zeros(len(p))
+    for q, path in ways[-1]:
+        for k in path:
+            out[k] += q / whole
+    return out
+
+
+def sums(pairs, n):
+    out = np.zeros(n)
+    for k, x in pairs:
+        out[k] += x
+    return out
+
+
 def test_forward_sums_all_segmentations():
     import sentencepiece
 
     path = default_path("piece_bpe_32k.model")
     v = langid.pieces(path)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = sorted({sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and len(sp.id_to_piece(i)) <= langid.PIECE})
+    names = sorted({sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))})
     p = np.random.default_rng(1).random((v.n + 1, 2)) / v.n
     for w in ("▁the", "▁Straße", "▁qЖz", "▁"):
         got = langid.forward(v, [w, w], p)
         assert np.allclose(got[0], [brute_forward(w, {x: i for i, x in enumerate(names)}, p[:, k]) for k in range(2)])
-        n = langid.expected(v, [w], np.array([3.0]), p[:, 0])
-        assert n.sum() > 0
+        assert np.allclose(langid.forward_long(v, w * 9, p), [brute_forward(w * 9, {x: i for i, x in enumerate(names)}, p[:, k]) for k in range(2)])
+        want = brute_expected(w, v.known, p[:, 0])
+        for got in (langid.expected(v, [w], np.array([3.0]), p[:, 0]), sums(langid.expected_long(v, w, 3.0, p[:, 0]), v.n + 1)):
+            assert np.allclose(got, 3 * want)
+    assert np.isfinite(langid.forward_long(v, "▁" + "qЖz" * 3000, p)).all()
 
 
 def test_languages_are_told(spark, awkward, none):
