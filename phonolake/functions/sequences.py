@@ -10,9 +10,13 @@ from pyspark.sql import types as T
 
 
 def token_edits(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two arrays of tokens: each distinct token becomes one character, then the built-in counts."""
+    """Edit distance of two arrays of tokens: each distinct token becomes one character, then the built-in counts.
+
+    Characters are those from U+10000 on, of which there are a million; so no two tokens share one.
+    """
     tokens = F.array_distinct(F.concat(ref, hyp))
-    code = lambda a: F.array_join(F.transform(a, lambda t: F.chr((F.array_position(tokens, t) + 32).cast("long"))), "")
+    number = lambda t: F.lpad(F.hex(F.array_position(tokens, t) + 0xFFFF), 8, "0")
+    code = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, number), "")), "UTF-32")
     return F.levenshtein(code(ref), code(hyp))
 
 
@@ -74,31 +78,30 @@ STATUSES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (
 
 
 def _statuses(target: list[str], observed: list[str]) -> list[dict]:
-    """The path of least (cost, -matches); among equal ones a diagonal step goes before a missing, a missing before an extra."""
+    """The path of least (cost, -matches); among equal ones a diagonal step goes before a missing, a missing before an extra.
+
+    Cost and matches are one number, 2 ** 20 for an edit less 1 for a match, so that a row is filled as an array.
+    """
     n, m = len(target), len(observed)
-    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
-    step = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            ways = []
-            if i and j:
-                same = target[i - 1] == observed[j - 1]
-                ways.append((best[i - 1][j - 1][0] + (not same), best[i - 1][j - 1][1] - same, 0))
-            if i:
-                ways.append((best[i - 1][j][0] + 1, best[i - 1][j][1], 1))
-            if j:
-                ways.append((best[i][j - 1][0] + 1, best[i][j - 1][1], 2))
-            if ways:
-                cost, matches, step[i][j] = min(ways)
-                best[i][j] = cost, matches
+    edit = 1 << 20
+    d = np.zeros((n + 1, m + 1), np.int64)
+    d[:, 0], d[0] = edit * np.arange(n + 1), edit * np.arange(m + 1)
+    same = np.array([[t == o for o in observed] for t in target], bool).reshape(n, m)
+    for i in range(1, n + 1):
+        row = np.minimum(d[i - 1, :-1] + np.where(same[i - 1], -1, edit), d[i - 1, 1:] + edit)
+        run = np.concatenate([[d[i, 0]], row]) - edit * np.arange(m + 1)
+        d[i] = np.minimum.accumulate(run) + edit * np.arange(m + 1)
     out, i, j = [], n, m
     while i or j:
-        k = step[i][j]
-        i, j = i - (k != 2), j - (k != 1)
-        if k == 0:
-            out.append({"status": "correct" if target[i] == observed[j] else "incorrect", "target": target[i], "observed": observed[j]})
+        if i and j and d[i, j] == d[i - 1, j - 1] + (-1 if same[i - 1, j - 1] else edit):
+            i, j = i - 1, j - 1
+            out.append({"status": "correct" if same[i, j] else "incorrect", "target": target[i], "observed": observed[j]})
+        elif i and d[i, j] == d[i - 1, j] + edit:
+            i -= 1
+            out.append({"status": "missing", "target": target[i], "observed": None})
         else:
-            out.append({"status": "missing", "target": target[i], "observed": None} if k == 1 else {"status": "extra", "target": None, "observed": observed[j]})
+            j -= 1
+            out.append({"status": "extra", "target": None, "observed": observed[j]})
     return out[::-1]
 
 

@@ -6,6 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import exact_avg, exact_sum, rate_or_null, wilson
+from ..session import cut
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False) -> DataFrame:
+    """Adds <value>_to (the running sum up to and with a row, in the order of a column) and <value>_all, within keys.
+
+    Rows are dealt out by ranges of keys and order; each range sums its own rows, and what lies before it comes from the
+    sums by range. So a key with many rows, or the whole table without a key, is never one task. The order must not tie
+    within a key.
+    """
+    rows = df.withColumn("_k", F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_0")))
+    by = F.desc(order) if descending else F.asc(order)
+    rows = cut(rows.repartitionByRange(*[F.asc(k) for k in keys], by).withColumn("_p", F.spark_partition_id()), "ranges")
+    parts = rows.groupBy("_k", "_p").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_k")
+    parts = parts.select("_k", "_p", *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values], *[F.sum(f"_s_{v}").over(whole).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy("_k", "_p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *[F.sum(v).over(inside).alias(f"_i_{v}") for v in values]).join(parts, ["_k", "_p"])
+    return rows.select(*df.columns, *[(F.col(f"_b_{v}") + F.col(f"_i_{v}")).alias(f"{v}_to") for v in values], *[f"{v}_all" for v in values])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
+    """Keys, n, q: the quantiles of a column (linear between its values) for each key, nulls left out.
+
+    Values are counted first, then ranked by prefix sums over ranges of them; no task holds the values of a key.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sums(per, keys, "_v", ["_c"])
+    covers = lambda at: F.max(F.when((F.col("_c_to") - F.col("_c") <= at) & (at < F.col("_c_to")), F.col("_v")))
+    aggs, quantiles = [F.max("_c_all").alias("n")], []
+    for i, p in enumerate(at):
+        place = F.lit(p) * (F.col("_c_all") - 1)
+        aggs += [covers(F.floor(place)).alias(f"_lo{i}"), covers(F.ceil(place)).alias(f"_hi{i}")]
+        here = F.lit(p) * (F.col("n") - 1)
+        quantiles.append(F.col(f"_lo{i}") + (here - F.floor(here)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, "n", F.array(*quantiles).alias("q"))
 
 
 def profile(df: DataFrame, keys: list[str], value: str, speaker: str, flag: Column) -> DataFrame:
@@ -21,14 +58,13 @@ def counts_by_level(df: DataFrame, outer: str, inner: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, key: str, value: str, min_samples: int) -> DataFrame:
     """Median and IQR / 1.349 of each group with enough rows; a scale of 0 where the IQR is."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where(F.col("n") >= min_samples)
+    out = exact_quantiles(df, [key], value, [0.25, 0.5, 0.75]).where(F.col("n") >= min_samples)
     return out.select(key, "n", F.round(F.col("q")[1], 6).alias("median_value"), F.round((F.col("q")[2] - F.col("q")[0]) / 1.349, 6).alias("scale"))
 
 
 def quantiles(df: DataFrame, key: str, value: str, at: list[float]) -> DataFrame:
     """One row for each group and quantile."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("q"))
+    q = exact_quantiles(df, [key], value, at)
     return q.select(key, F.posexplode("q").alias("i", "v")).select(key, F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("p"), F.round("v", 6).alias("v"))
 
 
@@ -84,22 +120,17 @@ def separation(df: DataFrame, by: str, score: str, label: str) -> DataFrame:
     return won.join(moments, by).select(by, "n_pos", "n_neg", F.round(F.greatest(auc, 1 - auc), 9).alias("auc"), F.round(d, 6).alias("cohens_d"))
 
 
-def best_threshold(df: DataFrame, score: str, label: str, grid: int = 256) -> DataFrame:
+def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The cut with the greatest balanced accuracy (rows at or above it count as positive; the lowest such cut wins).
 
-    Candidates are the distinct scores, rounded down to `grid` steps of their range beforehand where there are more, so
-    that the window is over a bounded number of rows.
+    Every distinct score is a candidate: rows are counted by score and summed from the top by prefix sums over ranges.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    span = rows.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    step = F.greatest(F.floor((F.col("hi") - F.col("lo")) / grid), F.lit(1))
-    cut = (F.col("lo") + F.floor((F.col(score) - F.col("lo")) / step) * step).cast("long")
-    per = rows.crossJoin(F.broadcast(span)).groupBy(cut.alias("cut")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    up = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tpr = F.try_divide(F.sum("pos").over(up), F.sum("pos").over(whole))
-    tnr = 1 - F.try_divide(F.sum("neg").over(up), F.sum("neg").over(whole))
-    scored = per.select("cut", F.round((tpr + tnr) / 2, 9).alias("balanced_accuracy"))
+    per = rows.groupBy(F.col(score).alias("cut")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+    up = prefix_sums(per, [], "cut", ["pos", "neg"], descending=True)
+    tpr = F.try_divide(F.col("pos_to"), F.col("pos_all"))
+    tnr = 1 - F.try_divide(F.col("neg_to"), F.col("neg_all"))
+    scored = up.select("cut", F.round((tpr + tnr) / 2, 9).alias("balanced_accuracy"))
     return scored.orderBy(F.desc("balanced_accuracy"), "cut").limit(1)
 
 
@@ -107,7 +138,9 @@ def calibrate_pairs(df: DataFrame, target: str, other: str, margin: str, observe
     """Per (target, other): rows, median margin, share of negative margins, share observed as the other, and the verdict."""
     m = F.col(margin)
     seen = F.when(F.col(observed).isNotNull(), (F.col(observed) == F.col(other)).cast("int"))
-    out = df.groupBy(target, other).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(m, F.lit(0.5)), 6).alias("median_margin"), F.avg((m < 0).cast("int")).alias("fp_rate"), F.avg(seen).alias("cross_confusion")).where(F.col("n") >= min_samples)
+    out = df.groupBy(target, other).agg(F.count(F.lit(1)).alias("n"), F.avg((m < 0).cast("int")).alias("fp_rate"), F.avg(seen).alias("cross_confusion")).where(F.col("n") >= min_samples)
+    median = exact_quantiles(df, [target, other], margin, [0.5]).select(target, other, F.round(F.col("q")[0], 6).alias("median_margin"))
+    out = out.join(median, [target, other], "left")
     return out.withColumn("override", (F.col("median_margin") >= min_margin) & (F.col("fp_rate") <= max_fp))
 
 
@@ -124,4 +157,4 @@ def share_of_total(df: DataFrame, by: str, value: str) -> DataFrame:
 def vector_means(df: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean and median of each element over a group's vectors, in long form."""
     long = df.select(by, F.posexplode(vector).alias("dim", "x"))
-    return long.groupBy(by, "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(F.col("x").cast("double"), F.lit(0.5)), 6).alias("median_x"))
+    return exact_quantiles(long, [by, "dim"], "x", [0.5]).select(by, "dim", "n", F.round(F.col("q")[0], 6).alias("median_x"))

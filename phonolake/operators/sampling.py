@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,32 +40,37 @@ def budget_fill(df: DataFrame, by: str, key: str, cost: str, target: int, keep:
     """For each group, rows in key order until their cost reaches the target.
 
     A row that would exceed it is skipped, and later ones are still tried; the first row is always taken. What a row
-    does depends on all before it, so a group is folded in one task, on its keys and costs only; rows that come after
-    `target / least cost` taken ones can't be reached.
+    does depends on all before it, so a group streams through one task in key order, as keys and costs only; the task
+    holds the running total and nothing else. Rows without a cost are skipped.
     """
+    columns = list(dict.fromkeys([by, key, cost, *keep]))
     taken = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in [by, *keep])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, total, rows = pdf.sort_values(key), 0, []
-        for i, c in enumerate(pdf[cost]):
-            if total >= target:
-                break
-            if rows and total + c > target:
-                continue
-            rows.append(i)
-            total += c
-        return pdf.iloc[rows][[by, *keep]]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, total, some = object(), 0, False
+        for pdf in batches:
+            rows = []
+            for i, (g, c) in enumerate(zip(pdf[by], pdf[cost], strict=True)):
+                if g != group and not (pd.isna(g) and group is None):
+                    group, total, some = None if pd.isna(g) else g, 0, False
+                if not some or (total < target and total + c <= target):
+                    rows.append(i)
+                    total, some = total + c, True
+            yield pdf.iloc[rows][[by, *keep]]
 
-    return df.select(by, key, cost, *[k for k in keep if k not in (key, cost)]).groupBy(by).applyInPandas(fold, taken)
+    rows = df.select(*columns).where(F.col(cost).isNotNull())
+    return rows.repartition(by).sortWithinPartitions(by, key).mapInPandas(fold, taken)
 
 
 #: Rows of each group that a round of balanced_fill holds.
 BLOCK = 256
 
 
-def balanced_fill(df: DataFrame, groups: str, key: str, cost: str, target: int, keep: list[str]) -> DataFrame:
+def balanced_fill(df: DataFrame, groups: str, key: str, cost: str, target: int, keep: list[str], seed: int | None = None) -> DataFrame:
     """Round by round, the group with the least cost so far gives its next row that still fits the overall target.
 
+    Groups of equal cost take turns by a seeded hash of their names, or by the names where seed is None.
+
     The overall total binds all groups, so the fold runs once, on the driver, over the next BLOCK rows of each group
     that still fit; when a group's block is used up, its following rows that fit are fetched, until none has any. Rows
     that don't fit, or have no cost, are skipped. Rows of equal keys follow in the order of their costs and kept columns.
@@ -98,21 +105,22 @@ def balanced_fill(df: DataFrame, groups: str, key: str, cost: str, target: int,
         return at
 
     held = fetch()
-    heap = [(0, g is not None, g) for g in held]
+    turn = lambda g: "" if seed is None or g is None else hashlib.sha1(f"{seed}|group|{g}".encode()).hexdigest()
+    heap = [(0, g is not None, turn(g), g) for g in held]
     heapq.heapify(heap)
     while heap:
-        own, named, g = heap[0]
+        own, named, order, g = heap[0]
         while held[g] and total + held[g][-1][1] > target:
             passed(g)
         if held[g]:
             at = passed(g)
             total += at[1]
             out.append((g, *at))
-            heapq.heapreplace(heap, (own + at[1], named, g))
+            heapq.heapreplace(heap, (own + at[1], named, order, g))
         elif g in whole:
             heapq.heappop(heap)
         else:
-            held |= fetch([x for _, _, x in heap if not held[x] and x not in whole])
+            held |= fetch([x for _, _, _, x in heap if not held[x] and x not in whole])
     return df.sparkSession.createDataFrame(out, df.select(*names).schema).select(groups, *keep)
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .aggregates import exact_quantiles
+
 
 def verdict(fit: Column, margin: Column, floor: float, delta: float) -> Column:
     """fit_ok from the floor on; else a likely substitution if another target fits better by delta; else atypical."""
@@ -32,49 +37,76 @@ def fold_metrics(df: DataFrame, fold: Column, correct: Column) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("accuracy"), 9).alias("mean_accuracy"), F.round(F.stddev_pop("accuracy"), 9).alias("std_accuracy"))
 
 
-def chi2_quantile(dof: int, z: float = 3.0902323061678132) -> float:
-    """The chi-square quantile at the normal quantile z (0.999), by Wilson and Hilferty's formula."""
-    return dof * (1 - 2 / (9 * dof) + z * (2 / (9 * dof)) ** 0.5) ** 3
-
+def scatter(rows: DataFrame, by: str, ridge: float) -> DataFrame:
+    """by, n, precision: the inverse of each group's scatter about its centre, with a ridge. rows: by, v, centre.
 
-def robust_models(df: DataFrame, by: str, vector: str, ridge: float = 1e-6, min_samples: int = 20, most_rows: int = 100_000) -> DataFrame:
-    """Centre, inverse scatter and distance threshold of each group's vectors.
+    Every task sums the outer products of its own rows; what is shuffled is one matrix a task and group.
+    """
 
-    The centre is the median; the scatter about it is fitted, rows beyond the 0.999 quantile of squared distances are
-    trimmed, and it is fitted again. A group larger than most_rows is fitted on as many rows, chosen by a hash of the
-    vector (a documented bound on what a task holds); smaller groups are used whole; groups under min_samples are left out.
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for g, p in pdf.groupby(by, dropna=False):
+                d = np.stack(p["v"].to_numpy()) - np.stack(p["centre"].to_numpy())
+                n, s = sums.get(g, (0, 0.0))
+                sums[g] = n + len(d), s + d.T @ d
+        if sums:
+            yield pd.DataFrame({by: list(sums), "n": [n for n, _ in sums.values()], "s": [s.ravel() for _, s in sums.values()]})
+
+    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, k = int(pdf["n"].iloc[0]), int(len(pdf["s"].iloc[0]) ** 0.5)
+        c = np.array(pdf["s"].iloc[0], float).reshape(k, k) / max(1, n - 1)
+        precision = np.linalg.pinv(c + ridge * np.trace(c) / k * np.eye(k))
+        return pd.DataFrame({by: pdf[by], "n": [n], "precision": [precision.ravel().tolist()]})
+
+    kind = f"{by} {dict(rows.dtypes)[by]}"
+    parts = rows.select(by, "v", "centre").mapInPandas(part, f"{kind}, n long, s array<double>")
+    cells = parts.select(by, "n", F.posexplode("s").alias("i", "x")).groupBy(by, "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = cells.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("s"))  # dimensions squared
+    return whole.groupBy(by).applyInPandas(invert, f"{kind}, n long, precision array<double>")  # one row each
+
+
+def medians(rows: DataFrame, by: str) -> DataFrame:
+    """by, centre: the median of every dimension of a group's vectors. rows: by, v."""
+    long = rows.select(by, F.posexplode("v").alias("dim", "x"))
+    q = exact_quantiles(long, [by, "dim"], "x", [0.5]).select(by, "dim", F.col("q")[0].alias("x"))
+    return q.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("centre"))
+
+
+def squared_distance(vector: Column, centre: Column, precision: Column) -> Column:
+    """The squared distance of a vector from a centre by an inverse scatter, held row by row in one array."""
+    d = F.zip_with(vector, centre, lambda x, c: x - c)
+    n = F.size(vector)
+    row = lambda i: F.aggregate(F.zip_with(d, F.slice(precision, i * n + 1, n), lambda a, p: a * p), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.transform(d, lambda a, i: a * row(i)), F.lit(0.0), lambda s, x: s + x)
+
+
+def robust_models(df: DataFrame, by: str, vector: str, ridge: float = 1e-3, min_samples: int = 20, quantile: float = 0.95) -> DataFrame:
+    """by, n, centre, precision, threshold: a robust model of each group's vectors; groups under min_samples are left out.
+
+    The centre is the median, the scatter is taken about it; rows beyond the 0.999 quantile of squared distances are
+    trimmed (unless hardly any would be left), and both are taken again. The threshold is a quantile of the distances
+    of all rows. Medians come from ranges of values and scatters from sums by task, so no task holds a group.
     """
-    from pyspark.sql import Window
-
-    order = F.xxhash64(vector)
-    rows = df.where(F.col(vector).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_r") <= most_rows).select(by, F.col(vector).cast("array<double>").alias("v"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        out = pd.DataFrame({by: pdf[by].iloc[:1], "n": [len(x)], "centre": [None], "precision": [None], "threshold": [None]})
-        if len(x) < min_samples:
-            return out.iloc[:0]
-        for _ in range(2):
-            c = np.median(x, axis=0)
-            d = x - c
-            p = np.linalg.pinv(d.T @ d / len(d) + ridge * np.eye(d.shape[1]))
-            m = np.einsum("ij,jk,ik->i", d, p, d)
-            keep = m <= chi2_quantile(x.shape[1])
-            if keep.all() or keep.sum() < min_samples:
-                break
-            x = x[keep]
-        out.at[out.index[0], "centre"], out.at[out.index[0], "precision"] = c.tolist(), p.ravel().tolist()
-        out["threshold"] = float(np.quantile(np.sqrt(np.maximum(m, 0)), 0.95))
-        return out
-
-    return rows.groupBy(by).applyInPandas(fit, f"{by} {dict(df.dtypes)[by]}, n long, centre array<double>, precision array<double>, threshold double")
+    rows = df.where(F.col(vector).isNotNull()).select(by, F.col(vector).cast("array<double>").alias("v"))
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("k")).where(F.col("n") >= min_samples)
+    n = n.withColumn("limit", n["k"] * F.pow(1 - 2 / (9 * n["k"]) + 3.0902323061678132 * F.sqrt(2 / (9 * n["k"])), F.lit(3.0)))
+    rows = rows.join(n.select(by, "k", "limit"), by)
+
+    def with_model(rows: DataFrame) -> DataFrame:
+        centred = rows.join(medians(rows, by), by)
+        return cut(centred.join(scatter(centred, by, ridge).drop("n"), by).withColumn("m", squared_distance(F.col("v"), F.col("centre"), F.col("precision"))), "model-rows")
+
+    first = with_model(rows)
+    left = first.groupBy(by).agg(F.sum((F.col("m") <= F.col("limit")).cast("int")).alias("left"))
+    kept = first.join(left, by).where((F.col("m") <= F.col("limit")) | (F.col("left") < F.col("k") + 1)).select(by, "v", "k", "limit")
+    models = with_model(kept).groupBy(by).agg(F.first("centre").alias("centre"), F.first("precision").alias("precision"))
+    far = rows.join(models, by).select(by, squared_distance(F.col("v"), F.col("centre"), F.col("precision")).alias("m"))
+    threshold = exact_quantiles(far, [by], "m", [quantile]).select(by, F.sqrt(F.greatest(F.col("q")[0], F.lit(0.0))).alias("threshold"))
+    return n.select(by, "n").join(models, by).join(threshold, by)
 
 
 def typicality(df: DataFrame, models: DataFrame, by: str, vector: str) -> DataFrame:
     """Each row's distance from its group's centre and fit exp(-(d / threshold)^2 / 2). models: one row a group."""
-    d = F.zip_with(F.col(vector).cast("array<double>"), F.col("centre"), lambda x, c: x - c)
-    out = df.join(models, by).withColumn("_d", d).withColumn("_n", F.size("_d"))
-    row = lambda i: F.aggregate(F.zip_with("_d", F.slice(F.col("precision"), i * F.col("_n") + 1, F.col("_n")), lambda a, p: a * p), F.lit(0.0), lambda s, x: s + x)
-    square = F.aggregate(F.transform("_d", lambda a, i: a * row(i)), F.lit(0.0), lambda s, x: s + x)
-    out = out.withColumn("distance", F.sqrt(F.greatest(square, F.lit(0.0))))
-    return out.withColumn("fit", F.exp(-0.5 * F.pow(F.try_divide(F.col("distance"), F.col("threshold")), F.lit(2.0)))).drop("_d", "_n", "centre", "precision", "threshold", "n")
+    out = df.join(models, by).withColumn("distance", F.sqrt(F.greatest(squared_distance(F.col(vector).cast("array<double>"), F.col("centre"), F.col("precision")), F.lit(0.0))))
+    return out.withColumn("fit", F.exp(-0.5 * F.pow(F.try_divide(F.col("distance"), F.col("threshold")), F.lit(2.0)))).drop("centre", "precision", "threshold", "n")

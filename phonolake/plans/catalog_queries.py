@@ -96,8 +96,7 @@ def auc_cohen(spark, d):
     return A.separation(observations(spark, d), "lang", "n_chars", "quality")
 
 
-@query(f"""WITH o AS {OBSERVATIONS}, s AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM o), st AS (SELECT lo, greatest(floor((hi - lo) / 256.0), 1) AS step FROM s),
-p AS (SELECT (lo + floor((n_chars - lo) / step) * step)::BIGINT AS cut, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS neg FROM o, st GROUP BY 1),
+@query(f"""WITH p AS (SELECT n_chars AS cut, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS neg FROM {OBSERVATIONS} GROUP BY 1),
 b AS (SELECT cut, round((sum(pos) OVER (ORDER BY cut DESC)::DOUBLE / sum(pos) OVER () + (1 - sum(neg) OVER (ORDER BY cut DESC)::DOUBLE / sum(neg) OVER ())) / 2, 9) AS balanced_accuracy FROM p)
 SELECT cut, balanced_accuracy FROM b ORDER BY balanced_accuracy DESC, cut LIMIT 1""")
 def best_threshold(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dot, sha1_mod100, split_of
+from ..operators.aggregates import exact_quantiles  # noqa: I001
 from ..operators import joins as J
 from ..operators import sampling as S
 from ..operators import windows as W
@@ -63,7 +64,7 @@ def balanced_round_robin(spark, d):
     """Compared with a plain fold in the tests."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     docs = docs.withColumn("key", S.hash_key(F.lit("3"), F.col("source"), F.col("doc_id")))
-    return S.balanced_fill(docs, "source", "key", "n_chars", 60_000, ["doc_id"])
+    return S.balanced_fill(docs, "source", "key", "n_chars", 60_000, ["doc_id"], seed=3)
 
 
 @query("""WITH t AS (SELECT lang, source, doc_id, n_chars, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS i, CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src2' THEN 0 END AS q FROM documents),
@@ -206,16 +207,14 @@ def split_leaks(spark, d):
     return J.overlaps_between(phone_events(spark, d), "speaker", "phone")
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT label, i, quantile_cont(v[i], 0.5) AS c, (quantile_cont(v[i], 0.75) - quantile_cont(v[i], 0.25)) / 1.349 AS s FROM e, range(1, 5) t(i) GROUP BY label, i)
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT label, i, quantile_cont(v[i], 0.5) AS c, (quantile_cont(v[i], 0.75) - quantile_cont(v[i], 0.25)) / 1.349 AS s FROM e, range(1, 65) t(i) GROUP BY label, i)
 SELECT e.vec_id, round(sum(pow((e.v[m.i] - m.c) / greatest(m.s, 1e-9), 2)), 6) AS distance FROM e JOIN m ON e.label = m.label GROUP BY e.vec_id""")
 def diagonal_mahalanobis(spark, d):
-    e = table(spark, d, "embeddings")
-    x = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)]
-    rows = e.select("vec_id", "label", *x)
-    q = lambda i: F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    centre = rows.groupBy("label").agg(*[q(i).alias(f"q{i}") for i in range(4)])
-    z = lambda i: F.pow((F.col(f"x{i}") - F.col(f"q{i}")[1]) / F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(1e-9)), F.lit(2.0))
-    return rows.join(centre, "label").select("vec_id", F.round(z(0) + z(1) + z(2) + z(3), 6).alias("distance"))
+    long = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
+    q = exact_quantiles(long, ["label", "dim"], "x", [0.25, 0.5, 0.75])
+    model = q.select("label", "dim", F.col("q")[1].alias("c"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(1e-9)).alias("s"))
+    z = F.pow((F.col("x") - F.col("c")) / F.col("s"), F.lit(2.0))
+    return long.join(model, ["label", "dim"]).groupBy("vec_id").agg(F.round(F.sum(z), 6).alias("distance"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE * 10) AS v FROM embeddings), m AS (SELECT *, list_max(v) AS mx FROM e)
@@ -239,8 +238,7 @@ def linear_detector(spark, d):
 SELECT event_id, CASE WHEN z IS NULL THEN NULL WHEN z <= -1.0 THEN 'short' WHEN z >= 1.0 THEN 'long' ELSE 'expected' END AS note, round(exp(-0.5 * pow(z / 1.0, 2)), 6) AS score FROM z""")
 def length_cue(spark, d):
     e = phone_events(spark, d)
-    q = F.percentile("duration_ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = e.groupBy("phone").agg(q.alias("q")).select("phone", F.col("q")[1].alias("m"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("sc"))
+    stats = exact_quantiles(e, ["phone"], "duration_ms", [0.25, 0.5, 0.75]).select("phone", F.col("q")[1].alias("m"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("sc"))
     z = F.when(F.col("sc") > 0, (F.col("duration_ms") - F.col("m")) / F.col("sc"))
     out = e.join(stats, "phone").select("event_id", z.alias("z"))
     note = F.when(F.col("z").isNull(), None).when(F.col("z") <= -1.0, "short").when(F.col("z") >= 1.0, "long").otherwise("expected")

@@ -46,7 +46,7 @@ def fold_accuracy(spark, d):
 @query()
 def robust_scatter(spark, d):
     """Fit of each vector to its label's robust model (tested against numpy)."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 6).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     return S.typicality(e, S.robust_models(e, "label", "v"), "label", "v").select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("fit", 6).alias("fit"))
 
 
@@ -76,9 +76,9 @@ def differing_positions(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(differ).cast("long").alias("n_differ"))
 
 
-@query("SELECT conv_id, turn, list_aggregate(list_filter(list_transform(regexp_split_to_array(lower(text[1:60]), ''), lambda c: CASE WHEN c IN ('é', 'è', 'ê') THEN 'e' WHEN c = ' ' THEN NULL ELSE c END), lambda c: c IS NOT NULL), 'string_agg', '') AS collapsed FROM conversations")
+@query("SELECT conv_id, turn, list_aggregate(list_filter(list_transform(regexp_split_to_array(lower(text), ''), lambda c: CASE WHEN c IN ('é', 'è', 'ê') THEN 'e' WHEN c = ' ' THEN NULL ELSE c END), lambda c: c IS NOT NULL), 'string_agg', '') AS collapsed FROM conversations")
 def collapse_tokens(spark, d):
-    one = F.transform(F.split(F.lower(F.substring("text", 1, 60)), ""), lambda c: F.when(c.isin("é", "è", "ê"), "e").when(c == " ", None).otherwise(c))
+    one = F.transform(F.split(F.lower("text"), ""), lambda c: F.when(c.isin("é", "è", "ê"), "e").when(c == " ", None).otherwise(c))
     joined = F.array_join(F.filter(one, lambda c: c.isNotNull()), "")
     return table(spark, d, "conversations").select("conv_id", "turn", F.when(joined != "", joined).alias("collapsed"))
 
