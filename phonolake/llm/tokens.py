@@ -15,7 +15,8 @@ import numpy as np
 _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Texts with a character of these kinds are cut by the patterns below, others by plain splitting, to the same units.
 _ODD = re.compile("[\x00\x1c-\x1f]")
-_ODD_SPACED = re.compile(rf"[{_WS}][{_WS}]|[\x00{_WS.replace(' ', '').replace(chr(10), '')}]|\A[{_WS}]|[{_WS}]\Z")
+_ODD_SPACED = re.compile(rf"[\x00{_WS.replace(' ', '').replace(chr(10), '')}]")
+_GAPS = ("  ", " \n", "\n ", "\n\n")
 #: Words between white space, for tokenizers that drop white space.
 WORDS = rf"[^{_WS}]+"
 #: A word with at most one space before it, else white space, for byte-level tokenizers that keep it.
@@ -25,7 +26,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 # Units of this kind are encoded many at once: one run of letters, then at most one run of marks.
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?|]*)")
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?|$*&%#]*)")
 
 
 class Encoder:
@@ -48,10 +49,12 @@ class Encoder:
         for token, k in self.tokenizer.get_vocab().items():
             edge[k] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
         self.edge = np.array(edge)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.spaced and len(line) == 1 else None
 
     def _units(self, text: str) -> list[str]:
         """Keys of a text's units. Where spaces count, a mark stands before the unit itself; a key without it is a word and the space before it."""
-        if self.odd.search(text):
+        if self.odd.search(text) or (self.spaced and text and (text[0] in " \n" or text[-1] in " \n" or any(g in text for g in _GAPS))):
             units = self.find(text)
             return [f"\0{u}" for u in units] if self.spaced else units
         if not self.spaced:
@@ -68,15 +71,33 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _by_line(self, units: list[str]) -> list[bytes] | None:
+        """Ids of plain units without a space before them by one call, each on a line."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(ids == self.line)
+        if len(at) != len(units) - 1:
+            return None
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+
     def _learn(self, new: list[str]) -> None:
-        plain, edges, rest = [], [], []
+        plain, edges, marked, rest = [], [], [], []
         for u in new:
-            m = _PLAIN.fullmatch(u)  # marked keys never match
+            m = _PLAIN.fullmatch(u)
             if m:
                 plain.append(u)
                 edges.append(1 if self.spaced or not m[1] else 2)
+            elif self.line is not None and u[:1] == "\0" and _PLAIN.fullmatch(u, 1):
+                marked.append(u)
             else:
                 rest.append(u)
+        for i in range(0, len(marked), 400):
+            part = marked[i : i + 400]
+            got = self._by_line([u[1:] for u in part])
+            if got is None:
+                rest += part
+            else:
+                self.known.update(zip(part, got, strict=True))
         for i in range(0, len(plain), 400):
             part = plain[i : i + 400]
             got = self._together([f" {u}" for u in part] if self.spaced else part, edges[i : i + 400])
