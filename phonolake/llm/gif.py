@@ -266,7 +266,7 @@ def frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> D
 
 
 STORED_FRAMES = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
     "frames array<struct<delay_ms int, left int, top int, width int, height int, disposal int, transparent int, histogram array<int>>>"
 )
 
@@ -274,31 +274,25 @@ STORED_FRAMES = (
 def store_frames(stored: DataFrame) -> DataFrame:
     """The stored GIFs read back and decoded: of each, its digests and its timed frames with their colour histograms.
 
-    Written to the shared folder beside the media, which hold the frames' samples. stored: doc_id, n_bytes, media.
+    The feature is the number of frames and their summed histogram in thousandths. Written to the shared folder beside
+    the media, which hold the frames' samples. stored: doc_id, n_bytes, media.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in STORED_FRAMES.split(", ")[:7]] + ["frames"]
+        names = [x.split()[0] for x in STORED_FRAMES.split(", ")[:8]] + ["frames"]
         for pdf in batches:
             rows = []
             for d, n, media in zip(pdf["doc_id"].astype("Int64"), pdf["n_bytes"], pdf["media"], strict=True):
-                parts, timed = [], []
+                parts, timed, total = [], [], np.zeros(BINS, np.int64)
                 for f in decode(media):
                     parts.append(f.samples.tobytes())
-                    timed.append({"delay_ms": 10 * f.delay_cs, "left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "disposal": f.disposal, "transparent": f.transparent, "histogram": histogram(f.canvas)})
+                    shown = histogram(f.canvas)
+                    total += shown
+                    timed.append({"delay_ms": 10 * f.delay_cs, "left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "disposal": f.disposal, "transparent": f.transparent, "histogram": shown})
+                shares = 1000 * total // max(1, total.sum())
+                feature = f"{len(parts)}:" + ",".join(map(str, shares))
                 payload = b"".join(parts)
-                rows.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), timed))
+                rows.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, timed))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return materialize(stored.select("doc_id", "n_bytes", "media").mapInPandas(task, STORED_FRAMES), "gif-frames")
-
-
-def digests(frames: DataFrame) -> DataFrame:
-    """Of each stored text its digests and a feature: the number of frames and their summed histogram in thousandths."""
-    none = F.array_repeat(F.lit(0).cast("long"), BINS)
-    total = F.aggregate("frames", none, lambda s, f: F.zip_with(s, f["histogram"], lambda a, b: a + b))
-    whole = F.greatest(F.aggregate("total", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(1))
-    shares = F.array_join(F.transform("total", lambda x: F.floor(1000 * x / F.col("whole")).cast("string")), ",")
-    rows = frames.withColumn("total", total).withColumn("whole", whole)
-    feature = F.concat(F.size("frames").cast("string"), F.lit(":"), shares)
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

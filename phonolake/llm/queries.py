@@ -50,7 +50,7 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.digests(gif.store_frames(gif.store_texts(documents(spark, sf_dir))))
+    return gif.store_frames(gif.store_texts(documents(spark, sf_dir))).drop("frames")
 
 
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:

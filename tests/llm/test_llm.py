@@ -201,14 +201,14 @@ def test_gif_round_trip(spark, awkward, none):
     for payload in (b" " * 192, bytes(rng.integers(0, 256, 192 * 700, dtype=np.uint8)), b"a" * 192 * 1500, b"abc" * 64 * 900):
         frames = list(gif.decode(gif.encode(payload)))
         assert b"".join(f.samples.tobytes() for f in frames) == payload and len(frames) == -(-len(payload) // (192 * gif.FRAME_ROWS))
-    got = gif.digests(gif.store_frames(gif.store_texts(awkward))).toPandas()
+    got = gif.store_frames(gif.store_texts(awkward)).toPandas()
     want = Counter(hashlib.sha256(gif.payload_of(t)[1]).hexdigest() for _, t in texts_of(awkward))
     assert Counter(got["payload_sha256"]) == want
     rows = gif.frames(gif.store_texts(awkward)).collect()
     assert all(sum(r["histogram"]) == r["width"] * r["height"] == len(r["samples"]) for r in rows if r["frame"] == 0)
     stored = gif.store_frames(gif.store_texts(awkward)).collect()
     assert all(sum(f["width"] * f["height"] for f in r["frames"]) == r["payload_bytes"] == sum(sum(f["histogram"]) for f in r["frames"]) and {f["delay_ms"] for f in r["frames"]} == {40} for r in stored)
-    assert gif.digests(gif.store_frames(gif.store_texts(none))).count() == 0
+    assert gif.store_frames(gif.store_texts(none)).count() == 0
     broken = spark.createDataFrame([(1, b"GIF89a"), (2, None), (3, b"no")], "doc_id long, media binary")
     assert gif.frames(broken).count() == 0
 
