@@ -68,3 +68,40 @@ def coverage(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
 def overlaps_between(df: DataFrame, key: str, part: str) -> DataFrame:
     """Keys that occur in more than one part (leaks between splits)."""
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(part)), ",").alias("parts"), F.countDistinct(part).alias("n_parts")).where("n_parts > 1")
+
+
+def _meeting(left: DataFrame, right: DataFrame, on: str, bin_size: int) -> DataFrame:
+    """Pairs of overlapping intervals (s, e and rs, re) of a key, once each; both sides are dealt out by time bins as well."""
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size)))
+    joined = left.withColumn("_bin", bins("s", "e")).join(right.withColumn("_bin", bins("rs", "re")), [on, "_bin"])
+    return joined.where("s < re AND e > rs").where(F.floor(F.greatest("s", "rs") / bin_size) == F.col("_bin")).drop("_bin")
+
+
+def overlap_first(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, primary: str, bin_size: int) -> DataFrame:
+    """Each left interval's first right one: primary before not, then the longest overlap, then the smallest id; nulls without any."""
+    hit = _meeting(left.select(on, left_id, "s", "e"), right.select(on, right_id, primary, F.col("s").alias("rs"), F.col("e").alias("re")), on, bin_size)
+    overlap = F.least("e", "re") - F.greatest("s", "rs")
+    best = hit.groupBy(left_id).agg(F.max(F.struct(primary, overlap.alias("overlap"), (-F.col(right_id)).alias("id"))).alias("m"))
+    return left.select(left_id).join(best, left_id, "left").select(left_id, (-F.col("m.id")).alias(right_id), F.col(f"m.{primary}").alias(primary), F.col("m.overlap").alias("overlap"))
+
+
+def nearest_containing(points: DataFrame, intervals: DataFrame, on: str, point_id: str, right_id: str, bin_size: int) -> DataFrame:
+    """Each point's interval: of those that contain it the nearest centre, else the nearest centre of all.
+
+    Containment is a join by time bins; the nearest centre is looked up by windows over points and centres together. So
+    no point meets all the intervals of its key.
+    """
+    centre = F.floor((F.col("rs") + F.col("re")) / 2)
+    right = intervals.select(on, right_id, F.col("s").alias("rs"), F.col("e").alias("re"))
+    spots = points.select(on, point_id, "t", F.col("t").alias("s"), (F.col("t") + 1).alias("e"))
+    inside = _meeting(spots, right, on, bin_size).groupBy(point_id).agg(F.min(F.struct(F.abs(centre - F.col("t")).alias("d"), F.col(right_id).alias("id"))).alias("inside"))
+    both = points.select(on, "t", F.col(point_id).alias("_p"), F.lit(None).cast("long").alias("_i")).unionByName(right.select(on, centre.alias("t"), F.lit(None).cast("long").alias("_p"), F.col(right_id).alias("_i")))
+    mark = F.when(F.col("_i").isNotNull(), F.struct("t", F.col("_i").alias("id")))
+    back = Window.partitionBy(on).orderBy("t", F.col("_i").isNull(), F.desc("_i")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(on).orderBy("t", F.col("_i").isNotNull(), "_i").rowsBetween(1, Window.unboundedFollowing)
+    near = both.withColumn("b", F.last(mark, True).over(back)).withColumn("a", F.first(mark, True).over(ahead)).where("_p IS NOT NULL")
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("d"), F.col(f"{c}.id").alias("id")))
+    near = near.select(F.col("_p").alias(point_id), F.array_min(F.array_compact(F.array(side("b"), side("a")))).alias("near"))
+    out = points.select(point_id).join(inside, point_id, "left").join(near, point_id, "left")
+    best = F.coalesce("inside", "near")
+    return out.select(point_id, best["id"].alias(right_id), F.when(best.isNotNull(), F.col("inside").isNotNull()).alias("inside"), best["d"].alias("distance"))

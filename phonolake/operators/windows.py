@@ -75,3 +75,14 @@ def cume_rank(df: DataFrame, by: str, value: str) -> DataFrame:
     per = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
     up = Window.partitionBy(by).orderBy(value)
     return per.select(by, value, (F.sum("c").over(up) / F.sum("c").over(Window.partitionBy(by))).alias("rank"))
+
+
+def longest_interval(df: DataFrame, by: str, order: list[str], flag: Column, time: str) -> DataFrame:
+    """The longest run of rows with the flag (the first among equals): its rows and its first and last time."""
+    w = Window.partitionBy(by).orderBy(*order)
+    rows = df.withColumn("_f", F.coalesce(flag, F.lit(False)))
+    rows = rows.withColumn("_new", F.when(F.lag("_f").over(w).eqNullSafe(F.col("_f")), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per = rows.where("_f").groupBy(by, "_run").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("s"), F.max(time).alias("e"))
+    best = per.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("n"), "s", "e")).alias("m"))
+    return best.select(by, (-F.col("m.n")).alias("n"), F.col("m.s").alias("start_us"), F.col("m.e").alias("end_us"))
