@@ -6,17 +6,38 @@ a regular expression over that string; so the whole chain runs inside the JVM, o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exprs import turkish_lower
+from .exprs import turkish_lower, words
+from .phones import PHONES as INVENTORY
+from .phones import SPACE, STRESS
+
+# Other ways to write the inventory's phones (fixed values).
+ALIASES = {
+    "dZ": "d͡ʒ", "dʒ": "d͡ʒ", "ʤ": "d͡ʒ", "tS": "t͡ʃ", "tʃ": "t͡ʃ", "ʧ": "t͡ʃ", "S": "ʃ", "Z": "ʒ", "N": "ŋ", "gj": "ɟ", "g": "ɡ", "r": "ɾ", "R": "ɾ",
+    "1": "ɯ", "2": "œ", "5": "ɫ", "L": "ɫ", "I": "ɯ", "ı": "ɯ", "ø": "œ", "ø̞": "œ", "ɛ": "e", "ɪ": "i", "ɨ": "ɯ", "ʊ": "u", "ʏ": "y", "ʎ": "l", "ɳ": "ɲ", "ł": "ɫ", "ɰ": "j",
+}
 
 # One-character codes of the phones that IPA writes with several (fixed values).
 CODES = {"A": "aː", "E": "eː", "I": "iː", "Ɯ": "ɯː", "O": "oː", "Œ": "œː", "U": "uː", "Y": "yː", "C": "t͡ʃ", "J": "d͡ʒ", "P": "pʰ", "T": "tʰ", "K": "kʰ", "Q": "cʰ", "W": "β̞", "R": "ɾ̞̊"}
 # Letters and the phones they stand for (fixed values).
 LETTERS, PHONES = "abcçdefgğhıijklmnoöprsştuüvyzqwâîû", "abJCdefɡğhɯiʒkɫmnoœpɾsʃtuyvjzkvAIU"
 # Names of the letters, for acronyms (fixed values).
-LETTER_NAMES = dict(zip("abcçdefghıijklmnoöprsştuüvwxyz", "a be Je Ce de e fe ɟe he ɯ i ʒe kA le me ne o œ pe ɾe se ʃe te u y ve Ciftve iks je ze".split(), strict=True))
+LETTER_NAMES = {
+    "a": "a", "b": "be", "c": "Je", "ç": "Ce", "d": "de", "e": "e", "f": "fe", "g": "ɟe", "h": "he", "ı": "ɯ",
+    "i": "i", "j": "ʒe", "k": "kA", "l": "le", "m": "me", "n": "ne", "o": "o", "ö": "œ", "p": "pe", "r": "ɾe",
+    "s": "se", "ş": "ʃe", "t": "te", "u": "u", "ü": "y", "v": "ve", "w": "Ciftve", "x": "iks", "y": "je", "z": "ze",
+}
+# Acronyms with a pronunciation of their own (fixed values).
+REFERENCE = {"tbmm": "te.ˈbe.ˈme.ˈme", "trt": "te.ˈɾe.ˈte", "kdv": "kA.ˈde.ˈve", "avm": "a.ˈve.ˈme"}
+# Suffixes that put the stress before them, those of them that do so after verbs only, and what makes a noun of -mA (fixed values).
+PRE_ACCENT = "mA lA ylA cA ki yHm yHz SHn SHnHz DHr Hyor yArAk HncA Hver".split()
+VERBAL_PRE_ACCENT = "yHm yHz SHn SHnHz".split()
+NOMINAL_AFTER = "sH lHk Hn nDA DAn nHn yA ki".split()
+VOICE_BEFORE = "t DHr Hl Hn Hş".split()
 # Word lists (fixed values).
 CLOSED_E = "anne bellek belli belki bencil bengi bengü denge elli engin genç hem kendi mehmet mühendis pencere tencere".split()
 THIN_L = "alkol rol gol hol lazım".split()
@@ -90,9 +111,12 @@ def _liquid(x: Column) -> Column:
     return _sub(_sub(dark, f"ɫ(?=[{_C}.]*[{_FRONT}])", "l"), f"(?<=[{_FRONT}][{_C}.]{{0,8}})ɫ", "l")
 
 
-def _labial_and_nasal(x: Column) -> Column:
+def _labial(x: Column) -> Column:
     x = _sub(x, f"(?<=[{_ROUND}]\\.?)v(?=\\.?[{_V}])|(?<=[{_V}]\\.?)v(?=\\.?[{_ROUND}])", "W")
-    x = _sub(x, f"(?<=[{_ROUND}]\\.?)v|v(?=\\.?[{_ROUND}])", "β")
+    return _sub(x, f"(?<=[{_ROUND}]\\.?)v|v(?=\\.?[{_ROUND}])", "β")
+
+
+def _nasal(x: Column) -> Column:
     return _sub(_sub(x, "n(?=\\.?[kɡ])", "ŋ"), "n(?=\\.?[cɟCJ])", "ɲ")
 
 
@@ -110,33 +134,112 @@ def _aspirate(x: Column) -> Column:
     return x
 
 
-def rules(x: Column, lower: Column, proper: Column, pedagogical: bool = True) -> Column:
-    """The ordered rules from seed phones to dotted phones with the stress mark."""
-    thin, closed, negated, first = lower.isin(THIN_L), lower.isin(CLOSED_E), lower.rlike("m[ea]z$"), lower.isin(FIRST_STRESSED)
-    x = _then(
-        x,
-        lambda x: syllabify(soft_g(x, proper)),
-        _palatal,
-        lambda x: F.when(thin, F.translate(x, "ɫ", "l")).otherwise(_liquid(x)),
-        _labial_and_nasal,
-        lambda x: F.when(closed, x).otherwise(_open_e(x)),
-        lambda x: F.when(negated & ~closed, _open_negation(x)).otherwise(x),
-    )
+def _insert_stress(x: Column, index: Column) -> Column:
+    """The stress mark before the syllable of a number (from 0), the last one where there are fewer; none in a word of one."""
+    parts = F.split(x, "\\.")
+    at = F.least(index, F.size(parts) - 1)
+    marked = F.array_join(F.transform(parts, lambda s, i: F.when(i == at, F.concat(F.lit(STRESS), s)).otherwise(s)), ".")
+    return F.when(F.size(parts) > 1, marked).otherwise(x)
+
+
+def explicit_stress(detail: Column) -> Column:
+    """The number of the syllable before whose mark a detailed transcription puts the stress; null without a mark.
+
+    Syllables are counted by the dots before the mark, or else by the vowels.
+    """
+    before = F.regexp_replace(F.split_part(detail, F.lit(STRESS), F.lit(1)), "^/", "")
+    dots = F.size(F.filter(F.split(before, "\\."), lambda p: p != ""))
+    vowels = F.length(F.regexp_replace(before, "[^aeiɯoœuyæıöüâîû]", ""))
+    return F.when(F.contains(detail, F.lit(STRESS)), F.when(F.contains(before, F.lit(".")), dots).otherwise(vowels))
+
+
+def suffix_stress(root: Column, suffixes: Column, pos: Column) -> Column:
+    """The syllable before the first suffix that pushes the stress to its left; null without such a suffix.
+
+    Copulas do so after verbs only, and -mA not where it makes a noun: before nominal suffixes or after one of voice.
+    """
+
+    def pushes(x: Column, i: Column) -> Column:
+        noun = F.exists(F.slice(suffixes, i + 2, F.greatest(F.size(suffixes) - i - 1, F.lit(0))), lambda t: t.isin(NOMINAL_AFTER)) | F.coalesce(F.get(suffixes, i - 1).isin(VOICE_BEFORE), F.lit(False))
+        return x.isin(PRE_ACCENT) & ~(x.isin(VERBAL_PRE_ACCENT) & ~pos.eqNullSafe(F.lit("VERB"))) & ~((x == "mA") & noun)
+
+    first = F.get(F.filter(F.transform(suffixes, lambda x, i: F.when(pushes(x, i), i)), lambda i: i.isNotNull()), F.lit(0))
+    before = F.concat(root, F.array_join(F.slice(suffixes, F.lit(1), first), ""))
+    vowels = F.length(F.regexp_replace(before, "[^AHIUaeıioöuüâîû]", ""))
+    return F.when(first.isNotNull(), F.greatest(vowels - 1, F.lit(0)))
+
+
+def steps(lower: Column, proper: Column, kind: Column, stress: Column, pedagogical: bool = True) -> list[tuple[str, Callable[[Column], Column]]]:
+    """The ordered rules from seed phones to dotted phones with the stress mark, by name.
+
+    kind: the lexicon's type of the word or an empty text; stress: the number of the stressed syllable where it is known.
+    """
+    thin, closed = lower.isin(THIN_L) | (kind == "thin_l"), lower.isin(CLOSED_E) | (kind == "no_e_open")
+    negated, first = lower.rlike("m[ea]z$"), lower.isin(FIRST_STRESSED) | kind.isin("stress", "thin_l")
+    out = [
+        ("soft_g", lambda x: syllabify(soft_g(x, proper))),
+        ("palatalization", _palatal),
+        ("l_allophony", lambda x: F.when(thin, F.translate(x, "ɫ", "l")).otherwise(_liquid(x))),
+        ("v_allophony", _labial),
+        ("n_assimilation", _nasal),
+        ("e_open", lambda x: F.when(closed, x).otherwise(_open_e(x))),
+        ("final_mez", lambda x: F.when(negated & ~closed, _open_negation(x)).otherwise(x)),
+    ]
     if pedagogical:  # onset stops are aspirated (a word without a vowel is all onset), then r loses its voice
-        x = _then(x, lambda x: F.when(x.rlike(f"[{_V}]"), _aspirate(x)).otherwise(F.translate(x, "ptkc", "PTKQ")), lambda x: _sub(x, f"ɾ(?=$|\\.?[{_VOICELESS}])", "R"))
-    stressed = lambda x: F.when(first, F.concat(F.lit("ˈ"), x)).otherwise(_sub(x, "\\.(?=[^.]*$)", ".ˈ"))
-    return _then(x, lambda x: F.when(F.contains(x, F.lit(".")), stressed(x)).otherwise(x))
+        out += [
+            ("aspiration", lambda x: F.when(x.rlike(f"[{_V}]"), _aspirate(x)).otherwise(F.translate(x, "ptkc", "PTKQ"))),
+            ("r_devoicing", lambda x: _sub(x, f"ɾ(?=$|\\.?[{_VOICELESS}])", "R")),
+        ]
+    place = F.coalesce(stress, F.when(first, 0), F.lit(99))
+    return [*out, ("stress", lambda x: _insert_stress(x, place))]
+
 
+def rules(x: Column, *args, **kw) -> Column:
+    return _then(x, *[f for _, f in steps(*args, **kw)])
 
-def transcribe(word: Column, lexicon_phones: Column | None = None, pedagogical: bool = True) -> Column:
-    """A word's coded, dotted and stressed phones. lexicon_phones: seed phones (coded) that take precedence, where not null."""
-    word = _sub(F.trim(word), '^[ .,;:!?()\\[\\]{}"“”]+|[ .,;:!?()\\[\\]{}"“”]+$', "")
-    start = F.when(is_acronym(word), acronym_seed(word)).otherwise(seed(word))
-    if lexicon_phones is not None:
-        start = F.coalesce(lexicon_phones, start)
+
+def traced(x: Column, *args, **kw) -> Column:
+    """Array of the steps: name, input, output, fired."""
+    rows = F.array().cast("array<struct<name: string, input: string, output: string, fired: boolean>>")
+    state = F.struct(x.alias("x"), rows.alias("rows"))
+
+    def step(name: str, f: Callable[[Column], Column]) -> list[Callable[[Column], Column]]:
+        apply = lambda s: F.struct(s["x"].alias("before"), f(s["x"]).alias("x"), s["rows"].alias("rows"))
+        row = lambda s: F.struct(F.lit(name).alias("name"), s["before"].alias("input"), s["x"].alias("output"), (s["before"] != s["x"]).alias("fired"))
+        return [apply, lambda s: F.struct(s["x"].alias("x"), F.concat(s["rows"], F.array(row(s))).alias("rows"))]
+
+    return _then(state, *[g for name, f in steps(*args, **kw) for g in step(name, f)])["rows"]
+
+
+def bare_word(word: Column) -> Column:
+    return _sub(F.trim(word), '^[ .,;:!?()\\[\\]{}"“”]+|[ .,;:!?()\\[\\]{}"“”]+$', "")
+
+
+def _start(word: Column) -> tuple[Column, Column]:
+    """(seed phones, whether the word is written as a name) of a bare word."""
     first = F.substring(word, 1, 1)
-    proper = (F.upper(first) == first) & (F.lower(first) != first)
-    return rules(start, turkish_lower(word), proper, pedagogical)
+    return F.when(is_acronym(word), acronym_seed(word)).otherwise(seed(word)), (F.upper(first) == first) & (F.lower(first) != first)
+
+
+def transcribe(word: Column, pedagogical: bool = True) -> Column:
+    """A word's coded, dotted and stressed phones, by the rules alone."""
+    word = bare_word(word)
+    start, proper = _start(word)
+    return rules(start, turkish_lower(word), proper, F.lit(""), F.lit(None).cast("int"), pedagogical)
+
+
+def trace(word: Column) -> Column:
+    """The steps that transcribe takes, from the letters on."""
+    word = bare_word(word)
+    start, proper = _start(word)
+    first = F.struct(F.lit("grapheme_map").alias("name"), word.alias("input"), start.alias("output"), F.lit(True).alias("fired"))
+    return F.concat(F.array(first), traced(start, turkish_lower(word), proper, F.lit(""), F.lit(None).cast("int")))
+
+
+def encoded(tokens: Column) -> Column:
+    """One character for each phone of an array."""
+    table = F.create_map(*[F.lit(x) for code, ipa in CODES.items() for x in (ipa, code)])
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
 
 
 def spelled(coded: Column) -> Column:
@@ -154,15 +257,109 @@ def phones(coded: Column) -> Column:
 
 
 def strip_stress(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: t != "ˈ")
-
-
-def pronounce(df: DataFrame, word: str, lexicon: DataFrame | None = None) -> DataFrame:
-    """The distinct words of a column with coded phones and IPA; lexicon: word, phones (coded), optional."""
-    distinct = df.select(word).where(F.col(word).isNotNull()).distinct()
-    if lexicon is not None:
-        distinct = distinct.join(lexicon.select(F.col("word").alias(word), F.col("phones").alias("_lex")), word, "left")
-        coded = transcribe(F.col(word), F.col("_lex"))
+    return F.filter(tokens, lambda t: t != STRESS)
+
+
+def strip_meta(tokens: Column) -> Column:
+    """Without stress marks and spaces between words."""
+    return F.filter(tokens, lambda t: ~t.isin(STRESS, SPACE))
+
+
+def canonical_stress(tokens: Column) -> Column:
+    """The stress mark of each word moved to the onset of the syllable that holds what follows it."""
+
+    def word(c: Column) -> Column:
+        place, plain = F.instr(c, STRESS) - 1, F.replace(c, F.lit(STRESS))
+        parts = F.split(syllabify(plain), "\\.")
+        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), "")))
+        at = F.least(F.size(F.filter(ends, lambda e: e <= place)), F.size(parts) - 1)
+        marked = F.array_join(F.transform(parts, lambda s, i: F.when(i == at, F.concat(F.lit(STRESS), s)).otherwise(s)), "")
+        return F.when(F.contains(c, F.lit(STRESS)), marked).otherwise(c)
+
+    coded = encoded(F.transform(tokens, lambda t: F.when(t == SPACE, " ").otherwise(t)))
+    one = F.filter(F.split(F.array_join(F.transform(F.split(coded, " "), word), " "), ""), lambda c: c != "")
+    table = F.create_map(*[F.lit(x) for kv in [*CODES.items(), (" ", SPACE)] for x in kv])
+    return F.transform(one, lambda c: F.coalesce(F.try_element_at(table, c), c))
+
+
+def parse_ipa(text: Column) -> Column:
+    """phones, unknown: the inventory's phones of a transcription, the longest alias first, and the symbols that are none.
+
+    Separators, white space and diacritics that tell nothing are dropped.
+    """
+    for source, target in {":": "ː", "1ː": "ɯː", "2ː": "œː", "d͜ʒ": "d͡ʒ", "t͜ʃ": "t͡ʃ", "ǧ": "ğ", "ǰ": "d͡ʒ"}.items():
+        text = F.replace(text, F.lit(source), F.lit(target))
+    alias = {p: p for p in [*INVENTORY, STRESS, SPACE]} | ALIASES
+    longest = sorted(alias, key=len, reverse=True)
+    found = F.regexp_extract_all(F.trim(text), F.lit("(?s)(" + "|".join(longest) + "|.)"))
+    table = F.create_map(*[F.lit(x) for kv in alias.items() for x in kv])
+    rows = F.transform(found, lambda t: F.struct(t.alias("t"), F.try_element_at(table, t).alias("p")))
+    unknown = F.filter(rows, lambda r: r["p"].isNull() & ~r["t"].rlike(r"[/\[\](){}.,;|_‿·‧\s\p{M}ʲˤˌːʰᵝ˧˨˩˦˥]"))
+    return F.struct(F.transform(F.filter(rows, lambda r: r["p"].isNotNull()), lambda r: r["p"]).alias("phones"), F.transform(unknown, lambda r: r["t"]).alias("unknown"))
+
+
+def token_policy(tokens: Column) -> Column:
+    """warnings, drop_reason: tokens that training text may not have, and the first reason to drop it."""
+    n = F.size(tokens)
+
+    def reason(t: Column, i: Column) -> Column:
+        space = t == SPACE
+        return (
+            F.when(t.isin("<blank>", "<pad>", "<unk>", "<sil>"), F.struct(F.concat(F.lit("forbidden emitted token: "), t).alias("w"), F.concat(F.lit("forbidden_token:"), t).alias("r")))
+            .when(~t.isin([*INVENTORY, STRESS, SPACE]), F.struct(F.concat(F.lit("unknown emitted token: "), t).alias("w"), F.concat(F.lit("unknown_token:"), t).alias("r")))
+            .when(space & ((i == 0) | (i == n - 1)), F.struct(F.lit("space token emitted at text boundary").alias("w"), F.lit("space_token_boundary").alias("r")))
+            .when(space & (F.get(tokens, i - 1) == SPACE), F.struct(F.lit("consecutive space tokens emitted").alias("w"), F.lit("consecutive_space_tokens").alias("r")))
+        )
+
+    rows = F.filter(F.transform(tokens, reason), lambda x: x.isNotNull())
+    return F.struct(F.transform(rows, lambda x: x["w"]).alias("warnings"), F.get(rows, F.lit(0))["r"].alias("drop_reason"))
+
+
+def pronounce(df: DataFrame, word: str, lexicon: DataFrame | None = None, morphology: DataFrame | None = None, pedagogical: bool = True) -> DataFrame:
+    """The distinct words of a column with source (reference, exception, acronym, rules, empty), type, coded phones and IPA.
+
+    lexicon: word, phones (separated by spaces), type, ipa_detail; a word is looked up as it is written, then in lower
+    case, and what it says of phones, type and stress goes before the rules. morphology: word, root, suffixes (array),
+    pos, is_proper; it moves the stress of words that are not in the lexicon. Both are dimension tables with a row a word.
+    """
+    rows = df.select(word).where(F.col(word).isNotNull()).distinct().withColumn("_w", bare_word(F.col(word))).withColumn("_low", turkish_lower(F.col("_w")))
+    entry = "struct<phones: string, type: string, ipa_detail: string>"
+    if lexicon is None:
+        rows = rows.withColumn("_e", F.lit(None).cast(entry))
+    else:
+        table = lambda key, out: lexicon.select(F.col("word").alias(key), F.struct(F.col("phones").alias("phones"), F.coalesce("type", F.lit("")).alias("type"), F.coalesce("ipa_detail", F.lit("")).alias("ipa_detail")).alias(out))
+        rows = rows.join(table("_w", "_e1"), "_w", "left").join(table("_low", "_e2"), "_low", "left").withColumn("_e", F.coalesce("_e1", "_e2"))
+    if morphology is not None:
+        m = morphology.select(F.col("word").alias("_w"), F.struct("root", "suffixes", "pos", "is_proper").alias("_m"))
+        rows = rows.join(m, "_w", "left")
+        stress, named = suffix_stress(F.col("_m.root"), F.col("_m.suffixes"), F.col("_m.pos")), F.coalesce(F.col("_m.is_proper") & F.col("_e").isNull(), F.lit(False))
     else:
-        coded = transcribe(F.col(word))
-    return distinct.select(word, coded.alias("coded")).withColumn("ipa", spelled(F.col("coded")))
+        stress, named = F.lit(None).cast("int"), F.lit(False)
+    start, proper = _start(F.col("_w"))
+    known = F.col("_e").isNotNull()
+    start = F.when(known, encoded(F.filter(F.split("_e.phones", " "), lambda t: t != ""))).otherwise(start)
+    stress = F.when(known, explicit_stress(F.col("_e.ipa_detail"))).otherwise(stress)
+    said = F.try_element_at(F.create_map(*[F.lit(x) for kv in REFERENCE.items() for x in kv]), F.col("_low"))
+    ruled = rules(start, F.col("_low"), proper | named, F.coalesce("_e.type", F.lit("")), stress, pedagogical)
+    source = F.when(F.col("_w") == "", "empty").when(said.isNotNull(), "reference").when(known, "exception").when(is_acronym(F.col("_w")), "acronym").otherwise("rules")
+    out = rows.select(word, source.alias("source"), F.when(said.isNull(), F.col("_e.type")).alias("type"), F.coalesce(said, ruled).alias("coded"))
+    once = F.regexp_replace("coded", f"(?<={STRESS}.{{0,200}}){STRESS}", "")
+    return out.withColumn("ipa", spelled(once))
+
+
+def transcribe_texts(df: DataFrame, key: str, text: str, lexicon: DataFrame | None = None, morphology: DataFrame | None = None) -> DataFrame:
+    """key, normalized, tokens, token_count, ipa, warnings, drop_reason of whole texts: words joined by space tokens.
+
+    Every distinct word is pronounced once and joined back. A key must name one text.
+    """
+    w = words(F.col(text))
+    docs = df.select(key, w.alias("_ws"), (F.trim(F.coalesce(F.col(text), F.lit(""))) == "").alias("_blank"))
+    each = docs.select(key, F.posexplode("_ws").alias("_i", "_word"))
+    said = pronounce(each, "_word", lexicon, morphology).select("_word", phones(F.col("coded")).alias("_p"), "ipa")
+    got = each.join(said, "_word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_p", "ipa"))).alias("_x"))
+    tokens = F.flatten(F.transform("_x", lambda x, i: F.when(i == 0, x["_p"]).otherwise(F.concat(F.array(F.lit(SPACE)), x["_p"]))))
+    out = docs.join(got, key, "left").withColumn("tokens", F.coalesce(tokens, F.array().cast("array<string>")))
+    policy = token_policy(F.col("tokens"))
+    ipa = F.concat(F.lit("/"), F.array_join(F.transform("_x", lambda x: F.replace(x["ipa"], F.lit("/"))), " "), F.lit("/"))
+    drop = F.when(F.col("_blank"), "empty_text").when(F.size("_ws") == 0, "no_word_tokens").otherwise(policy["drop_reason"])
+    return out.select(key, F.array_join("_ws", " ").alias("normalized"), "tokens", F.size("tokens").alias("token_count"), ipa.alias("ipa"), policy["warnings"].alias("warnings"), drop.alias("drop_reason"))

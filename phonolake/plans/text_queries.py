@@ -152,3 +152,41 @@ def filter_options(spark, d):
 def turkish_lower_counts(spark, d):
     docs = table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("w"))
     return docs.groupBy(turkish_lower(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexicon_of(spark, d):
+    """A lexicon taken from the corpus itself: words with more than 50 uses, their letters as phones, long ones stressed in front."""
+    n = document_words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 50").select("word")
+    tokens = g2p.phones(g2p.seed(F.col("word")))
+    kind = F.when(F.length("word") > 6, "stress").when(F.col("word").endswith("er"), "no_e_open").otherwise("")
+    return n.select("word", F.array_join(tokens, " ").alias("phones"), kind.alias("type"), F.lit("").alias("ipa_detail"))
+
+
+@query()
+def g2p_lexicon(spark, d):
+    """Words with a lexicon that goes before the rules: sources, types, phones (golden words are tested, with and without a lexicon)."""
+    return g2p.pronounce(document_words(spark, d), "word", lexicon_of(spark, d))
+
+
+@query()
+def training_tokens(spark, d):
+    """Whole turns as phones with space tokens, and why a turn is dropped (tested against single words)."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    out = g2p.transcribe_texts(turns, "turn_id", "text")
+    return out.select("turn_id", "token_count", "ipa", F.size("warnings").alias("n_warnings"), "drop_reason")
+
+
+@query()
+def g2p_steps(spark, d):
+    """How often each rule changes a word of the corpus (tested: the last step gives the transcription)."""
+    w = document_words(spark, d).select("word").distinct()
+    steps = w.select(F.explode(g2p.trace(F.col("word"))).alias("s"))
+    return steps.groupBy("s.name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.fired").cast("int")).alias("n_fired"))
+
+
+@query()
+def parsed_ipa(spark, d):
+    """The corpus's transcriptions parsed again: phones equal those that were written (tested), nothing unknown."""
+    w = g2p.pronounce(document_words(spark, d), "word").withColumn("p", g2p.parse_ipa(F.col("ipa")))
+    same = F.col("p.phones") == g2p.phones(F.regexp_replace("coded", "(?<=ˈ.{0,200})ˈ", ""))
+    return w.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(same.cast("int")).alias("n_same"), F.sum(F.size("p.unknown")).alias("n_unknown"))
