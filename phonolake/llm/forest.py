@@ -235,7 +235,7 @@ def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), large[0].select("id").distinct()
 
 
-def _crowd(crowded: DataFrame, linked: DataFrame, signed: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def _crowd(crowded: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """id, root (its component, or itself), s (array of the set's hashes) of the crowded classes."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +246,7 @@ def _crowd(crowded: DataFrame, linked: DataFrame, signed: DataFrame, docs: DataF
                 sets = [shingles(t, size) for t in pdf["text"].iloc[i : i + 500]]
                 yield pd.DataFrame({"id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    sets = _texts(crowded.select(F.col("id").alias("set_key")), signed, docs).mapInPandas(make, "id binary, s array<long>").dropDuplicates(["id"])
+    sets = _texts(crowded, classes, docs).mapInPandas(make, "id binary, s array<long>").dropDuplicates(["id"])
     return materialize(sets.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("root"), "s"), "crowd")
 
 
@@ -280,15 +280,15 @@ def crowd_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"))
 
 
-def _texts(wanted: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """A document's text for each wanted class. wanted: set_key."""
-    ids = signed.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """A document's text for each wanted class (and texts of other classes, where ids repeat or are absent). wanted: id."""
+    ids = classes.join(wanted, "id").select("first.doc_id")
     return docs.alias("d").join(ids.select("doc_id").distinct().alias("i"), F.expr("d.doc_id <=> i.doc_id")).select("d.text")
 
 
-def _representatives(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def _representatives(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """id, s (the set's hashes) of the classes in pairs, each from the text of one document."""
-    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -298,7 +298,7 @@ def _representatives(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size:
                 sets = [shingles(t, size).tobytes() for t in pdf["text"].iloc[i : i + 500]]
                 yield pd.DataFrame({"id": [xxhash.xxh3_128_digest(s) for s in sets], "s": sets})
 
-    return materialize(_texts(wanted, signed, docs).mapInPandas(make, "id binary, s binary").dropDuplicates(["id"]), "sets")
+    return materialize(_texts(wanted, classes, docs).mapInPandas(make, "id binary, s binary").dropDuplicates(["id"]), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,12 +353,12 @@ def _found(df: DataFrame, size: int, percent: int, id_col: str, text_col: str) -
         classes = materialize(classes, "set-classes")
         pairs, crowded = candidates(classes, percent / 100 - SLACK)
         pairs = materialize(pairs, "pairs")
-        links = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
+        links = confirm(pairs, _representatives(pairs, classes, docs, size), percent)
         linked = components(links)
         if not crowded.isEmpty():
-            pairs = materialize(crowd_pairs(_crowd(crowded, linked, signed, docs, size), percent), "crowd-pairs")
+            pairs = materialize(crowd_pairs(_crowd(crowded, linked, classes, docs, size), percent), "crowd-pairs")
             if not pairs.isEmpty():
-                more = confirm(pairs, _representatives(pairs, signed, docs, size), percent)
+                more = confirm(pairs, _representatives(pairs, classes, docs, size), percent)
                 linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
         rooted = materialize(classes.join(linked, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("root")), "rooted")
         roots = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))

@@ -279,8 +279,12 @@ def copies(df: DataFrame, key: str) -> DataFrame:
     return materialize(n, "copies")
 
 
-def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
-    """The same rows with repeated passages cut out of their texts; characters cut apart go. All other columns stay."""
+def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", over_words: int = 0) -> DataFrame:
+    """The same rows with repeated passages cut out of their texts; characters cut apart go. All other columns stay.
+
+    A passage is a longest run of bytes that are covered by repeated strings of `length` bytes; it is cut if it has more
+    than over_words words, begun ones at its ends included.
+    """
     key, found_at = free_names(df, "_key", "_spans")
     keyed = df.withColumn(key, text_key(text_col))
     docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -292,7 +296,8 @@ def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", te
         for text, found in zip(texts, spans, strict=True):
             if found is not None:
                 raw = text.encode()
-                edges = [0, *(x for s in _merged(found) for x in s), len(raw)]
+                gone = [(a, b) for a, b in _merged(found) if len(raw[a:b].split()) > over_words]
+                edges = [0, *(x for s in gone for x in s), len(raw)]
                 text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
             out.append(text)
         return pd.Series(out, dtype=object)
