@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from phonolake.llm import forest, mixing, packing, suffixes, toxicity
-from phonolake.llm.common import documents, materialize
+from phonolake.llm.common import documents, remove, remove_at_exit, scratch_dir
 from phonolake.session import ship
 
-#: Bytes of a passage that counts as repeated: fewer than 50 words usually have.
-PASSAGE = 256
+#: A repeated passage is cut if it has over so many words.
+PASSAGE_WORDS = 50
+#: Passages are looked for from so many bytes on, which hardly any 51 words fall short of.
+PASSAGE_BYTES = 192
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur again anywhere are cut out of all texts; every document stays, with what is left of it."""
+    """Passages of over 50 words that occur again anywhere are cut out of all texts; every document stays, with what is left of it."""
     ship(spark)
-    return suffixes.without_repeats(docs, PASSAGE)
+    return suffixes.without_repeats(docs, PASSAGE_BYTES, over_words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +56,19 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: SQL can't tell the stages' models and signatures; tests hold each stage against a brute-force version.
+#: SQL can't tell the stages' models and signatures; tests hold each stage against a plain version of what it decides.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. A stage's table goes when the next one is written, the last one's when the application ends."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        out, path = stage(spark, docs, sf_dir), scratch_dir(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    remove_at_exit(spark, before)
     return docs
