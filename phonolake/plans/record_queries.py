@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.exprs import sha1_mod100
+from ..functions.exprs import sha1_mod100, split_of
 from ..operators import joins as J
 from ..operators import records as R
 from ..operators import sampling as S
 from ..operators import windows as W
-from .adapters import INSTANCES, PHONE_EVENTS, instances, phone_events, sql_list, table
+from ..sources import files
+from .adapters import INSTANCES, PHONE_EVENTS, instances, phone_events, table
 from .row_queries import _SPAN, _mod100, _spans
 
 Q, SQL = {}, {}
@@ -161,3 +162,47 @@ def speaker_ids(spark, d):
     provider = F.element_at(F.array(*map(F.lit, ["common_voice", "issai_tsc", "audiobooks", "podcasts", "youtube", "else"])), (n % 6 + 1).cast("int"))
     docs = table(spark, d, "documents").select("doc_id", provider.alias("provider"), F.concat(F.lit("seg_"), "lang", F.lit("_"), n.cast("string")).alias("segment"), F.concat(F.lit("root/"), "source", F.lit("/file.wav")).alias("path"), F.when(n % 5 == 0, F.col("lang")).alias("client"), F.when(n % 4 == 0, "train").when(n % 4 == 1, F.col("source")).otherwise("").alias("folder"))
     return docs.select("doc_id", "provider", N.speaker_of(*[F.col(c) for c in ("provider", "segment", "path", "client", "folder")]).alias("s")).select("doc_id", "provider", "s.*")
+
+
+_FILLED = f"""(SELECT segment, (start_ms - min(start_ms) OVER (PARTITION BY segment)) // 1000 AS s, (start_ms - min(start_ms) OVER (PARTITION BY segment)) // 1000 + CAST(trunc(duration_ms * 300) AS BIGINT) AS e, expected || '|uncertain' AS l FROM {INSTANCES})"""
+
+
+@query(f"""WITH r AS (SELECT *, max(s) OVER (PARTITION BY segment) + 5000 AS d FROM {_FILLED}), a AS (SELECT segment, d, s, e, l, greatest(s, 0) AS a, least(e, d) AS b FROM r),
+c AS (SELECT *, coalesce(last_value(CASE WHEN b > a THEN b END IGNORE NULLS) OVER (PARTITION BY segment ORDER BY s, e, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c, lead(1) OVER (PARTITION BY segment ORDER BY s, e, l) IS NULL AS fin FROM a),
+p AS (SELECT segment, s, e, l, 0 AS k, c AS x, a AS y, '' AS t FROM c WHERE a > c UNION ALL SELECT segment, s, e, l, 1, a, b, l FROM c WHERE b > a UNION ALL SELECT segment, s, e, l, 2, CASE WHEN b > a THEN b ELSE c END, d, '' FROM c WHERE fin AND CASE WHEN b > a THEN b ELSE c END < d)
+SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY s, e, l, k)::INTEGER AS i, x AS start_ms, y AS end_ms, t AS label FROM p""")
+def gapless_tiers(spark, d):
+    """The instances of a segment as a tier without gaps, as it goes into a TextGrid (its text is tested)."""
+    w = Window.partitionBy("segment")
+    rows = instances(spark, d)
+    start = F.floor((F.col("start_ms") - F.min("start_ms").over(w)) / 1000)
+    rows = rows.select("segment", start.alias("s"), (start + (F.col("duration_ms") * 300).cast("long")).alias("e"), F.concat("expected", F.lit("|uncertain")).alias("l"))
+    rows = rows.withColumn("d", F.max("s").over(w) + 5000)
+    return files.filled_intervals(rows, "segment", "s", "e", "l", "d")
+
+
+@query("""SELECT role, coalesce(e, 'none') AS error, count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT role, CASE WHEN try_cast(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) IS NULL THEN CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' ELSE 'no_number' END END AS e, try_cast(regexp_extract(text, '([0-9]{1,6})', 1) AS BIGINT) AS v FROM (SELECT role, text FROM conversations)) GROUP BY 1, 2""")
+def isolated_errors(spark, d):
+    """Numbers read from texts; what fails is counted by reason and stops nothing."""
+    text = F.col("text")
+    number = F.nullif(F.regexp_extract(text, "([0-9]{1,6})", 1), F.lit("")).cast("long")
+    why = F.when(text.isNull() | (F.trim(text) == ""), "empty").otherwise("no_number")
+    rows = table(spark, d, "conversations").select("role", files.isolated(number, number.isNotNull(), why).alias("x"))
+    return rows.groupBy("role", F.coalesce("x.error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.value").alias("total"))
+
+
+@query("""SELECT source, lang, count(*) AS n FROM (SELECT DISTINCT source, lang, doc_id FROM (SELECT source, lang, doc_id FROM documents UNION ALL SELECT source, lang, doc_id FROM documents WHERE doc_id % 4 = 0)) GROUP BY 1, 2""")
+def insert_or_ignore(spark, d):
+    """Rows appended but those whose key is there already; a second run appends nothing."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    new = J.pending(docs.where("doc_id % 4 = 0"), docs, ["doc_id"])
+    return docs.unionByName(new).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT user_id AS speaker, {_BUCKET} AS b FROM events), p AS (SELECT speaker, CASE WHEN b < 90 THEN 'train' WHEN b < 95 THEN 'dev' ELSE 'test' END AS a, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS c FROM s)
+SELECT a, c, count(*) AS n_speakers FROM p GROUP BY 1, 2""")
+def split_intersections(spark, d):
+    """Speakers that two schemes put into each pair of splits; within a scheme no speaker is in two."""
+    speakers = phone_events(spark, d).select("speaker").distinct()
+    key = F.col("speaker").cast("string")
+    return speakers.groupBy(split_of(key, "90_5_5").alias("a"), split_of(key, "80_10_10").alias("c")).agg(F.count(F.lit(1)).alias("n_speakers"))
