@@ -64,7 +64,7 @@ def confusions(ops: DataFrame, k: int) -> DataFrame:
 def top_substitutions(ops: DataFrame, by: str, k: int) -> DataFrame:
     """The k commonest substitutions of each group."""
     per = ops.where("e.op = 'substitution'").groupBy(by, F.col("e.target").alias("target"), F.col("e.predicted").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "target", "predicted"))).where(F.col("rank") <= k)
+    return per.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "target", "predicted")).cast("long")).where(F.col("rank") <= k)
 
 
 def lexicon_checks(word: str, kind: Column, tokens: Column, kinds: list[str], inventory: list[str]) -> Column:

@@ -12,7 +12,7 @@ from ..operators import reports as R
 from ..operators.aggregates import exact_quantiles
 from .adapters import INSTANCES, instances, sql_list, table
 from .rule_queries import _CLASS, _LABEL_PHONE, _STATUS
-from .text_queries import _EDITS, _PAIRS, _pairs
+from .text_queries import _EDITS, _OPS, _PAIRS, _pairs
 
 Q, SQL = {}, {}
 
@@ -105,13 +105,15 @@ def peak_frames(spark, d):
     return R.peak_frames(R.log_softmax(frames(spark, d), ["utterance", "s"], "x"), spans(spark, d), "utterance")
 
 
-@query()
+@query(f"""{_OPS}, tt AS (SELECT target, predicted, count(*) AS n, row_number() OVER (PARTITION BY target ORDER BY count(*) DESC, predicted) AS k FROM o WHERE op = 'substitution' GROUP BY 1, 2), x AS (SELECT target AS token, string_agg(predicted || ':' || n, ' ' ORDER BY k) AS top_confusions FROM tt WHERE k <= 5 GROUP BY 1),
+a AS (SELECT target AS token, count(*) AS ref_count, count(CASE WHEN op = 'match' THEN 1 END) AS correct, count(CASE WHEN op = 'substitution' THEN 1 END) AS substituted, count(CASE WHEN op = 'deletion' THEN 1 END) AS deleted FROM o WHERE op <> 'insertion' GROUP BY 1)
+SELECT a.*, round((substituted + deleted)::DOUBLE / ref_count, 4) AS error_rate, top_confusions FROM a LEFT JOIN x USING (token)""")
 def confusion_report(spark, d):
     """Per token of the reference: uses, matches, substitutions, deletions, error rate, and its five commonest confusions (tested against a plain count)."""
     return R.confusions(_pairs(spark, d).select("grp", F.explode(sequences.align("r", "h")).alias("e")), 5)
 
 
-@query()
+@query(f"""{_OPS} SELECT * FROM (SELECT grp, target, predicted, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, target, predicted) AS rank FROM o WHERE op = 'substitution' GROUP BY 1, 2, 3) WHERE rank <= 15""")
 def group_substitutions(spark, d):
     """The fifteen commonest substitutions of each group (tested with the confusions)."""
     ops = _pairs(spark, d).select("grp", F.explode(sequences.align("r", "h")).alias("e"))

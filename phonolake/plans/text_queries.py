@@ -69,17 +69,36 @@ def phone_inventory_counts(spark, d):
 
 #: User turns (r) with the assistant's answers (h) as lists of words, and their edit distance row by row.
 _PAIRS = f"""t AS (SELECT conv_id, turn, role, list_transform({_W}, lambda w: lower(w)) AS tok FROM conversations),
-p AS (SELECT row_number() OVER () AS id, a.conv_id % 5 AS grp, a.tok AS r, b.tok AS h FROM t a JOIN t b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 AND len(a.tok) > 0 AND len(b.tok) > 0)"""
+p AS (SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id % 5 AS grp, a.tok AS r, b.tok AS h FROM t a JOIN t b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 AND len(a.tok) > 0 AND len(b.tok) > 0)"""
 _EDITS = """c AS (SELECT id, 0::BIGINT AS i, range(0, len(h) + 1) AS d FROM p
 UNION ALL SELECT id, i, list_transform(range(1, len(best) + 1), lambda j: j + list_min(best[1:j])) FROM (
 SELECT c.id, c.i + 1 AS i, list_prepend(c.i, list_transform(range(1, len(h) + 1), lambda j: least(c.d[j] + CASE WHEN h[j] = r[c.i + 1] THEN 0 ELSE 1 END, c.d[j + 1] + 1) - j - 1)) AS best FROM c JOIN p USING (id) WHERE c.i < len(r))),
 e AS (SELECT p.*, c.d[len(h) + 1] AS edits FROM c JOIN p USING (id) WHERE c.i = len(r))"""
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, {_EDITS} SELECT grp, count(*) AS n, sum(edits)::BIGINT AS edits, sum(len(r))::BIGINT AS ref_len, sum(edits)::DOUBLE / sum(len(r)) AS error_rate FROM e GROUP BY grp""")
+
+
+def _path(edit: int, match: int, names: tuple[str, str, str, str]) -> str:
+    """The path back through a table of costs (c: id, i, d), a diagonal step first, then one in r, then one in h: o (id, op, target, predicted)."""
+    same, other, lost, extra = names
+    return f"""c AS (SELECT id, 0::BIGINT AS i, list_transform(range(0, len(h) + 1), lambda j: j * {edit}) AS d FROM p
+UNION ALL SELECT id, i, list_transform(range(1, len(best) + 1), lambda j: j * {edit} + list_min(best[1:j])) FROM (
+SELECT c.id, c.i + 1 AS i, list_prepend((c.i + 1) * {edit} - {edit}, list_transform(range(1, len(h) + 1), lambda j: least(c.d[j] + CASE WHEN h[j] = r[c.i + 1] THEN {match} ELSE {edit} END, c.d[j + 1] + {edit}) - (j + 1) * {edit})) AS best FROM c JOIN p USING (id) WHERE c.i < len(r))),
+b AS (SELECT id, len(r) AS i, len(h) AS j, NULL::VARCHAR AS op FROM p UNION ALL SELECT id, i - CASE WHEN op = '{extra}' THEN 0 ELSE 1 END, j - CASE WHEN op = '{lost}' THEN 0 ELSE 1 END, op FROM (
+SELECT b.id, b.i, b.j, CASE WHEN b.i > 0 AND b.j > 0 AND now.d[b.j + 1] = up.d[b.j] + CASE WHEN r[b.i] = h[b.j] THEN {match} ELSE {edit} END THEN CASE WHEN r[b.i] = h[b.j] THEN '{same}' ELSE '{other}' END WHEN b.i > 0 AND now.d[b.j + 1] = up.d[b.j + 1] + {edit} THEN '{lost}' ELSE '{extra}' END AS op
+FROM b JOIN p USING (id) JOIN c now ON now.id = b.id AND now.i = b.i LEFT JOIN c up ON up.id = b.id AND up.i = b.i - 1 WHERE b.i > 0 OR b.j > 0)),
+o AS (SELECT p.grp, b.op, CASE WHEN op <> '{extra}' THEN r[b.i + 1] END AS target, CASE WHEN op <> '{lost}' THEN h[b.j + 1] END AS predicted FROM b JOIN p USING (id) WHERE op IS NOT NULL)"""
+
+
+_OPS = f"WITH RECURSIVE {_PAIRS}, {_path(1, 0, ('match', 'substitution', 'deletion', 'insertion'))}"
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, {_EDITS} SELECT coalesce(grp::VARCHAR, 'ALL') AS grp, count(*) AS n, sum(edits)::BIGINT AS edits, sum(len(r))::BIGINT AS ref_len, sum(edits)::DOUBLE / sum(len(r)) AS error_rate, count(CASE WHEN edits = 0 THEN 1 END) AS n_exact FROM e GROUP BY ROLLUP (grp)""")
 def token_error_rate(spark, d):
+    """Edits over reference lengths, of each group and overall, in one aggregation."""
     edits = _pairs(spark, d).select("grp", F.size("r").alias("ref_len"), sequences.token_edits(F.col("r"), F.col("h")).alias("edits"))
-    return edits.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"), (F.sum("edits") / F.sum("ref_len")).alias("error_rate"))
+    out = edits.rollup("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"), (F.sum("edits") / F.sum("ref_len")).alias("error_rate"), F.sum((F.col("edits") == 0).cast("int")).alias("n_exact"))
+    return out.withColumn("grp", F.coalesce(F.col("grp").cast("string"), F.lit("ALL"))).where("n > 0")
 
 
 def _pairs(spark, d):
@@ -92,14 +111,14 @@ def _pairs(spark, d):
     return t.select((F.col("conv_id") % 5).alias("grp"), "r", "h").where((F.size("r") > 0) & (F.size("h") > 0))
 
 
-@query()
+@query(f"{_OPS} SELECT grp, op, target, predicted, count(*) AS n FROM o GROUP BY ALL")
 def confusion_pairs(spark, d):
     """Edit operations between turns by kind and tokens; their numbers add up to the edit distances (tested)."""
     ops = _pairs(spark, d).select("grp", F.explode(sequences.align("r", "h")).alias("e"))
     return ops.groupBy("grp", "e.op", "e.target", "e.predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, {_path(1 << 20, -1, ("correct", "incorrect", "missing", "extra"))} SELECT grp, op AS status, count(*) AS n FROM o GROUP BY ALL""")
 def assessment_statuses(spark, d):
     """Statuses of the alignment that keeps the most matches, by group (their numbers are tested)."""
     rows = _pairs(spark, d).select("grp", F.explode(sequences.assess("r", "h")).alias("x"))
