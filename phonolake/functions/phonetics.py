@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 # Vowels: height (0 high to 2 low), back, rounded (fixed values).
 VOWELS = {"i": (0, 0, 0), "y": (0, 0, 1), "ɯ": (0, 1, 0), "u": (0, 1, 1), "e": (1, 0, 0), "œ": (1, 0, 1), "o": (1, 1, 1), "æ": (2, 0, 0), "a": (2, 1, 0)}
-# Consonants by manner and place; the voiceless ones before the bar (fixed values).
-CONSONANTS = {
-    ("stop", "bilabial"): "p pʰ | b", ("stop", "alveolar"): "t tʰ | d", ("stop", "velar"): "k kʰ | ɡ", ("stop", "palatal"): "c cʰ | ɟ", ("affricate", "postalveolar"): "t͡ʃ | d͡ʒ",
-    ("fricative", "labiodental"): "f | v", ("fricative", "bilabial"): "| β", ("fricative", "alveolar"): "s | z", ("fricative", "postalveolar"): "ʃ | ʒ", ("fricative", "glottal"): "h |",
-    ("approximant", "bilabial"): "| β̞", ("approximant", "palatal"): "| j", ("nasal", "bilabial"): "| m", ("nasal", "alveolar"): "| n", ("nasal", "palatal"): "| ɲ", ("nasal", "velar"): "| ŋ",
-    ("lateral", "alveolar"): "| l ɫ", ("tap", "alveolar"): "ɾ̞̊ | ɾ",
-}
+# Consonants: phone, manner, place, voiced (fixed values).
+CONSONANTS = [
+    ("p", "stop", "bilabial", False), ("pʰ", "stop", "bilabial", False), ("b", "stop", "bilabial", True),
+    ("t", "stop", "alveolar", False), ("tʰ", "stop", "alveolar", False), ("d", "stop", "alveolar", True),
+    ("k", "stop", "velar", False), ("kʰ", "stop", "velar", False), ("ɡ", "stop", "velar", True),
+    ("c", "stop", "palatal", False), ("cʰ", "stop", "palatal", False), ("ɟ", "stop", "palatal", True),
+    ("t͡ʃ", "affricate", "postalveolar", False), ("d͡ʒ", "affricate", "postalveolar", True), ("f", "fricative", "labiodental", False),
+    ("v", "fricative", "labiodental", True), ("β", "fricative", "bilabial", True), ("s", "fricative", "alveolar", False),
+    ("z", "fricative", "alveolar", True), ("ʃ", "fricative", "postalveolar", False), ("ʒ", "fricative", "postalveolar", True),
+    ("h", "fricative", "glottal", False), ("β̞", "approximant", "bilabial", True), ("j", "approximant", "palatal", True),
+    ("m", "nasal", "bilabial", True), ("n", "nasal", "alveolar", True), ("ɲ", "nasal", "palatal", True),
+    ("ŋ", "nasal", "velar", True), ("l", "lateral", "alveolar", True), ("ɫ", "lateral", "alveolar", True),
+    ("ɾ̞̊", "tap", "alveolar", False), ("ɾ", "tap", "alveolar", True),
+]
 # Penalties of neighbouring places (fixed values).
 NEAR_PLACES = {("bilabial", "labiodental"): 0.12, ("alveolar", "postalveolar"): 0.14, ("postalveolar", "palatal"): 0.18, ("palatal", "velar"): 0.20, ("alveolar", "palatal"): 0.24}
 OBSTRUENT, SONORANT = ("stop", "affricate", "fricative"), ("nasal", "lateral", "tap", "approximant")
@@ -23,8 +30,7 @@ SCHEMA = "phone string, class string, manner string, place string, voiced boolea
 def inventory(spark: SparkSession) -> DataFrame:
     """All phones with their features."""
     vowels = [(v + mark, "vowel", None, None, None, None, None, *f, int(bool(mark))) for v, f in VOWELS.items() for mark in ("", "ː") if not (v == "æ" and mark)]
-    sides = [(m, p, voiced, phone) for (m, p), text in CONSONANTS.items() for voiced, side in enumerate(text.split("|")) for phone in side.split()]
-    consonants = [(phone, "consonant", m, p, bool(voiced), phone.endswith("ʰ"), phone == "ɫ", None, None, None, None) for m, p, voiced, phone in sides]
+    consonants = [(p, "consonant", m, place, voiced, p.endswith("ʰ"), p == "ɫ", None, None, None, None) for p, m, place, voiced in CONSONANTS]
     return spark.createDataFrame(vowels + consonants, SCHEMA)
 
 
@@ -59,3 +65,17 @@ def with_duration(score: Column, target: Column, observed: Column, note: Column,
     applies = (F.replace(target, F.lit("ː")) == F.replace(observed, F.lit("ː"))) & (long(target) != long(observed)) & F.coalesce(reliable, F.lit(False)) & note.isin("short", "expected", "long")
     fits = F.when(long(target), note.isin("expected", "long")).otherwise(note.isin("expected", "short"))
     return F.when(applies & fits, F.greatest(score, F.lit(0.90))).when(applies, F.least(score, F.lit(0.58))).otherwise(score)
+
+
+def with_contrasts(score: Column, target: Column, observed: Column, candidates: Column) -> Column:
+    """A likeness after pairwise contrasts, one after the other: 0.07 more (0.95 at most) for one that passes for the target,
+    0.05 less for one that clearly rejects it (a margin of -0.05 or less) or passes for the observed phone. Equal phones
+    stay. candidates: array of (to, passed, margin)."""
+
+    def step(s: Column, c: Column) -> Column:
+        passed, rejected = F.coalesce(c["passed"], F.lit(False)), F.coalesce(c["margin"] <= -0.05, F.lit(False))
+        to_target, to_observed = F.coalesce(c["to"] == target, F.lit(False)), F.coalesce(c["to"] == observed, F.lit(False))
+        less = F.greatest(s - 0.05, F.lit(0.0))
+        return F.when(to_target & passed, F.least(s + 0.07, F.lit(0.95))).when(to_target & rejected, less).when(to_observed & passed & ~to_target, less).otherwise(s)
+
+    return F.when(target == observed, score).otherwise(F.aggregate(candidates, score.cast("double"), step))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import phones as P
+from ..functions import phonetics
 from ..functions.exprs import WORD, empty_as, rate_or_null, words
 from ..operators.aggregates import exact_quantiles
 from .adapters import INSTANCES, instances, sql_list, table
@@ -200,3 +201,60 @@ def formatted_rates(spark, d):
     per = instances(spark, d).groupBy("status").agg(F.sum(F.when(F.col("confidence").isNull(), 1).otherwise(0)).alias("k"), F.count(F.lit(1)).alias("n"))
     rate = rate_or_null(F.col("k"), F.col("n"))
     return per.select("status", F.round(rate, 4).alias("null_rate"), "n", F.format_string("%.2f%%", 100 * rate).alias("shown"))
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    """The likeness of two rows of the inventory, in SQL."""
+    near = " ".join(f"WHEN ({a}.place, {b}.place) IN (('{p}', '{q}'), ('{q}', '{p}')) THEN {x}" for (p, q), x in phonetics.NEAR_PLACES.items())
+    both = lambda f, values: f"{a}.{f} IN {sql_list(values)} AND {b}.{f} IN {sql_list(values)}"
+    vowel = f"least(0.12 * abs({a}.height - {b}.height), 0.24) + CASE WHEN {a}.back <> {b}.back THEN 0.20 ELSE 0 END + CASE WHEN {a}.rounded <> {b}.rounded THEN 0.16 ELSE 0 END + CASE WHEN {a}.long <> {b}.long THEN 0.24 ELSE 0 END"
+    manner = f"CASE WHEN {a}.manner = {b}.manner THEN 0 WHEN {both('manner', ['stop', 'affricate'])} THEN 0.20 WHEN {both('manner', ['fricative', 'affricate'])} THEN 0.22 WHEN {both('manner', phonetics.OBSTRUENT)} THEN 0.38 WHEN {both('manner', phonetics.SONORANT)} THEN 0.28 ELSE 0.46 END"
+    place = f"CASE WHEN {a}.place = {b}.place THEN 0 {near} WHEN {both('place', ['alveolar', 'postalveolar', 'palatal'])} OR {both('place', ['palatal', 'velar'])} THEN 0.28 WHEN {a}.place = 'glottal' OR {b}.place = 'glottal' THEN 0.42 ELSE 0.36 END"
+    voice = f"CASE WHEN {a}.voiced = {b}.voiced THEN 0 WHEN {both('manner', phonetics.SONORANT)} THEN 0.12 ELSE 0.17 END + CASE WHEN {a}.aspirated <> {b}.aspirated THEN 0.10 ELSE 0 END + CASE WHEN {a}.velarized <> {b}.velarized THEN 0.07 ELSE 0 END"
+    return f"CASE WHEN {a}.phone = {b}.phone THEN 1.0 WHEN {a}.class <> {b}.class THEN 0.05 WHEN {a}.class = 'vowel' THEN greatest(1 - ({vowel}), 0.30) ELSE greatest(1 - ({manner} + {place} + {voice}), 0.12) END"
+
+
+def _inventory_sql() -> str:
+    n = "NULL"
+    vowels = [f"('{v}{m}', 'vowel', {n}, {n}, {n}, {n}, {n}, {f[0]}, {f[1]}, {f[2]}, {int(bool(m))})" for v, f in phonetics.VOWELS.items() for m in ("", "ː") if not (v == "æ" and m)]
+    consonants = [f"('{p}', 'consonant', '{m}', '{place}', {voiced}, {p.endswith('ʰ')}, {p == 'ɫ'}, {n}, {n}, {n}, {n})" for p, m, place, voiced in phonetics.CONSONANTS]
+    return f"(VALUES {', '.join(vowels + consonants)}) v(phone, class, manner, place, voiced, aspirated, velarized, height, back, rounded, long)"
+
+
+_NOTE = "CASE k % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'expected' END"
+_LENGTH_ONLY = f"replace(expected, 'ː', '') = replace(observed, 'ː', '') AND expected <> observed AND k % 2 = 0"
+_TIMED = f"CASE WHEN NOT ({_LENGTH_ONLY}) THEN s WHEN (contains(expected, 'ː') AND {_NOTE} IN ('long', 'expected')) OR (NOT contains(expected, 'ː') AND {_NOTE} IN ('short', 'expected')) THEN greatest(s, 0.90) ELSE least(s, 0.58) END"
+
+
+@query(f"""WITH inv AS (SELECT * FROM {_inventory_sql()}), r AS (SELECT i.id, i.expected, i.observed, i.k, round({_likeness_sql("a", "b")}, 6)::DOUBLE AS s FROM {INSTANCES} i JOIN inv a ON a.phone = i.expected JOIN inv b ON b.phone = i.observed), t AS (SELECT *, {_TIMED} AS u FROM r)
+SELECT id, s AS likeness, round(CASE WHEN expected = observed THEN u WHEN k % 5 = 0 AND k % 2 = 0 THEN least(u + 0.07, 0.95) WHEN k % 5 = 0 AND k <= 45 THEN greatest(u - 0.05, 0) WHEN k % 5 = 1 AND k % 2 = 0 THEN greatest(u - 0.05, 0) ELSE u END, 6) AS adjusted FROM t""")
+def contrast_likeness(spark, d):
+    """Likeness of what was expected and what was observed, after evidence of duration and of a contrast."""
+    rows = instances(spark, d).where("observed IS NOT NULL").join(F.broadcast(phonetics.likeness_table(spark).withColumnRenamed("target", "expected")), ["expected", "observed"])  # a dictionary
+    k = F.col("k")
+    note = F.when(k % 3 == 0, "short").when(k % 3 == 1, "long").otherwise("expected")
+    timed = phonetics.with_duration(F.col("likeness"), F.col("expected"), F.col("observed"), note, k % 2 == 0)
+    to = F.when(k % 5 == 0, F.col("expected")).when(k % 5 == 1, F.col("observed"))
+    candidates = F.array(F.struct(to.alias("to"), (k % 2 == 0).alias("passed"), ((k - 50) / 100).alias("margin")))
+    return rows.select("id", "likeness", F.round(phonetics.with_contrasts(timed, F.col("expected"), F.col("observed"), candidates), 6).alias("adjusted"))
+
+
+@query(f"""WITH q AS (SELECT expected AS p, quantile_cont(duration_ms, 0.5) AS m, (quantile_cont(duration_ms, 0.75) - quantile_cont(duration_ms, 0.25)) / 1.349 AS s FROM {INSTANCES} GROUP BY 1), x AS (SELECT i.*, {_CLASS} AS class, CASE WHEN q.s > 0 THEN (duration_ms - q.m) / q.s END AS z FROM {INSTANCES} i JOIN q ON q.p = i.expected),
+g AS (SELECT *, duration_ms < 20 AND class NOT IN ('stop', 'affricate') OR class IN ('vowel', 'sonorant') AND k % 7 = 0 OR list_contains({list(P.VOWEL_LETTERS)}, expected) AND k < 30 OR duration_ms * 0.8 < 15 AND class NOT IN ('stop', 'affricate') AS gated FROM x),
+r AS (SELECT segment, CASE WHEN observed IS NULL THEN 'missing' WHEN gated THEN 'unscored' WHEN observed <> expected THEN 'incorrect' WHEN abs(z) > 2 THEN 'length' ELSE 'correct' END AS verdict, CASE WHEN NOT gated AND observed IS NOT NULL THEN CASE WHEN observed = expected THEN exp(-0.5 * pow(z / 2, 2)) ELSE 0.0 END END AS score FROM g)
+SELECT segment, count(*) AS n, count(CASE WHEN verdict = 'correct' THEN 1 END) AS correct, count(CASE WHEN verdict = 'incorrect' THEN 1 END) AS incorrect, count(CASE WHEN verdict = 'missing' THEN 1 END) AS missing, count(CASE WHEN verdict = 'length' THEN 1 END) AS length, count(CASE WHEN verdict = 'unscored' THEN 1 END) AS unscored, round(100 * CAST(sum(CAST(score AS DECIMAL(20,9))) AS DOUBLE) / nullif(count(score), 0), 4) AS score FROM r GROUP BY 1""")
+def coach_report(spark, d):
+    """From instances to a segment's report in one plan: gates, lengths against the phone's distribution, verdicts, scores."""
+    rows = instances(spark, d)
+    q = exact_quantiles(rows, ["expected"], "duration_ms", [0.25, 0.5, 0.75])
+    stats = q.select("expected", F.col("q")[1].alias("m"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("s"))
+    rows = rows.join(F.broadcast(stats), "expected")  # at most the inventory
+    gated = F.size(P.confidence_reasons(F.col("expected"), F.col("duration_ms"), F.col("k") % 7 != 0, F.col("k") / 100, F.col("duration_ms") * 0.8)) > 0
+    rows = rows.withColumn("z", F.when(F.col("s") > 0, (F.col("duration_ms") - F.col("m")) / F.col("s"))).withColumn("gated", gated)
+    same = F.col("observed") == F.col("expected")
+    verdict = F.when(F.col("observed").isNull(), "missing").when(F.col("gated"), "unscored").when(~same, "incorrect").when(F.abs("z") > 2, "length").otherwise("correct")
+    score = F.when(~F.col("gated") & F.col("observed").isNotNull(), F.when(same, F.exp(-0.5 * F.pow(F.col("z") / 2, F.lit(2.0)))).otherwise(0.0))
+    rows = rows.select("segment", verdict.alias("verdict"), score.alias("score"))
+    n = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v)
+    mean = F.try_divide(F.sum(F.col("score").cast("decimal(20,9)")).cast("double"), F.count("score"))
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *[n(v) for v in ("correct", "incorrect", "missing", "length", "unscored")], F.round(100 * mean, 4).alias("score"))

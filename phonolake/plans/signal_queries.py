@@ -104,3 +104,17 @@ def measurement_windows(spark, d):
     out = t.select("id", G.measurement_window(a, b, va, vb).alias("m"), G.nucleus_window(a, b, va, vb).alias("n"), G.class_window(F.col("kind"), a, b, F.lit(100_000)).alias("c"))
     long = lambda c: F.col(c).cast("long")
     return out.select("id", F.round(F.col("m.start_ms").cast("double"), 4).alias("measure_start"), F.round(F.col("m.end_ms").cast("double"), 4).alias("measure_end"), long("n.start_ms").alias("nucleus_start"), long("n.end_ms").alias("nucleus_end"), long("c.start_ms").alias("class_start"), long("c.end_ms").alias("class_end"))
+
+
+@query(f"""WITH i AS (SELECT id, {_CLASS} AS class, id % (SELECT count(*) FROM embeddings) AS vec_id FROM {INSTANCES}), {_SPECTRUM.replace("WITH ", "")}, t AS (SELECT vec_id, list_sum(list_transform(range(0, 64), lambda i: (i - 31.5) * embedding[i + 1]::DOUBLE)) / (64 * (64 * 64 - 1) / 12.0 * 5) AS slope, sqrt(list_sum(list_transform(embedding, lambda v: pow(v::DOUBLE, 2))) / 64) AS rms FROM embeddings)
+SELECT id, class, round(rms, 5) AS rms, CASE WHEN class IN ('stop', 'affricate', 'fricative') THEN round(c, 4) END AS centroid, CASE WHEN class = 'fricative' THEN round(s, 4) END AS bandwidth, CASE WHEN class IN ('vowel', 'sonorant') THEN round(slope, 8) END AS slope, CASE WHEN class = 'sonorant' THEN round(list_sum(list_transform(range(0, 20), lambda k: a[k + 1])) / v.t, 4) END AS low_ratio FROM i JOIN v USING (vec_id) JOIN t USING (vec_id)""")
+def extracted_features(spark, d):
+    """What is measured of an instance depends on its class; the rest is null. Each stretch of samples is measured once."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
+    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    m = e.select("vec_id", G.rms(F.col("x")).alias("rms"), G.slope(F.col("x"), 5.0).alias("slope"), G.spectrum(F.col("x"), RATE).alias("s"))
+    rows = instances(spark, d).select("id", P.phone_class(F.col("expected")).alias("class")).join(F.broadcast(n))
+    rows = rows.withColumn("vec_id", F.col("id") % F.col("n")).join(m, "vec_id")
+    of = lambda value, *classes: F.when(F.col("class").isin(*classes), value)
+    return rows.select("id", "class", F.round("rms", 5).alias("rms"), of(F.round("s.centroid", 4), "stop", "affricate", "fricative").alias("centroid"), of(F.round("s.bandwidth", 4), "fricative").alias("bandwidth"), of(F.round("slope", 8), "vowel", "sonorant").alias("slope"), of(F.round("s.low_ratio", 4), "sonorant").alias("low_ratio"))
