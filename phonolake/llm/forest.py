@@ -270,11 +270,15 @@ def crowd_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     reach = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1 - F.col("before")
     first = shared.where(reach > 0).select("k", "root", "n", "before", F.posexplode(F.slice("at", F.lit(1), reach)).alias("i", "at"))
     first = materialize(first.select("k", "root", "n", (F.col("n") - F.col("before") - F.col("i")).alias("left"), "at.df", "at.x"), "rare-shingles")
+    # Within the component that holds most of a shingle's classes there is nothing to find: the others meet all, it meets them.
+    main = first.groupBy("x", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max(F.struct("c", "root")).alias("m")).select("x", F.col("m.root").alias("main"))
+    first = first.join(main, "x").withColumn("minor", F.col("root") != F.col("main")).drop("main")
     parts = F.ceil(F.col("df") / PART).cast("int")
-    some = first.select("x", F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), *[F.col(c).alias(f"{c}1") for c in ("k", "root", "n", "left")])
-    others = first.select("x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("k", "root", "n", "left")])
+    some = first.where("minor").select("x", F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), *[F.col(c).alias(f"{c}1") for c in ("k", "root", "n", "left")])
+    others = first.select("x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("k", "root", "n", "left", "minor")])
     enough = F.least("left1", "left2") * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
-    pairs = some.join(others, ["x", "part"]).where((F.col("k1") < F.col("k2")) & (F.col("root1") != F.col("root2")) & enough).select("k1", "k2").distinct()
+    once = ~F.col("minor2") | (F.col("k1") < F.col("k2"))
+    pairs = some.join(others, ["x", "part"]).where((F.col("root1") != F.col("root2")) & once & enough).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
     name = lambda k, c: crowd.select(F.xxhash64("id").alias(k), F.col("id").alias(c))
     pairs = pairs.join(name("k1", "i1"), "k1").join(name("k2", "i2"), "k2")
     return pairs.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"))
