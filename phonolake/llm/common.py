@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -19,6 +19,19 @@ BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 1 / 5000
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Called by a task that keeps values in its Python worker from batch to batch: what other operators keep there goes.
+
+    Workers live on from stage to stage; without this a pipeline's caches would add up.
+    """
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+    _held[owner] = clear
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, join_hot, materialize, scratch, text_key, text_rows
+from .common import free_names, hold, join_hot, materialize, scratch, text_key, text_rows
 
 TREES = 28
 #: A tree's depths, in MinHash values: the first is what candidates share at least.
@@ -46,7 +46,7 @@ _order = np.stack([_rng.permutation(_values)[: DEEPEST + 8] for _ in range(TREES
 class Words:
     """64-bit hashes of words, each distinct one hashed once; known ones are held up to max_known."""
 
-    def __init__(self, max_known: int = 500_000):
+    def __init__(self, max_known: int = 250_000):
         self.known: dict[bytes, int] = {}
         self.max_known = max_known
 
@@ -64,6 +64,10 @@ class Words:
 _words = Words()
 
 
+def hold_words() -> None:
+    hold("forest", _words.known.clear)
+
+
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words (all of them as one run, if there are fewer; none without words)."""
     h = _words.hashes(text.encode().lower().split())  # bytes: only A-Z change, only ASCII white space separates
@@ -97,6 +101,7 @@ def _sign(df: DataFrame, size: int) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        hold_words()
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialize, text_rows
+from .common import hash_sample, hold, materialize, text_rows
 from .tokens import default_path
 
 #: Documents that the probabilities are learnt from, at most, about.
@@ -273,6 +273,16 @@ class Identifier:
 _identifiers: dict[int, Identifier] = {}
 
 
+def identifier(model: Model) -> Identifier:
+    """The worker's own identifier of a model, kept from task to task."""
+    hold("langid", _identifiers.clear)
+    key = hash((model.path, tuple(model.languages), model.probability.tobytes()))
+    if key not in _identifiers:
+        _identifiers.clear()
+        _identifiers[key] = Identifier(model)
+    return _identifiers[key]
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every document, from its whole text.
 
@@ -282,15 +292,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        key = hash((m.path, tuple(m.languages), m.probability.tobytes()))
-        if key not in _identifiers:
-            _identifiers.clear()
-            _identifiers[key] = Identifier(m)
+        own = identifier(shared.value)
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]
-                found = _identifiers[key].identify(part["text"].tolist())
+                found = own.identify(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     return text_rows(df, id_col, text_col).mapInPandas(task, "doc_id long, lang_pred string, score double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, join_hot, materialize, scratch, text_key, text_rows
+from .common import free_names, hold, join_hot, materialize, scratch, text_key, text_rows
 
 #: Bytes that the rolling hash covers.
 GRAM = 16
@@ -81,6 +81,7 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
     """The triggers of every text: doc_id, key (the text's digest), a, lo, hi, seed, hull."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("suffixes", lambda: None)
         h64, own = xxhash.xxh3_64_intdigest, length - reach_of(length) + 1
         columns = ["doc_id", "key", "a", "lo", "hi", "seed", "hull"]
         for pdf in batches:

@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from .common import hold
+
 # White space as Unicode defines it (fixed values).
 _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Texts with a character of these kinds are cut by the patterns below, others by plain splitting, to the same units.
@@ -130,6 +132,7 @@ class Encoder:
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's own encoder, kept from task to task."""
+    hold("tokens", _encoders.clear)
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(path, pattern)
     return _encoders[path, pattern]

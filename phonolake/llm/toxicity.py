@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, hash_sample, text_rows
+from .common import free_names, hash_sample, hold, text_rows
 
 #: Labelled documents that dictionaries and calibration are fitted on, at most, about.
 SAMPLE_DOCS = 8_000
@@ -62,7 +62,7 @@ class Model:
 class Scorer:
     """Excesses of windows, each distinct one compressed once; held in two generations of at most max_known each."""
 
-    def __init__(self, model: Model, max_known: int = 300_000):
+    def __init__(self, model: Model, max_known: int = 200_000):
         self.model, self.max_known, self.known, self.older = model, max_known, {}, {}
         self.a, self.b = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
         self.lead = model.ordinary[-400:-300]  # known to both, so that short windows are compressed at all
@@ -173,18 +173,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 _scorers: dict[int, Scorer] = {}
 
 
+def scorer(model: Model) -> Scorer:
+    """The worker's own scorer of a model, kept from task to task."""
+    hold("toxicity", _scorers.clear)
+    key = hash((model.ordinary, model.toxic, tuple(model.weights)))
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
+
+
 def score_column(spark: SparkSession, model: Model):
     """A function of a text column that gives each whole text's score."""
     shared = spark.sparkContext.broadcast(model)  # of a fixed size: two dictionaries and a few numbers
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        m = shared.value
-        key = hash((m.ordinary, m.toxic, tuple(m.weights)))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(m)
-        return texts.map(_scorers[key].score)
+        return texts.map(scorer(shared.value).score)
 
     return of
 
