@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import mixtures as M
 from ..operators.aggregates import exact_quantiles
 from ..operators.scoring import robust_models
+from . import matrix_sql as MX
 from .adapters import INSTANCES, OBSERVATIONS, instances, observations, table
 
 Q, SQL = {}, {}
@@ -50,7 +51,15 @@ def quantile_grids(spark, d):
     return M.quantile_grid(table(spark, d, "documents"), "lang", "n_chars", 64).select("lang", "n", "j", F.round("q", 6).alias("q"))
 
 
-@query()
+_SIDES = "(SELECT label AS pair, 0 AS side, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings UNION ALL SELECT (label + 9) % 10, 1, list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings)"
+
+
+@query(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT * FROM {_SIDES}), q AS (SELECT pair, i, quantile_cont(v[i], 0.5) AS c, quantile_cont(v[i], 0.75) - quantile_cont(v[i], 0.25) AS w, stddev_pop(v[i]) AS sd FROM r, range(1, 65) t(i) GROUP BY 1, 2),
+s AS (SELECT pair, list(c ORDER BY i) AS c, list(CASE WHEN abs(w) > 1e-9 THEN w WHEN abs(sd) > 1e-9 THEN sd ELSE 1.0 END ORDER BY i) AS s FROM q GROUP BY 1), y AS MATERIALIZED (SELECT pair, side, list_transform(v, lambda x, i: (x - c[i]) / s[i]) AS y FROM r JOIN s USING (pair)),
+mu AS MATERIALIZED (SELECT pair, side, list(x ORDER BY i) AS mu FROM (SELECT pair, side, i, avg(y[i]) AS x FROM y, range(1, 65) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2), z AS MATERIALIZED (SELECT pair, list_transform(y, lambda x, i: x - mu[i]) AS z FROM y JOIN mu USING (pair, side)),
+{MX.eliminated("g", MX.ridged(MX.products("z", "pair", 64, "greatest(n - 1, 1)"), "pair", 64, "1e-2"), "pair", 64)},
+w AS (SELECT pair, a.mu AS m0, b.mu AS m1, list_transform(p, lambda line: list_sum(list_transform(range(1, 65), lambda j: line[j] * (b.mu[j] - a.mu[j])))) AS w FROM g_inverse JOIN (SELECT * FROM mu WHERE side = 0) a USING (pair) JOIN (SELECT * FROM mu WHERE side = 1) b USING (pair)),
+o AS (SELECT pair, CASE WHEN list_sum(list_transform(range(1, 65), lambda j: (m1[j] - m0[j]) * w[j])) >= 0 THEN 1 ELSE -1 END / sqrt(list_sum(list_transform(w, lambda x: x * x))) AS f, w FROM w) SELECT pair, i::INTEGER - 1 AS dim, round(f * w[i], 6) AS weight FROM o, range(1, 65) t(i)""")
 def linear_projections(spark, d):
     """Directions that tell each label from the next one (tested against plain numpy)."""
     e = table(spark, d, "embeddings")

@@ -59,7 +59,11 @@ def budget_fill(spark, d):
     return S.budget_fill(docs, "source", "key", "n_chars", 20_000, ["doc_id"])
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, list(n_chars::BIGINT ORDER BY sha1(concat_ws('|', '3', source, doc_id)), n_chars, doc_id) AS cs, list(doc_id ORDER BY sha1(concat_ws('|', '3', source, doc_id)), n_chars, doc_id) AS ids FROM documents WHERE n_chars IS NOT NULL GROUP BY source),
+f AS (SELECT 0::BIGINT AS total, list({'own': 0::BIGINT, 'named': CASE WHEN source IS NULL THEN 0 ELSE 1 END, 'turn': CASE WHEN source IS NULL THEN '' ELSE sha1('3|group|' || source) END, 'g': source, 'at': 0::BIGINT, 'cs': cs, 'ids': ids}) AS gs, NULL::VARCHAR AS source, NULL::BIGINT AS doc_id FROM r
+UNION ALL SELECT total + coalesce(c, 0), list_concat(list_filter(gs, lambda x: x.g IS DISTINCT FROM b.g), CASE WHEN c IS NULL THEN [] ELSE [{'own': b.own + c, 'named': b.named, 'turn': b.turn, 'g': b.g, 'at': b.at + k, 'cs': b.cs, 'ids': b.ids}] END), CASE WHEN c IS NOT NULL THEN b.g END, CASE WHEN c IS NOT NULL THEN b.ids[b.at + k] END
+FROM (SELECT *, CASE WHEN k > 0 THEN b.cs[b.at + k] END AS c FROM (SELECT *, list_position(list_transform(b.cs[b.at + 1:], lambda x: x <= 60000 - total), true)::BIGINT AS k FROM (SELECT total, gs, list_sort(gs)[1] AS b FROM f WHERE len(gs) > 0))))
+SELECT source, doc_id FROM f WHERE doc_id IS NOT NULL""")
 def balanced_round_robin(spark, d):
     """Compared with a plain fold in the tests."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")

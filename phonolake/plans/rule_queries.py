@@ -10,6 +10,7 @@ from ..functions import phonetics
 from ..functions.exprs import WORD, empty_as, rate_or_null, words
 from ..operators.aggregates import exact_quantiles
 from .adapters import INSTANCES, instances, sql_list, table
+from .likeness_sql import inventory_sql, likeness_sql
 
 Q, SQL = {}, {}
 
@@ -203,30 +204,12 @@ def formatted_rates(spark, d):
     return per.select("status", F.round(rate, 4).alias("null_rate"), "n", F.format_string("%.2f%%", 100 * rate).alias("shown"))
 
 
-def _likeness_sql(a: str, b: str) -> str:
-    """The likeness of two rows of the inventory, in SQL."""
-    near = " ".join(f"WHEN ({a}.place, {b}.place) IN (('{p}', '{q}'), ('{q}', '{p}')) THEN {x}" for (p, q), x in phonetics.NEAR_PLACES.items())
-    both = lambda f, values: f"{a}.{f} IN {sql_list(values)} AND {b}.{f} IN {sql_list(values)}"
-    vowel = f"least(0.12 * abs({a}.height - {b}.height), 0.24) + CASE WHEN {a}.back <> {b}.back THEN 0.20 ELSE 0 END + CASE WHEN {a}.rounded <> {b}.rounded THEN 0.16 ELSE 0 END + CASE WHEN {a}.long <> {b}.long THEN 0.24 ELSE 0 END"
-    manner = f"CASE WHEN {a}.manner = {b}.manner THEN 0 WHEN {both('manner', ['stop', 'affricate'])} THEN 0.20 WHEN {both('manner', ['fricative', 'affricate'])} THEN 0.22 WHEN {both('manner', phonetics.OBSTRUENT)} THEN 0.38 WHEN {both('manner', phonetics.SONORANT)} THEN 0.28 ELSE 0.46 END"
-    place = f"CASE WHEN {a}.place = {b}.place THEN 0 {near} WHEN {both('place', ['alveolar', 'postalveolar', 'palatal'])} OR {both('place', ['palatal', 'velar'])} THEN 0.28 WHEN {a}.place = 'glottal' OR {b}.place = 'glottal' THEN 0.42 ELSE 0.36 END"
-    voice = f"CASE WHEN {a}.voiced = {b}.voiced THEN 0 WHEN {both('manner', phonetics.SONORANT)} THEN 0.12 ELSE 0.17 END + CASE WHEN {a}.aspirated <> {b}.aspirated THEN 0.10 ELSE 0 END + CASE WHEN {a}.velarized <> {b}.velarized THEN 0.07 ELSE 0 END"
-    return f"CASE WHEN {a}.phone = {b}.phone THEN 1.0 WHEN {a}.class <> {b}.class THEN 0.05 WHEN {a}.class = 'vowel' THEN greatest(1 - ({vowel}), 0.30) ELSE greatest(1 - ({manner} + {place} + {voice}), 0.12) END"
-
-
-def _inventory_sql() -> str:
-    n = "NULL"
-    vowels = [f"('{v}{m}', 'vowel', {n}, {n}, {n}, {n}, {n}, {f[0]}, {f[1]}, {f[2]}, {int(bool(m))})" for v, f in phonetics.VOWELS.items() for m in ("", "ː") if not (v == "æ" and m)]
-    consonants = [f"('{p}', 'consonant', '{m}', '{place}', {voiced}, {p.endswith('ʰ')}, {p == 'ɫ'}, {n}, {n}, {n}, {n})" for p, m, place, voiced in phonetics.CONSONANTS]
-    return f"(VALUES {', '.join(vowels + consonants)}) v(phone, class, manner, place, voiced, aspirated, velarized, height, back, rounded, long)"
-
-
 _NOTE = "CASE k % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'expected' END"
 _LENGTH_ONLY = f"replace(expected, 'ː', '') = replace(observed, 'ː', '') AND expected <> observed AND k % 2 = 0"
 _TIMED = f"CASE WHEN NOT ({_LENGTH_ONLY}) THEN s WHEN (contains(expected, 'ː') AND {_NOTE} IN ('long', 'expected')) OR (NOT contains(expected, 'ː') AND {_NOTE} IN ('short', 'expected')) THEN greatest(s, 0.90) ELSE least(s, 0.58) END"
 
 
-@query(f"""WITH inv AS (SELECT * FROM {_inventory_sql()}), r AS (SELECT i.id, i.expected, i.observed, i.k, round({_likeness_sql("a", "b")}, 6)::DOUBLE AS s FROM {INSTANCES} i JOIN inv a ON a.phone = i.expected JOIN inv b ON b.phone = i.observed), t AS (SELECT *, {_TIMED} AS u FROM r)
+@query(f"""WITH inv AS (SELECT * FROM {inventory_sql()}), r AS (SELECT i.id, i.expected, i.observed, i.k, round({likeness_sql("a", "b")}, 6)::DOUBLE AS s FROM {INSTANCES} i JOIN inv a ON a.phone = i.expected JOIN inv b ON b.phone = i.observed), t AS (SELECT *, {_TIMED} AS u FROM r)
 SELECT id, s AS likeness, round(CASE WHEN expected = observed THEN u WHEN k % 5 = 0 AND k % 2 = 0 THEN least(u + 0.07, 0.95) WHEN k % 5 = 0 AND k <= 45 THEN greatest(u - 0.05, 0) WHEN k % 5 = 1 AND k % 2 = 0 THEN greatest(u - 0.05, 0) ELSE u END, 6) AS adjusted FROM t""")
 def contrast_likeness(spark, d):
     """Likeness of what was expected and what was observed, after evidence of duration and of a contrast."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import sha1_mod100
 from ..operators import scoring as S
+from . import matrix_sql as M
 from .adapters import OBSERVATIONS, PHONE_EVENTS, observations, phone_events, table
 from .row_queries import _mod100
 
@@ -43,9 +44,20 @@ def fold_accuracy(spark, d):
     return S.fold_metrics(observations(spark, d), sha1_mod100(F.col("doc_id").cast("string")) % 5, (F.col("n_chars") > 1000) == (F.col("quality") == 1))
 
 
-@query()
+_MEDIAN = "(SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, quantile_cont(v[i], 0.5) AS c FROM {0}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)"
+_TRACE = "1e-3 * list_sum(list_transform(m, lambda line, i: line[i])) / 64"
+_MINUS = "list_transform(v, lambda x, i: x - c[i])"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS MATERIALIZED (SELECT * FROM a WHERE label IN (SELECT label FROM a GROUP BY 1 HAVING count(*) >= 20)),
+z1 AS MATERIALIZED (SELECT vec_id, label, v, {_MINUS} AS z FROM e JOIN {_MEDIAN.format("e")} USING (label)), {M.eliminated("g1", M.ridged(M.products("z1", "label", 64, "greatest(n - 1, 1)"), "label", 64, _TRACE), "label", 64)},
+d1 AS MATERIALIZED (SELECT z1.vec_id, label, v, {M.squared("z", "p", 64)} <= 64 * pow(1 - 2 / (9 * 64.0) + 3.0902323061678132 * sqrt(2 / (9 * 64.0)), 3) AS near FROM z1 JOIN g1_inverse USING (label)),
+k AS MATERIALIZED (SELECT * FROM d1 WHERE near OR label IN (SELECT label FROM d1 GROUP BY 1 HAVING count(CASE WHEN near THEN 1 END) < 65)), c2 AS MATERIALIZED (SELECT * FROM {_MEDIAN.format("k")}),
+z2 AS MATERIALIZED (SELECT vec_id, label, {_MINUS} AS z FROM k JOIN c2 USING (label)), {M.eliminated("g2", M.ridged(M.products("z2", "label", 64, "greatest(n - 1, 1)"), "label", 64, _TRACE), "label", 64)},
+f AS MATERIALIZED (SELECT vec_id, label, {M.squared("z", "p", 64)} AS q FROM (SELECT vec_id, label, {_MINUS} AS z FROM e JOIN c2 USING (label)) JOIN g2_inverse USING (label)), t AS (SELECT label, sqrt(quantile_cont(q, 0.95)) AS t FROM f GROUP BY 1)
+SELECT vec_id, label, round(sqrt(q), 6) AS distance, round(exp(-0.5 * q / (t * t)), 6) AS fit FROM f JOIN t USING (label)""")
 def robust_scatter(spark, d):
-    """Fit of each vector to its label's robust model (tested against numpy)."""
+    """Fit of each vector to its label's robust model (compared with numpy as well)."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     return S.typicality(e, S.robust_models(e, "label", "v"), "label", "v").select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("fit", 6).alias("fit"))
 

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import g2p, phonetics, sequences
+from ..functions import phones as P
 from ..functions.exprs import WORD, turkish_lower, words
+from . import g2p_sql as G
 from .adapters import table
+from .likeness_sql import inventory_sql, likeness_sql
 
 Q, SQL = {}, {}
 
@@ -53,13 +56,17 @@ def grapheme_map(spark, d):
     return distinct.select("word", F.when(phones != "", phones).alias("phones"))
 
 
-@query()
+_WORDS = f"(SELECT DISTINCT word FROM (SELECT unnest({_W}) AS word FROM documents))"
+_COUNTED = f"(SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY word)"
+
+
+@query(f"WITH {G.chain(_WORDS)} SELECT word, source, NULL::VARCHAR AS type, coded, {G.spelled('coded')} AS ipa FROM said")
 def g2p_full(spark, d):
-    """Distinct words with their phones; held against golden words and a plain fold in the tests."""
+    """Distinct words with their phones; golden words are tested as well."""
     return g2p.pronounce(document_words(spark, d), "word")
 
 
-@query()
+@query(f"WITH {G.chain(_WORDS)} SELECT phone, sum(n)::BIGINT AS n FROM (SELECT n, unnest({G.phones('coded')}) AS phone FROM said JOIN {_COUNTED} USING (word)) WHERE phone <> 'ˈ' GROUP BY phone")
 def phone_inventory_counts(spark, d):
     """Phones of all words of the corpus: distinct words are transcribed once and weighted by their counts."""
     n = document_words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -125,7 +132,8 @@ def assessment_statuses(spark, d):
     return rows.groupBy("grp", "x.status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {G.chain(_WORDS)}, p AS (SELECT n, list_filter({G.phones('coded')}, lambda t: t <> 'ˈ') AS p FROM said JOIN {_COUNTED} USING (word)), x AS (SELECT n, p, unnest(range(1, len(p))) AS i FROM p), y AS (SELECT p[i] AS target, p[i + 1] AS observed, sum(n)::BIGINT AS n FROM x GROUP BY 1, 2), inv AS (SELECT * FROM {inventory_sql()})
+SELECT target, observed, n, round({likeness_sql("a", "b")}, 6)::DOUBLE AS likeness FROM y JOIN inv a ON a.phone = target JOIN inv b ON b.phone = observed""")
 def phone_likeness(spark, d):
     """Phones that follow each other in the corpus's words, weighted by counts, with their likeness from the dictionary (its values are tested)."""
     n = document_words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -135,7 +143,11 @@ def phone_likeness(spark, d):
     return per.join(F.broadcast(phonetics.likeness_table(spark)), ["target", "observed"])
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT vec_id // 10 AS u, list(embedding ORDER BY vec_id) AS x, least(count(*), 3) AS n FROM embeddings GROUP BY 1),
+v AS (SELECT u, 1::BIGINT AS t, list_transform(range(0, n), lambda k: CASE WHEN k = 0 THEN x[1][1]::DOUBLE ELSE '-Infinity'::DOUBLE END) AS b, list_transform(range(0, n), lambda k: false) AS came FROM f
+UNION ALL SELECT v.u, t + 1, list_transform(range(0, n), lambda k: greatest(b[k + 1], CASE WHEN k = 0 THEN '-Infinity'::DOUBLE ELSE b[k] END) + x[t + 1][k + 1]::DOUBLE), list_transform(range(0, n), lambda k: k > 0 AND b[k] > b[k + 1]) FROM v JOIN f ON f.u = v.u WHERE t < len(x)),
+p AS (SELECT u, len(x)::BIGINT AS t, (n - 1)::BIGINT AS k FROM f UNION ALL SELECT p.u, p.t - 1, p.k - v.came[p.k + 1]::BIGINT FROM p JOIN v ON v.u = p.u AND v.t = p.t WHERE p.t > 1)
+SELECT u AS utterance, list(k::INTEGER ORDER BY t) AS path FROM p GROUP BY u""")
 def viterbi_paths(spark, d):
     """Ten vectors in id order as the frames of an utterance, over as many targets as it has frames, three at most (its paths are tested)."""
     frames = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("utterance")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("x")))).alias("f"))
@@ -181,13 +193,23 @@ def lexicon_of(spark, d):
     return n.select("word", F.array_join(tokens, " ").alias("phones"), kind.alias("type"), F.lit("").alias("ipa_detail"))
 
 
-@query()
+_LEX = f"(SELECT word, CASE WHEN length(word) > 6 THEN 'stress' WHEN ends_with(word, 'er') THEN 'no_e_open' ELSE '' END AS kind FROM {_COUNTED} WHERE n > 50)"
+
+
+@query(f"WITH {G.chain(_WORDS, _LEX)} SELECT word, source, CASE WHEN source = 'exception' THEN kind END AS type, coded, {G.spelled('coded')} AS ipa FROM said")
 def g2p_lexicon(spark, d):
     """Words with a lexicon that goes before the rules: sources, types, phones (golden words are tested, with and without a lexicon)."""
     return g2p.pronounce(document_words(spark, d), "word", lexicon_of(spark, d))
 
 
-@query()
+_TURNS = f"(SELECT conv_id * 1000 + turn AS turn_id, text, {_W} AS w FROM conversations)"
+_ALLOWED = str([*P.PHONES, P.STRESS, P.SPACE])
+
+
+@query(f"""WITH {G.chain(f"(SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM {_TURNS}))")}, t AS (SELECT * FROM {_TURNS}), e AS (SELECT turn_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), j AS (SELECT turn_id, i, {G.phones("coded")} AS p, replace({G.spelled("coded")}, '/', '') AS ipa FROM e JOIN said ON word = w[i]),
+g AS (SELECT turn_id, flatten(list(CASE WHEN i = 1 THEN p ELSE ['<spc>'] || p END ORDER BY i)) AS tok, '/' || string_agg(ipa, ' ' ORDER BY i) || '/' AS ipa FROM j GROUP BY 1), v AS (SELECT t.turn_id, t.text, t.w, coalesce(tok, []) AS tok, ipa FROM t LEFT JOIN g USING (turn_id)),
+y AS (SELECT *, list_filter(list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN NOT list_contains({_ALLOWED}, tok[i]) THEN 'unknown_token:' || tok[i] WHEN tok[i] = '<spc>' AND (i = 1 OR i = len(tok)) THEN 'space_token_boundary' WHEN tok[i] = '<spc>' AND tok[i - 1] = '<spc>' THEN 'consecutive_space_tokens' END), lambda r: r IS NOT NULL) AS why FROM v)
+SELECT turn_id, len(tok)::INTEGER AS token_count, ipa, len(why)::INTEGER AS n_warnings, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN len(w) = 0 THEN 'no_word_tokens' ELSE why[1] END AS drop_reason FROM y""")
 def training_tokens(spark, d):
     """Whole turns as phones with space tokens, and why a turn is dropped (tested against single words)."""
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
@@ -195,7 +217,7 @@ def training_tokens(spark, d):
     return out.select("turn_id", "token_count", "ipa", F.size("warnings").alias("n_warnings"), "drop_reason")
 
 
-@query()
+@query(f"""WITH {G.chain(_WORDS)} SELECT 'grapheme_map' AS name, count(*) AS n, count(*)::BIGINT AS n_fired FROM s0 {" ".join(f"UNION ALL SELECT '{name}', count(*), count(CASE WHEN a.x <> b.x THEN 1 END) FROM s{k} a JOIN s{k - 1} b USING (word)" for k, (name, _) in enumerate(G.STEPS, 1))}""")
 def g2p_steps(spark, d):
     """How often each rule changes a word of the corpus (tested: the last step gives the transcription)."""
     w = document_words(spark, d).select("word").distinct()
@@ -203,7 +225,7 @@ def g2p_steps(spark, d):
     return steps.groupBy("s.name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.fired").cast("int")).alias("n_fired"))
 
 
-@query()
+@query(f"WITH {G.chain(_WORDS)} SELECT source, count(*) AS n, count(*)::BIGINT AS n_same, 0::BIGINT AS n_unknown FROM said GROUP BY source")
 def parsed_ipa(spark, d):
     """The corpus's transcriptions parsed again: phones equal those that were written (tested), nothing unknown."""
     w = g2p.pronounce(document_words(spark, d), "word").withColumn("p", g2p.parse_ipa(F.col("ipa")))
