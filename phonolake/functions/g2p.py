@@ -318,7 +318,7 @@ def token_policy(tokens: Column) -> Column:
 def pronounce(df: DataFrame, word: str, lexicon: DataFrame | None = None, morphology: DataFrame | None = None, pedagogical: bool = True) -> DataFrame:
     """The distinct words of a column with source (reference, exception, acronym, rules, empty), type, coded phones and IPA.
 
-    lexicon: word, phones (separated by spaces), type, ipa_detail; a word is looked up as it is written, then in lower
+    lexicon: word, phones (separated by spaces), and if there are any type and ipa_detail; a word is looked up as it is written, then in lower
     case, and what it says of phones, type and stress goes before the rules. morphology: word, root, suffixes (array),
     pos, is_proper; it moves the stress of words that are not in the lexicon. Both are dimension tables with a row a word.
     """
@@ -327,7 +327,8 @@ def pronounce(df: DataFrame, word: str, lexicon: DataFrame | None = None, morpho
     if lexicon is None:
         rows = rows.withColumn("_e", F.lit(None).cast(entry))
     else:
-        table = lambda key, out: lexicon.select(F.col("word").alias(key), F.struct(F.col("phones").alias("phones"), F.coalesce("type", F.lit("")).alias("type"), F.coalesce("ipa_detail", F.lit("")).alias("ipa_detail")).alias(out))
+        given = lambda c: F.coalesce(c, F.lit("")) if c in lexicon.columns else F.lit("")
+        table = lambda key, out: lexicon.select(F.col("word").alias(key), F.struct(F.col("phones").alias("phones"), given("type").alias("type"), given("ipa_detail").alias("ipa_detail")).alias(out))
         rows = rows.join(table("_w", "_e1"), "_w", "left").join(table("_low", "_e2"), "_low", "left").withColumn("_e", F.coalesce("_e1", "_e2"))
     if morphology is not None:
         m = morphology.select(F.col("word").alias("_w"), F.struct("root", "suffixes", "pos", "is_proper").alias("_m"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import exact_quantiles, prefix_sums
-from .scoring import medians, robust_models, verdict
+from .scoring import robust_models, verdict
 
 #: More groups than this are not an inventory.
 MOST_GROUPS = 2_000
@@ -303,6 +303,3 @@ def detectors(df: DataFrame, label: str, features: list[str], most_fp: float, si
     up = prefix_sums(per, ["subset"], "score", ["pos", "neg"], descending=True)
     rates = up.select("subset", "score", F.coalesce(F.try_divide(F.col("neg_to"), F.col("neg_all")), F.lit(0.0)).alias("fp"), F.coalesce(F.try_divide(F.col("pos_to"), F.col("pos_all")), F.lit(0.0)).alias("recall"))
     return rates.where(F.col("fp") <= most_fp).groupBy("subset").agg(F.min("score").alias("threshold"), F.max("fp").alias("fp"), F.max("recall").alias("recall"))
-
-
-__all__ = ["assess", "authority", "detectors", "first_analysis", "fit_mixtures", "medians", "projections", "quantile_grid", "ranks_in_grid", "score", "signature", "usable_features"]
