@@ -9,7 +9,7 @@ from ..functions import phones as P
 from ..functions.exprs import dot, rate_or_null, sha1_mod100, words
 from ..operators import aggregates as A
 from ..operators import sampling as S
-from .adapters import INSTANCES, OBSERVATIONS, PHONE_EVENTS, instances, observations, phone_events, sql_list, table
+from .adapters import INSTANCES, OBSERVATIONS, PHONE_EVENTS, instances, observations, sql_list, table
 from .rule_queries import _CLASS
 from .row_queries import _mod100
 from .text_queries import _W
