@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, gif, langid, mixing, packing, records, sharding, suffixes, toxicity
+from . import audit, fingerprints, forest, gif, langid, mixing, neighbours, packing, periods, records, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -69,8 +69,36 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op11_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("filter")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold few long runs, so every tenth document is made periodic first (periods.plant)."""
+    found = periods.collapse_runs(documents(spark, sf_dir), periods.plant)
+    longest = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(best.isNull() | (r["length"] > best["length"]), r).otherwise(best))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = neighbours.score(docs, neighbours.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op3_marginal_unigram_langid, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records, op9_compression_toxicity, op10_lsh_forest)
+    for f in (op1_pack_best_fit, op2_prefix_free_dedup, op3_marginal_unigram_langid, op4_poisson_mixing, op5_quartile_digest, op6_two_pass_shuffle, op7_gif_columns, op8_binary_records, op9_compression_toxicity, op10_lsh_forest, op11_survival_words, op12_periodic_runs, op13_neighbour_votes)
 }
-ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op10_lsh_forest": forest.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op10_lsh_forest": forest.SQL, "op11_survival_words": audit.SQL}
