@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,12 +163,21 @@ class _Batch:
         self.open = {d for _, d, _ in self.flagged}
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of a column, a row at least: words of all rows at once take much more room."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    begin = 0
+    while begin < len(ends):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def _scan(alter, plain: bool):
     """The documents without a flagged boundary, which have no run; or the others, with their tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = _Batch(batch, alter)
+        for b in (_Batch(some, alter) for batch in batches for some in slices(batch, "text")):
             if plain:
                 rest = [i for i in range(len(b.ids)) if i not in b.open]
                 yield pa.RecordBatch.from_arrays([pa.array([b.ids[i] for i in rest], pa.int64()), pa.array([" ".join(b.words[i]) for i in rest], pa.string())], ["doc_id", "collapsed"])
@@ -195,7 +205,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (some for whole in batches for some in slices(whole, "words")):
         key, period, start, end = [], [], [], []
         for k, octave_, lo, words, at in zip(*(batch.column(c).to_pylist() for c in ("key", "octave", "lo", "words", "boundaries")), strict=True):
             for p, spans in solve(np.frombuffer(words, "<i4").tolist(), octave_, np.frombuffer(at, "<i4").tolist()).items():
@@ -219,7 +229,7 @@ def stitch(fragments: DataFrame) -> DataFrame:
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (some for whole in batches for some in slices(whole, "collapsed")):
         out, runs = [], batch.column("runs").to_pylist()
         for text, own in zip(batch.column("collapsed").to_pylist(), runs, strict=True):
             words = text.split(" ")
