@@ -8,6 +8,7 @@ block by block, and its K nearest vote with weights that grow with the cosine.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -99,7 +100,10 @@ def weigh(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def project(counts: np.ndarray, rarity: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    x = weigh(counts, rarity) @ directions
+    return of_length_one(weigh(counts, rarity) @ directions)
+
+
+def of_length_one(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(size > 1e-6, x / np.maximum(size, 1e-6), 0).astype(np.float32)
 
@@ -161,16 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ho
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "n": [terms(t).astype("<f4").tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "n": [zlib.compress(terms(t).astype("<f4").tobytes(), 1) for t in pdf["text"]]})
 
     rows = text_rows(docs).join(chosen, "doc_id").select("doc_id", "text", "mark").mapInPandas(count, "doc_id long, mark double, n binary").toPandas()
     rows = rows.sort_values(["doc_id", "n"])
     seen, n = document_frequencies(text_rows(docs))
     rarity = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
-    counts = np.stack([np.frombuffer(b, "<f4") for b in rows["n"]]) if len(rows) else np.zeros((0, TERMS), np.float32)
-    directions = leading_directions(weigh(counts, rarity), DIMENSIONS)
+    weighted = np.zeros((len(rows), TERMS), np.float32)
+    for k, b in enumerate(rows["n"]):
+        weighted[k] = weigh(np.frombuffer(zlib.decompress(b), "<f4")[None], rarity)
+    directions = leading_directions(weighted, DIMENSIONS)
     mark = rows["mark"].to_numpy(np.float32)
-    return Model(rarity, directions, project(counts, rarity, directions), mark, float(mark.mean()) if len(mark) else 0.5)
+    return Model(rarity, directions, of_length_one(weighted @ directions), mark, float(mark.mean()) if len(mark) else 0.5)
 
 
 def score_column(spark: SparkSession, model: Model):
