@@ -30,6 +30,8 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LEAST = 12
 #: Neighbouring tiles of about so many words travel together.
 TOGETHER = 4096
+#: About so many bytes of tiles are solved by a task: much work for few bytes.
+TASK_BYTES = 4 << 20
 #: So many block hashes are compared at once.
 AT_ONCE = 1 << 20
 
@@ -254,7 +256,9 @@ def collapse_runs(df: DataFrame, alter: Callable[[int | None, list[str]], list[s
     plain = rows.mapInArrow(_scan(alter, True), "doc_id long, collapsed string").withColumn("runs", F.array().cast(RUNS))
     flagged = materialize(rows.mapInArrow(_scan(alter, False), _TILE), "flagged")
     with scratch(df.sparkSession, "runs"):
-        dealt = flagged.where("octave IS NOT NULL").select("key", "octave", "lo", "words", "boundaries").repartition("key", "octave", "lo")
+        dealt = flagged.where("octave IS NOT NULL").select("key", "octave", "lo", "words", "boundaries")
+        size = dealt.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+        dealt = dealt.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES), "key", "octave", "lo")
         fragments = materialize(dealt.mapInArrow(_solve, "key binary, period long, start long, end long"), "fragments")
         runs = materialize(stitch(fragments), "stitched", keep=True)
     texts = flagged.where("octave IS NULL").select("key", "doc_id", "collapsed")
