@@ -74,6 +74,19 @@ def frame_starts(n: Column, length: int, hop: int) -> Column:
     return F.when(last > 0, F.array_distinct(F.concat(regular, F.array(last)))).otherwise(F.array(F.lit(0)))
 
 
+def loud_frames(samples: Column, length: int, hop: int) -> Column:
+    """Starts of the frames that have three times the noise (the 20th percentile of the frames' RMS) and at least 0.01."""
+
+    def limit(loud: Column) -> Column:
+        place = F.lit(0.2) * (F.size(loud) - 1)
+        noise = let(F.array_sort(loud), lambda r: F.get(r, F.floor(place).cast("int")) + (place - F.floor(place)) * (F.get(r, F.ceil(place).cast("int")) - F.get(r, F.floor(place).cast("int"))))
+        return F.greatest(noise * 3.0, F.lit(0.01))
+
+    frames = F.transform(frame_starts(F.size(samples), length, hop), lambda s: F.struct(s.alias("s"), rms(F.slice(samples, s + 1, F.lit(length))).alias("v")))
+    loud = lambda fs: let(limit(F.transform(fs, lambda x: x["v"])), lambda least: F.transform(F.filter(fs, lambda x: x["v"] >= least), lambda x: x["s"]))
+    return let(frames, loud)
+
+
 def speech_region(samples: Column, rate: int) -> Column:
     """start_ms, end_ms, status: the stretch between the first and the last frame that is loud, with 40 ms around it.
 
@@ -84,11 +97,6 @@ def speech_region(samples: Column, rate: int) -> Column:
     n = F.size(samples)
     ms = lambda k: F.bround(k * 1000.0 / rate).cast("long")
 
-    def limit(loud: Column) -> Column:
-        place = F.lit(0.2) * (F.size(loud) - 1)
-        noise = let(F.array_sort(loud), lambda r: F.get(r, F.floor(place).cast("int")) + (place - F.floor(place)) * (F.get(r, F.ceil(place).cast("int")) - F.get(r, F.floor(place).cast("int"))))
-        return F.greatest(noise * 3.0, F.lit(0.01))
-
     def region(hits: Column) -> Column:
         whole = F.greatest(ms(n), F.lit(1).cast("long"))
         start = F.greatest(ms(F.get(hits, F.lit(0))) - 40, F.lit(0).cast("long"))
@@ -96,9 +104,7 @@ def speech_region(samples: Column, rate: int) -> Column:
         none = F.size(hits) == 0
         return F.struct(F.when(none, F.lit(0).cast("long")).otherwise(start).alias("start_ms"), F.when(none, whole).otherwise(end).alias("end_ms"), F.when(none, "no_speech_fallback").otherwise("ok").alias("status"))
 
-    frames = F.transform(frame_starts(n, length, hop), lambda s: F.struct(s.alias("s"), rms(F.slice(samples, s + 1, F.lit(length))).alias("v")))
-    loud = lambda fs: let(limit(F.transform(fs, lambda x: x["v"])), lambda least: F.transform(F.filter(fs, lambda x: x["v"] >= least), lambda x: x["s"]))
-    return let(let(frames, loud), region)
+    return let(loud_frames(samples, length, hop), region)
 
 
 def quality_gate(duration_ms: Column, loudness: Column) -> Column:
