@@ -7,7 +7,8 @@ from math import exp, gcd, pi
 from pyspark.sql import functions as F
 
 from ..functions import tracks as T
-from .adapters import table
+from ..streaming import voice
+from .adapters import PHONE_EVENTS, phone_events, table
 
 Q, SQL = {}, {}
 RATE = 1600
@@ -147,3 +148,21 @@ def decoded_frames(spark, d):
     runs = T.decode_peaks(F.transform("f", lambda x: x["token"]), F.transform("f", lambda x: x["p"]), F.lit(400), [0, 5])
     rows = u.select("utterance", F.explode(runs).alias("r")).select("utterance", "r.*")
     return rows.withColumn("confidence", F.round("confidence", 9))
+
+
+_HOUR = 3_600_000
+#: Events come hours apart, so the limits are hours here.
+LIMITS = voice.Limits(silence_ms=12 * _HOUR, least_speech_ms=4 * _HOUR, debounce_ms=6 * _HOUR, most_ms=150 * _HOUR, threshold=20.0)
+_ENDS = f"CASE WHEN r.heard IS NULL THEN r.started + {LIMITS.most_ms} ELSE least(r.started + {LIMITS.most_ms}, greatest(r.last + {LIMITS.silence_ms}, r.heard + {LIMITS.least_speech_ms})) END"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT speaker AS k, start_us // 1000 AS t, duration_ms > {LIMITS.threshold} AS v, row_number() OVER (PARTITION BY speaker ORDER BY start_us // 1000, duration_ms) AS i, count(*) OVER (PARTITION BY speaker) AS n FROM {PHONE_EVENTS}),
+r AS (SELECT k, i, n, t AS started, CASE WHEN v THEN t END AS above, NULL::BIGINT AS heard, NULL::BIGINT AS last, false AS over, NULL::BIGINT AS c_started, NULL::BIGINT AS c_heard, NULL::BIGINT AS c_end FROM e WHERE i = 1
+UNION ALL SELECT k, i, n, started, CASE WHEN heard0 IS NOT NULL THEN above0 WHEN v THEN coalesce(above0, t) END, CASE WHEN heard0 IS NOT NULL THEN heard0 WHEN v AND t - coalesce(above0, t) >= {LIMITS.debounce_ms} THEN t END, CASE WHEN heard0 IS NULL THEN CASE WHEN v AND t - coalesce(above0, t) >= {LIMITS.debounce_ms} THEN t END WHEN v THEN t ELSE last0 END, over, c_started, c_heard, c_end
+FROM (SELECT e.k, e.i, e.n, e.t, e.v, e.t >= {_ENDS} AS over, CASE WHEN e.t >= {_ENDS} THEN e.t ELSE r.started END AS started, CASE WHEN e.t < {_ENDS} THEN r.above END AS above0, CASE WHEN e.t < {_ENDS} THEN r.heard END AS heard0, CASE WHEN e.t < {_ENDS} THEN r.last END AS last0, r.started AS c_started, r.heard AS c_heard, {_ENDS} AS c_end FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)),
+o AS (SELECT k, c_started AS started, c_heard AS heard, c_end AS ended FROM r WHERE over UNION ALL SELECT k, started, heard, {_ENDS} FROM r WHERE i = n)
+SELECT k AS speaker, started AS started_ms, heard AS heard_ms, ended AS ended_ms, CASE WHEN ended = started + {LIMITS.most_ms} THEN 'limit' ELSE 'silence' END AS reason FROM o""")
+def voice_recordings(spark, d):
+    """Events as levels over time, cut into recordings by the voice-activity machine (its streaming form is tested against it)."""
+    e = phone_events(spark, d).select("speaker", F.floor(F.col("start_us") / 1000).alias("t"), F.col("duration_ms").alias("level"))
+    return voice.recordings(e, "speaker", "t", "level", LIMITS)

@@ -170,18 +170,6 @@ def write_textgrids(intervals: DataFrame, by: str, path: str) -> None:
     textgrids(intervals, by).repartition(by).write.mode("overwrite").partitionBy(by).option("lineSep", "\n").text(path)
 
 
-def compute_missing(df: DataFrame, keys: list[str], cache: str, compute, schema: str) -> DataFrame:
-    """Results for all keys, from a cache (Parquet) where it has them; the others are computed and appended first."""
-    spark = df.sparkSession
-    try:
-        known = spark.read.schema(schema).parquet(cache)
-        known.limit(1).count()
-    except Exception:  # no cache yet
-        known = spark.createDataFrame([], schema)
-    compute(df.join(known.select(*keys).distinct(), keys, "left_anti")).write.mode("append").parquet(cache)
-    return spark.read.schema(schema).parquet(cache).join(df.select(*keys).distinct(), keys, "left_semi")
-
-
 def isolated(value: Column, ok: Column, why: Column) -> Column:
     """value, error: a row's result, or null and why there is none; a bad row stops nothing."""
     return F.struct(F.when(ok, value).alias("value"), F.when(ok, None).otherwise(why).alias("error"))

@@ -10,7 +10,7 @@ from phonolake.functions import g2p, sequences, signals
 from phonolake.functions import phones as P
 from phonolake.operators import aggregates, mixtures, records, reports, sampling, scoring
 from phonolake.plans import registry, text_queries
-from phonolake.sources import files
+from phonolake.sources import files, published
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -308,7 +308,7 @@ def test_a_cache_is_filled_once(spark, tmp_path):
         seen.append(sorted(r["id"] for r in missing.collect()))
         return missing.select("id", (F.col("id") * 10).alias("v"))
 
-    run = lambda n: sorted(tuple(r) for r in files.compute_missing(spark.range(n), ["id"], str(tmp_path / "cache"), compute, "id long, v long").collect())
+    run = lambda n: sorted(tuple(r) for r in published.compute_missing(spark.range(n), ["id"], str(tmp_path / "cache"), compute, "id long, v long").collect())
     assert run(2) == [(0, 0), (1, 10)] and run(4) == [(k, 10 * k) for k in range(4)] and run(2) == [(0, 0), (1, 10)]
     assert seen == [[0, 1], [2, 3], []]
 
