@@ -73,8 +73,9 @@ def compute_missing(df: DataFrame, keys: list[str], cache: str, compute: Callabl
     spark = df.sparkSession
     known = published(spark, cache, schema)
     missing = df.join(known.select(*keys).distinct(), keys, "left_anti")
+    found = compute(missing)
     if not missing.isEmpty():
-        publish(compute(missing), cache, uuid.uuid4().hex)
+        publish(found, cache, uuid.uuid4().hex)
     rows = published(spark, cache, schema)
     first = rows.groupBy(*keys).agg(F.min("_part").alias("_part")).join(df.select(*keys).distinct(), keys, "left_semi")
     return rows.join(first, [*keys, "_part"], "left_semi").drop("_part")

@@ -96,7 +96,7 @@ def test_a_killed_writer_leaves_nothing(spark, tmp_path):
     assert P.published(spark, cache, schema).count() == 0
     assert sorted(map(tuple, P.compute_missing(rows.where("k < 5"), ["k"], cache, compute, schema).collect())) == [(k, 2 * k) for k in range(5)]
     assert sorted(map(tuple, P.compute_missing(rows, ["k"], cache, compute, schema).collect())) == [(k, 2 * k) for k in range(20)]
-    assert P.compute_missing(rows, ["k"], cache, compute, schema).count() == 20 and calls == [20, 5, 15]
+    assert P.compute_missing(rows, ["k"], cache, compute, schema).count() == 20 and calls == [20, 5, 15, 0]
     P.publish(spark.createDataFrame([(3, 999)], schema), cache, "zzz")  # another run's rows of a key that is there
     assert P.compute_missing(rows, ["k"], cache, compute, schema).where("k = 3").collect() in ([(3, 6)], [(3, 999)]) and P.compute_missing(rows, ["k"], cache, compute, schema).count() == 20
     (tmp_path / "cache" / "manifest" / "half").write_text("half-0123")  # not whole: it doesn't count
