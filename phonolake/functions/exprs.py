@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +83,13 @@ def dot(a: Column, b: Column) -> Column:
 def let(x: Column, f) -> Column:
     """f of a value that is computed once, however often f uses it."""
     return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def next_after(c: Column) -> Column:
+    """The next greater double: a threshold just above a value."""
+
+    @F.pandas_udf("double")
+    def up(x: pd.Series) -> pd.Series:
+        return pd.Series(np.nextafter(x.to_numpy(float), np.inf))
+
+    return up(c.cast("double"))

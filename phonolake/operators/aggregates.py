@@ -102,22 +102,21 @@ def proportion(df: DataFrame, by: str, success: Column) -> DataFrame:
     return out.select(by, "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-def separation(df: DataFrame, by: str, score: str, label: str) -> DataFrame:
-    """ROC-AUC (ties count half; turned around below 0.5) and Cohen's d of a score between labels 1 and 0, for each group.
+def separation(df: DataFrame, by: str, score: str, label: str, turn: bool = True) -> DataFrame:
+    """ROC-AUC (ties count half; turned around below 0.5, if asked for) and Cohen's d of a score between labels 1 and 0, for each group.
 
-    The rank sum is taken over distinct scores: rows are counted by score first, so that the window is over the
-    distinct scores of a group, not over its rows.
+    Rows are counted by score first, and ranked by prefix sums over ranges of the distinct scores.
     """
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).groupBy(by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    up = prefix_sums(per, [by], score, ["neg"])
+    won = up.withColumn("won", F.col("pos") * (F.col("neg_to") - F.col("neg") + F.col("neg") / 2)).groupBy(by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.try_divide(F.col("won"), F.col("n_pos") * F.col("n_neg"))
     x, y = F.col(score).cast("double"), F.col(label)
     at = lambda v: F.when(y == v, x)
     moments = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(by).agg(*[f(at(v)).alias(f"{name}{v}") for v in (0, 1) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
     d = F.when((F.col("n1") >= 2) & (F.col("n0") >= 2), F.try_divide(F.col("m1") - F.col("m0"), pooled))
-    return won.join(moments, by).select(by, "n_pos", "n_neg", F.round(F.greatest(auc, 1 - auc), 9).alias("auc"), F.round(d, 6).alias("cohens_d"))
+    return won.join(moments, by).select(by, "n_pos", "n_neg", F.round(F.greatest(auc, 1 - auc) if turn else auc, 9).alias("auc"), F.round(d, 6).alias("cohens_d"))
 
 
 def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:

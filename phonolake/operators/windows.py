@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import prefix_sums
+
 
 def neighbours(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(*order)
@@ -71,10 +73,9 @@ def peak(df: DataFrame, by: str, order: str, dims: list[str], tie: float = 1e-9)
 
 
 def cume_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """The share of the group's rows at or below each distinct value."""
+    """The share of the group's rows at or below each distinct value, by prefix sums over ranges of values."""
     per = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(by).orderBy(value)
-    return per.select(by, value, (F.sum("c").over(up) / F.sum("c").over(Window.partitionBy(by))).alias("rank"))
+    return prefix_sums(per, [by], value, ["c"]).select(by, value, (F.col("c_to") / F.col("c_all")).alias("rank"))
 
 
 def longest_interval(df: DataFrame, by: str, order: list[str], flag: Column, time: str) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import catalog_queries, model_queries, record_queries, report_queries, row_queries, rule_queries, scoring_queries, set_queries, signal_queries, text_queries, track_queries
+from . import catalog_queries, classifier_queries, model_queries, record_queries, report_queries, row_queries, rule_queries, scoring_queries, set_queries, signal_queries, text_queries, track_queries
 
-_modules = (catalog_queries, row_queries, text_queries, scoring_queries, rule_queries, report_queries, record_queries, signal_queries, track_queries, model_queries, set_queries)
+_modules = (catalog_queries, row_queries, text_queries, scoring_queries, rule_queries, report_queries, record_queries, signal_queries, track_queries, classifier_queries, model_queries, set_queries)
 
 
 def _shipped(f):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dot, sha1_mod100, split_of
-from ..operators.aggregates import exact_quantiles  # noqa: I001
+from ..operators.aggregates import exact_quantiles, prefix_sums  # noqa: I001
 from ..operators import joins as J
 from ..operators import sampling as S
 from ..operators import windows as W
@@ -252,11 +252,6 @@ def length_cue(spark, d):
 @query(f"""SELECT lang, threshold FROM (SELECT lang, n_chars AS threshold, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM {OBSERVATIONS} WHERE quality = 0) WHERE r = least(floor(0.05 * n)::BIGINT + 1, n)""")
 def fp_ceiling_threshold(spark, d):
     """The highest score above which at most 5 % of the negatives lie: their counts by score, summed from the top."""
-    from pyspark.sql import Window
-
     neg = observations(spark, d).where("quality = 0").groupBy("lang", F.col("n_chars").alias("threshold")).agg(F.count(F.lit(1)).alias("c"))
-    n = F.sum("c").over(Window.partitionBy("lang"))
-    up = F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("threshold")))
-    want = F.least(F.floor(0.05 * n) + 1, n)
-    reached = neg.withColumn("ok", up >= want)
-    return reached.where("ok").groupBy("lang").agg(F.max("threshold").alias("threshold"))
+    up = prefix_sums(neg, ["lang"], "threshold", ["c"], descending=True)
+    return up.where(F.col("c_to") >= F.least(F.floor(0.05 * F.col("c_all")) + 1, F.col("c_all"))).groupBy("lang").agg(F.max("threshold").alias("threshold"))
