@@ -48,7 +48,6 @@ _FRONT = "eiœyæEIŒY"
 _ROUND = "oœuyOŒUY"
 _C = "pbtdkɡCJfvszʃʒhmnlɾjcɟɲŋɫβWPTKQR"
 _VOICELESS = "ptkcCfsʃhPTKQ"
-_NEAR = f"[{_C}]{{0,8}}"
 
 
 def _sub(c: Column, pattern: str, by: str) -> Column:
@@ -79,11 +78,11 @@ def soft_g(x: Column, proper: Column) -> Column:
 
 def _soften(x: Column) -> Column:
     x = _sub(x, f"^([{_C}]*)ğ+", "$1")  # no vowel before it
-    x = _sub(x, f"(?<=[{_FRONT}]{_NEAR})ğ(?=[{_FRONT}])", "j")
+    x = _sub(x, f"([{_FRONT}][{_C}]*)ğ(?=[{_FRONT}])", "$1j")
     x = _sub(x, f"ğ(?=[{_V}])", "")
-    x = _sub(x, f"(?<=e{_NEAR})ğ", "j")
+    x = _sub(x, f"(e[{_C}]*)ğ", "$1j")
     for short, long in zip("aiɯoœuy", "AIƜOŒUY", strict=True):
-        x = _sub(x, f"{short}({_NEAR})ğ", f"{long}$1")
+        x = _sub(x, f"{short}([{_C}]*)ğ", f"{long}$1")
     return F.replace(x, F.lit("ğ"))
 
 
@@ -102,13 +101,13 @@ def _then(x: Column, *steps) -> Column:
 def _palatal(x: Column) -> Column:
     for plain, palatal in (("k", "c"), ("ɡ", "ɟ")):
         x = _sub(x, f"{plain}(?=[{_C}]*[{_FRONT}])", palatal)  # in the onset of a front syllable
-        x = _sub(x, f"(?<=[{_FRONT}]{_NEAR})(?<!n){plain}(?=\\.?[lɫɾ]|$)", palatal)  # in its coda, finally or before a liquid
+        x = _sub(x, f"([{_FRONT}]|\\G(?!^))([{_C}]*?)(?<!n){plain}(?=\\.?[lɫɾ]|$)", f"$1$2{palatal}")  # in its coda, however long, finally or before a liquid
     return x
 
 
 def _liquid(x: Column) -> Column:
     dark = F.translate(x, "l", "ɫ")
-    return _sub(_sub(dark, f"ɫ(?=[{_C}.]*[{_FRONT}])", "l"), f"(?<=[{_FRONT}][{_C}.]{{0,8}})ɫ", "l")
+    return _sub(_sub(dark, f"ɫ(?=[{_C}.]*[{_FRONT}])", "l"), f"([{_FRONT}]|\\G(?!^))([{_C}.]*?)ɫ", "$1$2l")
 
 
 def _labial(x: Column) -> Column:
@@ -344,7 +343,8 @@ def pronounce(df: DataFrame, word: str, lexicon: DataFrame | None = None, morpho
     ruled = rules(start, F.col("_low"), proper | named, F.coalesce("_e.type", F.lit("")), stress, pedagogical)
     source = F.when(F.col("_w") == "", "empty").when(said.isNotNull(), "reference").when(known, "exception").when(is_acronym(F.col("_w")), "acronym").otherwise("rules")
     out = rows.select(word, source.alias("source"), F.when(said.isNull(), F.col("_e.type")).alias("type"), F.coalesce(said, ruled).alias("coded"))
-    once = F.regexp_replace("coded", f"(?<={STRESS}.{{0,200}}){STRESS}", "")
+    first = F.instr("coded", STRESS)
+    once = F.concat(F.left("coded", first), F.replace(F.substr("coded", first + 1), F.lit(STRESS)))
     return out.withColumn("ipa", spelled(once))
 
 

@@ -29,12 +29,12 @@ def bare(c: Column) -> Column:
 
 def plain_word(c: Column) -> Column:
     """Lower case without punctuation but apostrophes."""
-    return turkish_lower(F.regexp_replace(c, r"[^\w\s'’]", ""))
+    return turkish_lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s'’]", ""))
 
 
 def edged_word(c: Column) -> Column:
     """Lower case without what is no letter, digit or underscore at either end, and without apostrophes."""
-    return F.replace(turkish_lower(F.regexp_replace(c, r"^[^0-9\p{L}_]+|[^0-9\p{L}_]+$", "")), F.lit("'"), F.lit(""))
+    return F.replace(turkish_lower(F.regexp_replace(c, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")), F.lit("'"), F.lit(""))
 
 
 def path_parts(c: Column) -> Column:

@@ -143,6 +143,18 @@ def calibrate_pairs(df: DataFrame, target: str, other: str, margin: str, observe
     return out.withColumn("override", (F.col("median_margin") >= min_margin) & (F.col("fp_rate") <= max_fp))
 
 
+def calibrate_fixed(df: DataFrame, fixed: DataFrame, target: str, other: str, margin: str, observed: str, min_samples: int, min_margin: float, max_fp: float) -> DataFrame:
+    """Calibration within a fixed list of contrasts (a small table): each is in the result and counts as reliable; one with
+    fewer rows than min_samples has no margin, no false positives and no override."""
+    keys = [target, other]
+    rows = df.join(F.broadcast(fixed), keys, "left_semi")
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = calibrate_pairs(rows, target, other, margin, observed, min_samples, min_margin, max_fp).drop("n")
+    out = fixed.join(n, keys, "left").join(found, keys, "left")
+    no = F.lit(False)
+    return out.select(*keys, F.coalesce("_n", F.lit(0).cast("long")).alias("n"), "median_margin", F.coalesce("fp_rate", F.lit(0.0)).alias("fp_rate"), "cross_confusion", F.coalesce("override", no).alias("override"), F.coalesce(F.col("median_margin") >= min_margin, no).alias("separable"), F.lit(True).alias("reliable"))
+
+
 def weighted_mean(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     return df.groupBy(by).agg(rate_or_null(exact_sum(F.col(value) * F.col(weight)), exact_sum(F.col(weight))).alias("weighted_mean"))
 

@@ -16,6 +16,11 @@ def pending(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def insert_or_ignore(there: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that are there, and those of more whose keys aren't there yet, one for each key; doing it again adds nothing."""
+    return there.unionByName(pending(more.dropDuplicates(keys), there, keys))
+
+
 def overlay(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """Rows of patch replace those of base with the same key; new keys are added; `origin` tells."""
     values = [c for c in base.columns if c != key]

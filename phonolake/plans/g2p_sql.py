@@ -33,7 +33,7 @@ _DOT = (
     f"OR x[i] IN {_one_of(_STOPS)} AND x[i + 1] = 'ɾ' AND x[i + 2] IN {_one_of(_V)})"
 )
 _DOTTED = f"array_to_string(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i > 1 AND {_DOT} THEN '.' ELSE '' END || x[i]), '')"
-_NEAR = f"[{_C}]{{0,8}}"
+_NEAR = f"[{_C}]*"
 
 
 def _palatal(plain: str, palatal: str) -> list[str]:
@@ -43,17 +43,27 @@ def _palatal(plain: str, palatal: str) -> list[str]:
     ]
 
 
+_PROPER = "upper(word[1]) = word[1] AND lower(word[1]) <> word[1]"
+_SOFT_G = [
+    f"CASE WHEN {_PROPER} THEN {_each([('ğ', f'[{_C}]', '', '', 'ɡ')])} ELSE x END",
+    f"regexp_replace(x, '^([{_C}]*)ğ+', '\\1')",
+    _each([("ğ", f"[{_FRONT}]{_NEAR}", f"[{_FRONT}]", "", "j")]),
+    _each([("ğ", "", f"[{_V}]", "", "")]),
+    _each([("ğ", f"e{_NEAR}", "", "", "j")]),
+    *[f"regexp_replace(x, '{short}([{_C}]*)ğ', '{long}\\1', 'g')" for short, long in zip("aiɯoœuy", "AIƜOŒUY", strict=True)],
+    "replace(x, 'ğ', '')",
+]
 _CLOSED, _THIN, _FIRST = (sql_list(x) for x in (g2p.CLOSED_E, g2p.THIN_L, g2p.FIRST_STRESSED))
 #: The steps by name, each a chain of expressions over x.
 STEPS: list[tuple[str, list[str]]] = [
-    ("soft_g", [_DOTTED]),  # without a soft g (no text that is given has one) syllables are all that this step makes
+    ("soft_g", [*_SOFT_G, _DOTTED]),
     ("palatalization", [*_palatal("k", "c"), *_palatal("ɡ", "ɟ")]),
     (
         "l_allophony",
         [
             f"CASE WHEN (low IN {_THIN} OR kind = 'thin_l') THEN translate(x, 'ɫ', 'l') ELSE translate(x, 'l', 'ɫ') END",
             f"CASE WHEN (low IN {_THIN} OR kind = 'thin_l') THEN x ELSE {_each([('ɫ', '', f'[{_C}.]*[{_FRONT}]', '', 'l')])} END",
-            f"CASE WHEN (low IN {_THIN} OR kind = 'thin_l') THEN x ELSE {_each([('ɫ', f'[{_FRONT}][{_C}.]{{0,8}}', '', '', 'l')])} END",
+            f"CASE WHEN (low IN {_THIN} OR kind = 'thin_l') THEN x ELSE {_each([('ɫ', f'[{_FRONT}][{_C}.]*', '', '', 'l')])} END",
         ],
     ),
     (

@@ -134,10 +134,10 @@ def nfc_texts(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", N.nfc(N.bare(F.col("text"))).alias("clean"))
 
 
-@query("""SELECT word, lower(translate(regexp_replace(word, '[^\\w\\s''’]', '', 'g'), 'Iİ', 'ıi')) AS plain, replace(lower(translate(regexp_replace(word, '^[^0-9A-Za-z_À-ÿ]+|[^0-9A-Za-z_À-ÿ]+$', '', 'g'), 'Iİ', 'ıi')), '''', '') AS edged FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) WHERE regexp_matches(word, '^[ -~]*$') AND word <> ''""")
+@query("""SELECT word, lower(translate(regexp_replace(word, '[^\\p{L}\\p{N}_\\s''’]', '', 'g'), 'Iİ', 'ıi')) AS plain, replace(lower(translate(regexp_replace(word, '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g'), 'Iİ', 'ıi')), '''', '') AS edged FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> ''""")
 def normalized_words(spark, d):
-    """Two normal forms of every word of plain characters."""
-    w = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct().where(F.col("word").rlike("^[ -~]*$") & (F.col("word") != ""))
+    """Two normal forms of every word."""
+    w = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct().where(F.col("word") != "")
     return w.select("word", N.plain_word(F.col("word")).alias("plain"), N.edged_word(F.col("word")).alias("edged"))
 
 
@@ -181,22 +181,25 @@ def gapless_tiers(spark, d):
     return files.filled_intervals(rows, "segment", "s", "e", "l", "d")
 
 
-@query("""SELECT role, coalesce(e, 'none') AS error, count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT role, CASE WHEN try_cast(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) IS NULL THEN CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' ELSE 'no_number' END END AS e, try_cast(regexp_extract(text, '([0-9]{1,6})', 1) AS BIGINT) AS v FROM (SELECT role, text FROM conversations)) GROUP BY 1, 2""")
+@query("""SELECT role, coalesce(e, 'none') AS error, count(*) AS n, sum(v)::VARCHAR AS total FROM (SELECT role, try_cast(x AS BIGINT) AS v, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN x = '' THEN 'no_number' WHEN try_cast(x AS BIGINT) IS NULL THEN 'overflow' END AS e FROM (SELECT role, text, regexp_extract(text || repeat('9', CASE WHEN turn % 5 = 0 THEN 12 ELSE 0 END), '[0-9]+') AS x FROM conversations)) GROUP BY 1, 2""")
 def isolated_errors(spark, d):
-    """Numbers read from texts; what fails is counted by reason and stops nothing."""
+    """Numbers read from texts, all their digits; what fails, one that is too large included, is counted by reason and stops nothing.
+    Every fifth turn has a dozen nines appended, so that some are."""
     text = F.col("text")
-    number = F.nullif(F.regexp_extract(text, "([0-9]{1,6})", 1), F.lit("")).cast("long")
-    why = F.when(text.isNull() | (F.trim(text) == ""), "empty").otherwise("no_number")
-    rows = table(spark, d, "conversations").select("role", files.isolated(number, number.isNotNull(), why).alias("x"))
-    return rows.groupBy("role", F.coalesce("x.error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.value").alias("total"))
+    digits = F.regexp_extract(F.concat(text, F.when(F.col("turn") % 5 == 0, "9" * 12).otherwise("")), "([0-9]+)", 1)
+    number = digits.try_cast("long")
+    why = F.when(text.isNull() | (F.trim(text) == ""), "empty").when(digits == "", "no_number").otherwise("overflow")
+    rows = table(spark, d, "conversations").select("role", files.isolated(number, number.isNotNull() & (F.trim(text) != ""), why).alias("x"))
+    total = F.sum(F.col("x.value").cast("decimal(38,0)")).cast("string")
+    return rows.groupBy("role", F.coalesce("x.error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"), total.alias("total"))
 
 
-@query("""SELECT source, lang, count(*) AS n FROM (SELECT DISTINCT source, lang, doc_id FROM (SELECT source, lang, doc_id FROM documents UNION ALL SELECT source, lang, doc_id FROM documents WHERE doc_id % 4 = 0)) GROUP BY 1, 2""")
+@query("""SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 0 GROUP BY 1, 2""")
 def insert_or_ignore(spark, d):
-    """Rows appended but those whose key is there already; a second run appends nothing."""
+    """Rows appended but those whose key is there already, or comes twice: of the appended ones (some of them twice) a third is new."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    new = J.pending(docs.where("doc_id % 4 = 0"), docs, ["doc_id"])
-    return docs.unionByName(new).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    there, more = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 4 = 0")
+    return J.insert_or_ignore(there, more.unionByName(docs.where("doc_id % 8 = 0")), ["doc_id"]).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT user_id AS speaker, {_BUCKET} AS b FROM events), p AS (SELECT speaker, CASE WHEN b < 90 THEN 'train' WHEN b < 95 THEN 'dev' ELSE 'test' END AS a, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS c FROM s)

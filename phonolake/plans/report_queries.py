@@ -66,26 +66,26 @@ def phone_class_rates(spark, d):
     return per.select("*", share("native_flagged", "native_total").alias("hard_fp_rate"), share("err_caught", "err_intended").alias("detection_rate"))
 
 
-#: Speech-like frames: each vector's first 12 values as scores of 12 tokens; ten vectors are an utterance of 20 ms frames.
-_TOKENS = [*P.SHORT, "p", "t", "k", "s"]
-_FRAMES = f"""(SELECT vec_id // 10 AS utterance, vec_id % 10 * 20 AS s, vec_id % 10 * 20 + 20 AS e, label, {list(_TOKENS)}[i] AS token, embedding[i]::DOUBLE * 10 AS x FROM embeddings, range(1, 13) t(i))"""
+#: Speech-like frames: each vector's values as scores of as many tokens; ten vectors are an utterance of 20 ms frames.
+_TOKENS = [*P.PHONES, *(f"x{i}" for i in range(64 - len(P.PHONES)))]
+_FRAMES = f"""(SELECT vec_id // 10 AS utterance, vec_id % 10 * 20 AS s, vec_id % 10 * 20 + 20 AS e, label, {list(_TOKENS)}[i] AS token, embedding[i]::DOUBLE * 10 AS x FROM embeddings, range(1, 65) t(i))"""
 
 
 def frames(spark, d):
     e = table(spark, d, "embeddings")
-    long = e.select(F.floor(F.col("vec_id") / 10).alias("utterance"), (F.col("vec_id") % 10 * 20).alias("s"), (F.col("vec_id") % 10 * 20 + 20).alias("e"), "label", F.posexplode(F.slice("embedding", 1, 12)).alias("i", "x"))
+    long = e.select(F.floor(F.col("vec_id") / 10).alias("utterance"), (F.col("vec_id") % 10 * 20).alias("s"), (F.col("vec_id") % 10 * 20 + 20).alias("e"), "label", F.posexplode("embedding").alias("i", "x"))
     return long.select("utterance", "s", "e", "label", F.element_at(F.array(*map(F.lit, _TOKENS)), F.col("i") + 1).alias("token"), (F.col("x").cast("double") * 10).alias("x"))
 
 
 _LOGP = f"(SELECT *, x - m - ln(sum(exp(x - m)) OVER (PARTITION BY utterance, s)) AS logp FROM (SELECT *, max(x) OVER (PARTITION BY utterance, s) AS m FROM {_FRAMES}))"
 #: Spans of an utterance: three phones of 70 ms each.
-_SPANS = f"(SELECT u AS utterance, j AS span, j * 70 - 10 AS a, j * 70 + 60 AS b, {list(_TOKENS)}[(u + j) % 12 + 1] AS target FROM (SELECT DISTINCT vec_id // 10 AS u FROM embeddings), range(0, 3) t(j))"
+_SPANS = f"(SELECT u AS utterance, j AS span, j * 70 - 10 AS a, j * 70 + 60 AS b, {list(_TOKENS)}[(u + j) % 64 + 1] AS target FROM (SELECT DISTINCT vec_id // 10 AS u FROM embeddings), range(0, 3) t(j))"
 
 
 def spans(spark, d):
     u = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("utterance")).distinct()
     j = u.select("utterance", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("span"))
-    target = F.element_at(F.array(*map(F.lit, _TOKENS)), ((F.col("utterance") + F.col("span")) % 12 + 1).cast("int"))
+    target = F.element_at(F.array(*map(F.lit, _TOKENS)), ((F.col("utterance") + F.col("span")) % 64 + 1).cast("int"))
     return j.select("utterance", "span", (F.col("span") * 70 - 10).alias("a"), (F.col("span") * 70 + 60).alias("b"), target.alias("target"))
 
 

@@ -221,10 +221,10 @@ def diagonal_mahalanobis(spark, d):
     return long.join(model, ["label", "dim"]).groupBy("vec_id").agg(F.round(F.sum(z), 6).alias("distance"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE * 10) AS v FROM embeddings), m AS (SELECT *, list_max(v) AS mx FROM e)
-SELECT vec_id, round(v[label + 1] - mx - ln(list_sum(list_transform(v, lambda x: exp(x - mx)))), 6) AS log_prob, round(1 / (1 + exp(-(v[label + 1] - list_max(list_transform(range(1, 11), lambda i: CASE WHEN i = label + 1 THEN -1e300 ELSE v[i] END)) + 1))), 6) AS gop FROM m""")
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * 10) AS v FROM embeddings), m AS (SELECT *, list_max(v) AS mx FROM e)
+SELECT vec_id, round(v[label + 1] - mx - ln(list_sum(list_transform(v, lambda x: exp(x - mx)))), 6) AS log_prob, round(1 / (1 + exp(-(v[label + 1] - list_max(list_transform(range(1, 65), lambda i: CASE WHEN i = label + 1 THEN -1e300 ELSE v[i] END)) + 1))), 6) AS gop FROM m""")
 def log_softmax_gop(spark, d):
-    v = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
+    v = F.transform("embedding", lambda x: x.cast("double") * 10)
     e = table(spark, d, "embeddings").select("vec_id", "label", v.alias("v")).withColumn("mx", F.array_max("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("mx")))
     own = F.element_at("v", F.col("label") + 1)
@@ -232,10 +232,10 @@ def log_softmax_gop(spark, d):
     return e.select("vec_id", F.round(own - F.col("mx") - F.log(total), 6).alias("log_prob"), F.round(1 / (1 + F.exp(-(own - rest + 1))), 6).alias("gop"))
 
 
-@query("""SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * (CASE WHEN i % 2 = 1 THEN 0.5 ELSE -0.25 END))) - 0.01, 6) AS margin FROM embeddings""")
+@query("""SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * (CASE WHEN i % 2 = 1 THEN 0.5 ELSE -0.25 END))) - 0.01, 6) AS margin FROM embeddings""")
 def linear_detector(spark, d):
-    weights = F.array(*[F.lit(0.5 if i % 2 == 0 else -0.25) for i in range(8)])
-    return table(spark, d, "embeddings").select("vec_id", F.round(dot(F.slice("embedding", 1, 8), weights) - 0.01, 6).alias("margin"))
+    weights = F.array(*[F.lit(0.5 if i % 2 == 0 else -0.25) for i in range(64)])
+    return table(spark, d, "embeddings").select("vec_id", F.round(dot(F.col("embedding"), weights) - 0.01, 6).alias("margin"))
 
 
 @query(f"""WITH s AS (SELECT phone, quantile_cont(duration_ms, 0.5) AS m, (quantile_cont(duration_ms, 0.75) - quantile_cont(duration_ms, 0.25)) / 1.349 AS sc FROM {PHONE_EVENTS} GROUP BY phone), z AS (SELECT event_id, CASE WHEN sc > 0 THEN (duration_ms - m) / sc END AS z FROM {PHONE_EVENTS} JOIN s USING (phone))

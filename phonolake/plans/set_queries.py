@@ -123,12 +123,12 @@ def clamped_values(spark, d):
     return rows.select("id", F.bround((F.col("a") + F.col("b")) / 2.0).cast("long").alias("middle_ms"), F.bround(F.col("a") * 16_000 / 1000.0).cast("long").alias("first_sample"), F.when(finite, F.least(F.greatest("v", F.lit(0.0)), F.lit(1.0))).alias("clamped"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_sum(list_transform(range(1, 9), lambda i: (embedding[i]::DOUBLE - 0.01) / 0.5 * (CASE WHEN i % 2 = 1 THEN 0.5 ELSE -0.25 END))) - 0.02 AS margin, list_filter([CASE WHEN label % 2 = 1 THEN 'no_detector' END, CASE WHEN abs(embedding[1]) > 0.15 THEN 'feature_out_of_range' END, CASE WHEN vec_id % 7 = 0 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS why FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, label, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - 0.01) / 0.5 * (CASE WHEN i % 2 = 1 THEN 0.5 ELSE -0.25 END))) - 0.02 AS margin, list_filter([CASE WHEN label % 2 = 1 THEN 'no_detector' END, CASE WHEN abs(embedding[1]) > 0.15 THEN 'feature_out_of_range' END, CASE WHEN vec_id % 7 = 0 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS why FROM embeddings)
 SELECT vec_id, CASE WHEN len(why) = 0 THEN round(margin, 6) END AS margin, array_to_string(why, ',') AS reasons, len(why) = 0 AND margin > 0 AS override FROM e""")
 def gated_detector(spark, d):
     """A linear detector that says why it doesn't speak."""
-    weights = F.array(*[F.lit(0.5 if i % 2 == 0 else -0.25) for i in range(8)])
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: (v.cast("double") - 0.01) / 0.5)
+    weights = F.array(*[F.lit(0.5 if i % 2 == 0 else -0.25) for i in range(64)])
+    x = F.transform("embedding", lambda v: (v.cast("double") - 0.01) / 0.5)
     why = F.array_compact(F.array(F.when(F.col("label") % 2 == 1, "no_detector"), F.when(F.abs(F.col("embedding")[0]) > 0.15, "feature_out_of_range"), F.when(F.col("vec_id") % 7 == 0, "low_confidence")))
     e = table(spark, d, "embeddings").select("vec_id", (dot(x, weights) - 0.02).alias("m"), why.alias("why"))
     free = F.size("why") == 0
