@@ -54,6 +54,11 @@ def rate_or_zero(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def error_rate(edits: Column, ref_len: Column) -> Column:
+    """Edits by length of the reference; an empty reference is right (0) if nothing was to edit, else wrong (1)."""
+    return F.when(ref_len > 0, edits / ref_len).when(edits == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+
+
 def rate_or_null(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole)
 

@@ -297,6 +297,21 @@ def parse_ipa(text: Column) -> Column:
     return F.struct(F.transform(F.filter(rows, lambda r: r["p"].isNotNull()), lambda r: r["p"]).alias("phones"), F.transform(unknown, lambda r: r["t"]).alias("unknown"))
 
 
+def phone_tokens(text: Column) -> Column:
+    """Phones written with spaces between them, aliases resolved; null and other symbols are kept out."""
+    table = F.create_map(*[F.lit(x) for kv in ({p: p for p in [*INVENTORY, STRESS, SPACE]} | ALIASES).items() for x in kv])
+    return F.array_compact(F.transform(F.split(F.replace(F.trim(text), F.lit(":"), F.lit("ː")), r"\s+"), lambda t: F.try_element_at(table, t)))
+
+
+def target_phones(target_phones: Column, target_ipa: Column, ipa_detail: Column, phones: Column, ipa: Column) -> Column:
+    """The phones of the first of five columns that isn't blank, read as that column is written: tokens or a transcription."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    out = F.array().cast("array<string>")
+    for c, parse in reversed([(target_phones, phone_tokens), (target_ipa, lambda c: parse_ipa(c)["phones"]), (ipa_detail, lambda c: parse_ipa(c)["phones"]), (phones, phone_tokens), (ipa, lambda c: parse_ipa(c)["phones"])]):
+        out = F.when(~blank(c), parse(c)).otherwise(out)
+    return out
+
+
 def token_policy(tokens: Column) -> Column:
     """warnings, drop_reason: tokens that training text may not have, and the first reason to drop it."""
     n = F.size(tokens)

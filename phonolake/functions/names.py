@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -68,3 +69,25 @@ def speaker_of(provider: Column, segment: Column, path: Column, client: Column,
         who, source = F.when(provider == name, a).otherwise(who), F.when(provider == name, b).otherwise(source)
     known = F.coalesce(provider.isin(list(rules)), F.lit(False))
     return F.struct(F.when(known, who).otherwise(F.concat(F.lit("legacy_unknown_"), short(segment))).alias("speaker_id"), F.when(known, source).otherwise("unknown_provider").alias("speaker_source"))
+
+
+def shard_of(spec: str) -> tuple[list[int], int]:
+    """('2,5/7') the shards from 0, sorted, and how many there are; the spec counts from 1."""
+    found = re.fullmatch(r"(\d+(?:,\d+)*)/(\d+)", spec.strip())
+    if not found:
+        raise ValueError("a shard is N/TOTAL or A,B/TOTAL")
+    total, wanted = int(found[2]), sorted({int(x) for x in found[1].split(",")})
+    if total < 1 or wanted[0] < 1 or wanted[-1] > total:
+        raise ValueError(f"shards go from 1 to {total}: {spec}")
+    return [x - 1 for x in wanted], total
+
+
+def in_shard(id_: Column, spec: str) -> Column:
+    """Whether an id (from 1) is in the shards of a spec."""
+    wanted, total = shard_of(spec)
+    return ((id_ - 1) % total).isin(wanted)
+
+
+def noted_id(notes: Column, key: str = "ref_feature_id") -> Column:
+    """The number that notes give for a key, or null."""
+    return F.nullif(F.regexp_extract(notes, f"{key}=([0-9]+)", 1), F.lit("")).try_cast("long")

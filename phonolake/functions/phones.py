@@ -113,3 +113,28 @@ def quantity_note(phone: Column, after: Column, span: Column, own: Column, short
     to_short = F.when(usable(short), short["median"] + 3.0 * short["scale"]).otherwise(320.0)
     note = F.when((note == "long") & phone.isin(SHORT) & (span < to_long), "expected").when((note == "short") & phone.isin(LONG) & (span > to_short), "expected").otherwise(note)
     return z, note, F.exp(-0.5 * F.pow(z / tau, F.lit(2.0)))
+
+
+# Surface variants and the phones that they are of, besides length and aspiration (fixed values).
+VARIANTS = {"æ": "e", "c": "k", "ɟ": "ɡ", "ɲ": "n", "ŋ": "n", "ɫ": "l", "β": "v", "β̞": "v", "ɾ̞̊": "ɾ"}
+
+
+def phonemic_base(phone: Column) -> Column:
+    """The phone that a variant is of: short, without aspiration, and by the table."""
+    plain = F.regexp_replace(phone, "[ːʰ]$", "")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in VARIANTS.items() for x in kv]), plain), plain)
+
+
+def allophonic(a: Column, b: Column) -> Column:
+    """Whether two phones differ on the surface only; nothing is so to an absent one."""
+    return F.coalesce((a != "") & (b != "") & (a != b) & (phonemic_base(a) == phonemic_base(b)), F.lit(False))
+
+
+def bands(status: Column, expected: Column, observed: Column, score: Column, low: float = 0.30) -> dict[str, Column]:
+    """Named policies of what is flagged: each keeps some incorrect rows, and the missing ones or not."""
+    variant = allophonic(expected, observed)
+    vowels = F.coalesce(expected.isin(VOWELS) & observed.isin(VOWELS), F.lit(False)) & ~variant
+    far = ~variant & F.coalesce(score < low, F.lit(False))
+    wrong, lost = status == "incorrect", status == "missing"
+    keeps = {"baseline": (F.lit(True), True), "allophonic": (~variant, True), "vowel_trust": (vowels, True), "vowel_trust_miss": (vowels, False), "vowel_or_far_cons": (vowels | far, True), "vowel_or_far_cons_miss": (vowels | far, False)}
+    return {name: F.coalesce((wrong & keep) | (lost & F.lit(miss)), F.lit(False)) for name, (keep, miss) in keeps.items()}

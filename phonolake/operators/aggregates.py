@@ -74,6 +74,18 @@ def availability(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     return long.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("n_present"), rate_or_null(F.count("x"), F.count(F.lit(1))).alias("coverage"))
 
 
+def sample_percentiles(df: DataFrame, key: str, features: list[str], order: str, k: int, at: list[float]) -> DataFrame:
+    """key, feature, n, null_rate, n_sample, q: how much of each feature is there, and quantiles of its first k values in an order.
+
+    The k first are taken in each partition before they meet, so a hot key is no more than k rows a partition.
+    """
+    long = df.select(key, order, *[F.col(c).cast("double").alias(c) for c in features]).unpivot([key, order], features, "feature", "x")
+    rate = long.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"), F.avg(F.isnull("x").cast("int")).alias("null_rate"))
+    first = long.where("x IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(key, "feature").orderBy(order))).where(F.col("_r") <= k)
+    q = exact_quantiles(first, [key, "feature"], "x", at).withColumnRenamed("n", "n_sample")
+    return rate.join(q, [key, "feature"], "left").withColumn("n_sample", F.coalesce("n_sample", F.lit(0).cast("long")))
+
+
 def zero_filled_counts(df: DataFrame, inventory: DataFrame, key: str, by: str, example: str, n_examples: int = 3) -> DataFrame:
     """A row for every entry of the inventory: count, a JSON histogram over `by`, and the first example ids."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(example)))

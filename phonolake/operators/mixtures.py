@@ -81,17 +81,18 @@ def _sums(rows: DataFrame, by: str, models: dict) -> dict:
     return out
 
 
-def fit_mixtures(df: DataFrame, by: str, vector: str, most: int = 3, least_rows: int = 30, min_samples: int = 20) -> dict:
+def fit_mixtures(df: DataFrame, by: str, vector: str, most: int = 3, least_rows: int = 30, min_samples: int = 20, robust: DataFrame | None = None) -> dict:
     """{group: components}: of 1 to `most` components (one for every least_rows rows at most) the number of least BIC.
 
     The single component is the robust model. More start apart along the direction in which the group spreads most and
     are fitted by expectation maximisation, all groups in the same passes, up to ROUNDS of them. Groups under
-    min_samples have no model.
+    min_samples have no model. robust: the robust models, where they are known.
     """
     rows = df.where(F.col(vector).isNotNull()).select(by, F.col(vector).cast("array<double>").alias("v"))
-    base = {r[by]: r for r in robust_models(rows, by, "v", min_samples=min_samples).collect()}
+    robust = robust_models(rows, by, "v", min_samples=min_samples) if robust is None else robust
+    base = {r[by]: r for r in robust.limit(MOST_GROUPS + 1).collect()}
     if len(base) > MOST_GROUPS:
-        raise ValueError(f"{len(base)} groups are no inventory")
+        raise ValueError(f"over {MOST_GROUPS} groups are no inventory")
     if not base:
         return {}
     rows = rows.where(F.col(by).isin(list(base)))
@@ -166,18 +167,25 @@ def score(df: DataFrame, models: dict, by: str, vector: str, thresholds: dict, s
         models, limits, classes = shared.value
         names = sorted(models)
         out = pd.DataFrame({"log_density": [None] * len(groups), "typicality": None, "best_match": None, "best_typicality": None, "components": None}, dtype=object)
-        known = [i for i, (g, v) in enumerate(zip(groups, vectors, strict=True)) if v is not None and g in models]
-        if not known:
+        known = np.flatnonzero([v is not None and g in models for g, v in zip(groups, vectors, strict=True)])
+        if not len(known):
             return out
         x = np.stack([np.asarray(vectors.iloc[i], float) for i in known])
         near = np.stack([np.min([c.squared_distance(x) for c in models[g]], axis=0) for g in names])
         limit = np.array([limits[g] for g in names])[:, None]
         fit = np.where(limit > 0, np.exp(-0.5 * np.maximum(near, 0) / np.where(limit > 0, limit, 1) ** 2), 1.0)
-        for j, i in enumerate(known):
-            g = groups.iloc[i]
-            others = [k for k, n in enumerate(names) if n != g and (classes is None or classes.get(n) == classes.get(g))]
-            top = max(others, key=lambda k: (fit[k, j], -k)) if others else None
-            out.iloc[i] = [float(log_density(models[g], x[j : j + 1])[0]), float(fit[names.index(g), j]), None if top is None else names[top], None if top is None else float(fit[top, j]), len(models[g])]
+        own = np.array([names.index(g) for g in groups.iloc[known]])
+        kinds = [None if classes is None else classes.get(n) for n in names]
+        rival = np.array([[a != b and kinds[a] == kinds[b] for b in range(len(names))] for a in range(len(names))])[own]  # rows by groups
+        others = np.where(rival, fit.T, -np.inf)
+        top = others.argmax(1)  # the first of equal ones
+        density = np.empty(len(known))
+        for k in np.unique(own):
+            density[own == k] = log_density(models[names[k]], x[own == k])
+        some, at = rival.any(1), np.arange(len(known))
+        found = {"log_density": density, "typicality": fit[own, at], "best_match": np.where(some, np.array(names, object)[top], None), "best_typicality": np.where(some, others[at, top], None), "components": np.array([len(models[names[k]]) for k in own], object)}
+        for c, v in found.items():
+            out[c] = out[c].mask(np.isin(np.arange(len(out)), known), pd.Series(pd.Series(v, dtype=object).to_numpy(), index=known).reindex(range(len(out))))
         return out
 
     rows = df.withColumn("_s", measure(F.col(by), F.col(vector).cast("array<double>")))

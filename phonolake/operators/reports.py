@@ -74,6 +74,20 @@ def lexicon_checks(word: str, kind: Column, tokens: Column, kinds: list[str], in
     return F.array_compact(F.array(F.when(blank, "empty_word"), F.when(F.col("repeated"), "duplicate_word"), F.when(~kind.isin(kinds), "unknown_type"), F.when(odd, "unknown_token")))
 
 
+def token_diagnostics(ops: DataFrame, shorter: dict[str, str]) -> DataFrame:
+    """Per token of interest: uses, matches, substitutions, deletions, insertions, error rate, and how often it became its shorter
+    form. shorter: the tokens and their shorter forms (an empty one: none). ops: e (op, target, predicted)."""
+    token = F.coalesce("e.target", "e.predicted")  # an insertion is one of what it inserts
+    short = F.create_map(*[F.lit(x) for kv in shorter.items() for x in kv])
+    rows = ops.where(token.isin(list(shorter))).groupBy(token.alias("token"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    op = F.col("e.op")
+    shortened = F.coalesce((op == "substitution") & (F.col("e.predicted") == F.try_element_at(short, "e.target")), F.lit(False))
+    out = rows.agg(n(op != "insertion").alias("ref_count"), n(op == "match").alias("correct"), n(op == "substitution").alias("substituted"), n(op == "deletion").alias("deleted"), n(op == "insertion").alias("inserted"), n(shortened).alias("shortened"))
+    share = lambda c: F.round(rate_or_null(c, F.nullif(F.col("ref_count"), F.lit(0))), 4)
+    return out.withColumns({"error_rate": share(F.col("substituted") + F.col("deleted")), "shortened_rate": share(F.col("shortened"))})
+
+
 def merge_maps(df: DataFrame, entries: str) -> DataFrame:
     """Adds merged: a map of the normalised keys to their greatest values. entries: array of (key, value); null values count as absent."""
     known = F.filter(F.transform(entries, lambda e: F.struct(F.lower(F.trim(e[e_key(df, entries, 0)])).alias("k"), e[e_key(df, entries, 1)].alias("v"))), lambda e: e["v"].isNotNull())

@@ -187,3 +187,13 @@ def side_by_side_counts(spark, d):
 @query(f"""SELECT floor(duration_ms / 25)::BIGINT AS bucket, count(*) AS n, CAST(sum(CAST(duration_ms AS DECIMAL(20,6))) AS DOUBLE) AS total FROM {PHONE_EVENTS} GROUP BY 1""")
 def duration_buckets(spark, d):
     return phone_events(spark, d).groupBy(F.floor(F.col("duration_ms") / 25).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("duration_ms").cast("decimal(20,6)")).cast("double").alias("total"))
+
+
+@query("""WITH r AS (SELECT lang, doc_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars::DOUBLE END AS a, length(source)::DOUBLE AS b, NULL::DOUBLE AS c FROM documents), l AS (SELECT lang, doc_id, unnest(['a', 'b', 'c']) AS feature, unnest([a, b, c]) AS x FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY lang, feature ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, doc_id) AS k FROM l) SELECT lang, feature, count(*) AS n, round(count(CASE WHEN x IS NULL THEN 1 END)::DOUBLE / count(*), 9) AS null_rate, count(CASE WHEN k <= 40 AND x IS NOT NULL THEN 1 END) AS n_sample,
+round(quantile_cont(CASE WHEN k <= 40 THEN x END, 0.05), 6) AS p05, round(quantile_cont(CASE WHEN k <= 40 THEN x END, 0.5), 6) AS p50, round(quantile_cont(CASE WHEN k <= 40 THEN x END, 0.95), 6) AS p95 FROM f GROUP BY 1, 2""")
+def sampled_percentiles(spark, d):
+    """How much of each feature is absent, and percentiles of its first forty values."""
+    docs = table(spark, d, "documents").select("lang", "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("a"), F.length("source").alias("b"), F.lit(None).cast("double").alias("c"))
+    out = A.sample_percentiles(docs, "lang", ["a", "b", "c"], "doc_id", 40, [0.05, 0.5, 0.95])
+    return out.select("lang", "feature", "n", F.round("null_rate", 9).alias("null_rate"), "n_sample", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p05", "p50", "p95"))])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import mixtures as M
 from ..operators.aggregates import exact_quantiles
 from ..operators.scoring import robust_models
+from ..session import cut
 from . import matrix_sql as MX
 from .adapters import INSTANCES, OBSERVATIONS, instances, observations, table
 
@@ -23,8 +24,9 @@ def query(sql: str | None = None):
 
 def _scored(spark, d):
     e = table(spark, d, "embeddings")
-    models = M.fit_mixtures(e, "label", "embedding")
-    limits = {r["label"]: r["threshold"] for r in robust_models(e, "label", "embedding").select("label", "threshold").collect()}  # one row a label
+    robust = cut(robust_models(e, "label", "embedding"), "robust-models")  # one row a label
+    models = M.fit_mixtures(e, "label", "embedding", robust=robust)
+    limits = {r["label"]: r["threshold"] for r in robust.select("label", "threshold").collect()}
     return M.score(e.select("vec_id", "label", "embedding"), models, "label", "embedding", limits, {g: g % 2 for g in models}).drop("embedding")
 
 
@@ -39,7 +41,7 @@ def mixture_assessment(spark, d):
 @query()
 def calibrated_ranks(spark, d):
     """Log densities as ranks in their label's grid of 1,024 quantiles (the grid is compared in quantile_grids)."""
-    scored = _scored(spark, d)
+    scored = cut(_scored(spark, d), "scored")  # used twice
     grid = M.quantile_grid(scored, "label", "log_density")
     return M.ranks_in_grid(scored, grid, "label", "log_density").select("vec_id", "label", F.round("rank", 6).alias("rank"))
 

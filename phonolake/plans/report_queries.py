@@ -9,7 +9,7 @@ from ..functions import phones as P
 from ..functions import sequences
 from ..functions.exprs import rate_or_null
 from ..operators import reports as R
-from ..operators.aggregates import exact_quantiles
+from ..operators.aggregates import exact_quantiles, prefix_sums
 from .adapters import INSTANCES, instances, sql_list, table
 from .rule_queries import _CLASS, _LABEL_PHONE, _STATUS
 from .text_queries import _EDITS, _OPS, _PAIRS, _pairs
@@ -195,9 +195,10 @@ def calibration_margins(spark, d):
 
 @query(f"""SELECT segment, phone, round(p, 6) AS probability FROM (SELECT segment, lower(trim(expected)) AS phone, max(confidence) AS p, row_number() OVER (PARTITION BY segment ORDER BY max(confidence) DESC NULLS LAST, lower(trim(expected))) AS r FROM {INSTANCES} GROUP BY 1, 2) WHERE r = 1""")
 def merged_map_argmax(spark, d):
-    """Token maps merged on normalised keys (the greater value stays), and the key of the greatest value."""
-    merged = R.merge_maps(instances(spark, d).groupBy("segment").agg(F.collect_list(F.struct("expected", F.col("confidence"))).alias("entries")), "entries")
-    return merged.select("segment", R.map_argmax(F.col("merged")).alias("b")).select("segment", F.col("b.token").alias("phone"), F.round("b.value", 6).alias("probability"))
+    """Token maps merged on normalised keys (the greater value stays), and the key of the greatest value: by (segment, key), then by segment."""
+    per = instances(spark, d).groupBy("segment", F.lower(F.trim("expected")).alias("k")).agg(F.max("confidence").alias("v"))
+    best = per.groupBy("segment").agg(F.min(F.struct(F.isnull("v").alias("none"), (-F.col("v")).alias("v"), "k")).alias("b"))
+    return best.select("segment", F.col("b.k").alias("phone"), F.round(-F.col("b.v"), 6).alias("probability"))
 
 
 _RARE = ["œː", "yː", "ɯː", "ʒ"]
@@ -206,9 +207,8 @@ _RARE = ["œː", "yː", "ɯː", "ʒ"]
 @query(f"""WITH s AS (SELECT segment, list(expected ORDER BY start_ms, id) AS p FROM {INSTANCES} GROUP BY 1) SELECT segment, list_has_any(p, {_RARE}) AS has_rare, len(list_filter(p, lambda x: list_contains({_RARE}, x)))::INTEGER AS n_rare, len(list_filter(p, lambda x: NOT list_contains({[*P.SHORT, *P.LONG, *P.CONSONANTS]}, x))) = 0 AS inventory_ok FROM s""")
 def rare_phones(spark, d):
     """Whether a segment has rare phones, how many, and whether all of its phones are in an inventory."""
-    s = instances(spark, d).groupBy("segment").agg(F.collect_list("expected").alias("p"))
-    rare = F.array(*map(F.lit, _RARE))
-    return s.select("segment", F.arrays_overlap("p", rare).alias("has_rare"), F.size(F.filter("p", lambda x: F.array_contains(rare, x))).alias("n_rare"), F.forall("p", lambda x: x.isin([*P.SHORT, *P.LONG, *P.CONSONANTS])).alias("inventory_ok"))
+    rare, known = F.col("expected").isin(_RARE), F.col("expected").isin([*P.SHORT, *P.LONG, *P.CONSONANTS])
+    return instances(spark, d).groupBy("segment").agg(F.bool_or(rare).alias("has_rare"), F.sum(rare.cast("int")).cast("int").alias("n_rare"), F.bool_and(known).alias("inventory_ok"))
 
 
 @query(f"""WITH a AS (SELECT segment, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(20,6))) AS DOUBLE) / count(confidence) AS mc, min(start_ms) AS s, max(end_ms) AS e, string_agg(expected || ':' || (end_ms - start_ms), ' ' ORDER BY start_ms, id) AS phones FROM {INSTANCES} GROUP BY 1) SELECT segment, n::INTEGER AS phone_count, round(mc, 6) AS mean_confidence, s AS start_ms, e AS end_ms, phones FROM a""")
@@ -222,9 +222,21 @@ def alignment_json_round_trip(spark, d):
 x AS (SELECT segment, unnest(range(1, len(tok) + 1)) AS i, tok FROM t) SELECT segment, i AS position, tok[i] AS token, CASE WHEN tok[i] IN ('<spc>', 'ˈ') THEN NULL ELSE len(list_filter(tok[1:i], lambda c: c NOT IN ('<spc>', 'ˈ'))) END AS slot FROM x""")
 def zipped_slots(spark, d):
     """Tokens with markers among them, each but the markers given the next slot of the alignment."""
-    s = instances(spark, d).groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "id", "expected"))), lambda x: x["expected"]).alias("p"))
-    tok = F.flatten(F.transform("p", lambda x, i: F.when((i + 1) % 5 == 0, F.array(F.lit("<spc>"), x)).when((i + 1) % 3 == 0, F.array(F.lit("ˈ"), x)).otherwise(F.array(x))))
-    rows = s.select("segment", F.posexplode(tok).alias("i", "token"))
-    w = Window.partitionBy("segment").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marker = F.col("token").isin("<spc>", "ˈ")
-    return rows.select("segment", (F.col("i") + 1).cast("long").alias("position"), "token", F.when(~marker, F.sum(F.when(marker, 0).otherwise(1)).over(w)).alias("slot"))
+    rows = instances(spark, d).select("segment", F.struct("start_ms", "id").alias("at"), "expected", F.lit(1).alias("one"))
+    rows = prefix_sums(rows, ["segment"], "at", ["one"]).withColumn("i", F.col("one_to"))  # no task holds a segment
+    before = F.floor((F.col("i") - 1) / 5) + F.floor((F.col("i") - 1) / 3) - F.floor((F.col("i") - 1) / 15)  # markers before this phone's own
+    mark = F.when(F.col("i") % 5 == 0, "<spc>").when(F.col("i") % 3 == 0, "ˈ")
+    place = F.col("i") + before
+    own = F.array_compact(F.array(F.when(mark.isNotNull(), F.struct(place.alias("position"), mark.alias("token"), F.lit(None).cast("long").alias("slot"))), F.struct((place + mark.isNotNull().cast("int")).alias("position"), F.col("expected").alias("token"), F.col("i").alias("slot"))))
+    return rows.select("segment", F.explode(own).alias("x")).select("segment", "x.*")
+
+
+_SHORTER = {"the": "a", "of": "in", "to": "", "der": "die", "que": "de"}
+
+
+@query(f"""{_OPS}, m AS (SELECT unnest({list(_SHORTER)}) AS token, unnest({list(_SHORTER.values())}) AS short), x AS (SELECT coalesce(target, predicted) AS token, op, predicted FROM o),
+a AS (SELECT token, count(CASE WHEN op <> 'insertion' THEN 1 END) AS ref_count, count(CASE WHEN op = 'match' THEN 1 END) AS correct, count(CASE WHEN op = 'substitution' THEN 1 END) AS substituted, count(CASE WHEN op = 'deletion' THEN 1 END) AS deleted, count(CASE WHEN op = 'insertion' THEN 1 END) AS inserted, count(CASE WHEN op = 'substitution' AND predicted = short THEN 1 END) AS shortened FROM x JOIN m USING (token) GROUP BY 1)
+SELECT *, round((substituted + deleted)::DOUBLE / nullif(ref_count, 0), 4) AS error_rate, round(shortened::DOUBLE / nullif(ref_count, 0), 4) AS shortened_rate FROM a""")
+def token_diagnostics(spark, d):
+    """What becomes of single tokens, insertions and shorter forms included (as of stress marks and long vowels)."""
+    return R.token_diagnostics(_pairs(spark, d).select("grp", F.explode(sequences.align("r", "h")).alias("e")), _SHORTER)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import phones as P
-from ..functions import phonetics
+from ..functions import g2p, phonetics
+from ..functions import names as N
 from ..functions.exprs import WORD, empty_as, rate_or_null, words
 from ..operators.aggregates import exact_quantiles
 from .adapters import INSTANCES, instances, sql_list, table
@@ -241,3 +242,36 @@ def coach_report(spark, d):
     n = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v)
     mean = F.try_divide(F.sum(F.col("score").cast("decimal(20,9)")).cast("double"), F.count("score"))
     return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *[n(v) for v in ("correct", "incorrect", "missing", "length", "unscored")], F.round(100 * mean, 4).alias("score"))
+
+
+_BASE = "coalesce(list_extract({v}, list_position({k}, regexp_replace({{0}}, '[ːʰ]$', ''))), regexp_replace({{0}}, '[ːʰ]$', ''))".format(v=list(P.VARIANTS.values()), k=list(P.VARIANTS))
+
+
+@query(f"""WITH r AS (SELECT provider, status, confidence AS score, coalesce(expected <> observed AND {_BASE.format("expected")} = {_BASE.format("observed")}, false) AS variant, coalesce(expected IN {sql_list(P.VOWELS)} AND observed IN {sql_list(P.VOWELS)}, false) AS vowels FROM (SELECT provider, status, confidence, expected, CASE WHEN k % 6 = 0 AND status = 'incorrect' THEN {_BASE.format("expected")} ELSE observed END AS observed FROM {INSTANCES})),
+k AS (SELECT *, vowels AND NOT variant AS v, NOT variant AND coalesce(score < 0.3, false) AS far FROM r),
+b AS (SELECT provider, unnest(['baseline', 'allophonic', 'vowel_trust', 'vowel_trust_miss', 'vowel_or_far_cons', 'vowel_or_far_cons_miss']) AS band, unnest([status IN ('incorrect', 'missing'), status = 'incorrect' AND NOT variant OR status = 'missing', status = 'incorrect' AND v OR status = 'missing', status = 'incorrect' AND v, status = 'incorrect' AND (v OR far) OR status = 'missing', status = 'incorrect' AND (v OR far)]) AS hit FROM k)
+SELECT provider, band, count(*) AS n, count(CASE WHEN hit THEN 1 END) AS n_flagged FROM b GROUP BY 1, 2""")
+def safety_bands(spark, d):
+    """What six policies flag, from all that is wrong or missing to vowels only; some observed phones are surface variants."""
+    observed = F.when((F.col("k") % 6 == 0) & (F.col("status") == "incorrect"), P.phonemic_base(F.col("expected"))).otherwise(F.col("observed"))
+    rows = instances(spark, d).withColumn("seen", observed)
+    flags = P.bands(F.col("status"), F.col("expected"), F.col("seen"), F.col("confidence"))
+    per = rows.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("int")).alias(name) for name, c in flags.items()])
+    return per.unpivot(["provider", "n"], list(flags), "band", "n_flagged")
+
+
+@query(f"""WITH r AS (SELECT id, CASE WHEN k % 3 = 0 THEN 'seen; ref_feature_id=' || (id * 7) || ' ok' WHEN k % 3 = 1 THEN 'ref_feature_id=' ELSE 'none' END AS notes FROM {INSTANCES} WHERE (id - 1) % 7 IN (1, 4)) SELECT id, CASE WHEN notes LIKE '%ref_feature_id=_%' THEN id * 7 END AS ref FROM r""")
+def shard_rows(spark, d):
+    """The rows of shards 2 and 5 of 7, and the ids that their notes refer to."""
+    k, id_ = F.col("k"), F.col("id")
+    notes = F.when(k % 3 == 0, F.concat(F.lit("seen; ref_feature_id="), (id_ * 7).cast("string"), F.lit(" ok"))).when(k % 3 == 1, "ref_feature_id=").otherwise("none")
+    return instances(spark, d).where(N.in_shard(id_, "5,2/7")).select("id", N.noted_id(notes).alias("ref"))
+
+
+@query(f"""WITH r AS (SELECT id, id % 6 AS c, expected AS a, coalesce(observed, 'k') AS b FROM {INSTANCES}) SELECT id, CASE WHEN c = 5 THEN '' WHEN c IN (1, 2, 4) THEN a || '-ˈ-' || b ELSE a || '-' || b END AS target FROM r""")
+def first_of_five_targets(spark, d):
+    """Phones from the first of five columns that isn't blank; columns of tokens and of transcriptions are read each in their way."""
+    a, b = F.col("expected"), F.replace(F.coalesce("observed", F.lit("k")), F.lit("ɡ"), F.lit("g"))
+    tokens, ipa = F.concat(F.lit(" "), a, F.lit("  "), b), F.concat(F.lit("/"), a, F.lit(".ˈ"), b, F.lit("/"))
+    c = [F.when(F.col("id") % 6 == i, ipa if i in (1, 2, 4) else tokens).otherwise(F.lit(" ") if i % 2 else F.lit(None)) for i in range(5)]
+    return instances(spark, d).select("id", F.array_join(g2p.target_phones(*c), "-").alias("target"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import g2p, phonetics, sequences
 from ..functions import phones as P
-from ..functions.exprs import WORD, turkish_lower, words
+from ..functions.exprs import WORD, error_rate, turkish_lower, words
 from . import g2p_sql as G
 from .adapters import table
 from .likeness_sql import inventory_sql, likeness_sql
@@ -109,14 +109,15 @@ def token_error_rate(spark, d):
     return out.withColumn("grp", F.coalesce(F.col("grp").cast("string"), F.lit("ALL"))).where("n > 0")
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, *more):
     """User turns with the assistant turn that follows, whole, by one window over the conversation."""
     low = F.transform(words(F.col("text")), lambda w: F.lower(w))
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", low.alias("r"))
     t = t.withColumn("h", F.lead("r").over(w)).withColumn("next", F.lead(F.struct("role", "turn")).over(w))
     t = t.where((F.col("role") == "user") & (F.col("next.role") == "assistant") & (F.col("next.turn") == F.col("turn") + 1))
-    return t.select((F.col("conv_id") % 5).alias("grp"), "r", "h").where((F.size("r") > 0) & (F.size("h") > 0))
+    t = t.withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return t.select((F.col("conv_id") % 5).alias("grp"), "r", "h", *more).where((F.size("r") > 0) & (F.size("h") > 0))
 
 
 @query(f"{_OPS} SELECT grp, op, target, predicted, count(*) AS n FROM o GROUP BY ALL")
@@ -253,3 +254,14 @@ def soft_g_words(spark, d):
     """Every word of the corpus that has a g, with a soft g instead (the corpus has none of its own): the rule in all its places."""
     w = document_words(spark, d).where(F.col("word").rlike("[gG]")).select(F.translate("word", "gG", "ğĞ").alias("word"))
     return g2p.pronounce(w, "word").select("word", "source", "coded")
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, {_EDITS}, x AS (SELECT grp, len(r) AS n, edits, id FROM e UNION ALL SELECT grp, 0, len(h), id FROM p WHERE id % 3 = 0 UNION ALL SELECT grp, 0, 0, id FROM p WHERE id % 7 = 0)
+SELECT grp, count(*) AS n, round(avg(CASE WHEN n > 0 THEN edits / n::DOUBLE WHEN edits = 0 THEN 0.0 ELSE 1.0 END), 9) AS mean_rate, count(CASE WHEN n = 0 THEN 1 END) AS n_empty FROM x GROUP BY 1""")
+def empty_reference_rates(spark, d):
+    """Mean error rates of single pairs, some of them with an empty reference: wrong, unless nothing was said."""
+    p = _pairs(spark, d, "id")
+    some = p.where("id % 3 = 0").withColumn("r", F.array().cast("array<string>"))
+    none = p.where("id % 7 = 0").withColumn("r", F.array().cast("array<string>")).withColumn("h", F.array().cast("array<string>"))
+    rows = p.unionByName(some).unionByName(none).select("grp", F.size("r").alias("n"), sequences.token_edits(F.col("r"), F.col("h")).alias("e"))
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(error_rate(F.col("e"), F.col("n"))), 9).alias("mean_rate"), F.sum((F.col("n") == 0).cast("int")).alias("n_empty"))

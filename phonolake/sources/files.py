@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,31 @@ def append_log(df: DataFrame, path: str, day: str) -> None:
     df.withColumn("day", F.date_format(day, "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
 
 
+def catalogue_audit(spark: SparkSession, tables: dict[str, str], required: dict[str, list[str]]) -> DataFrame:
+    """table, exists, row_count, missing_columns, reasons, decision (reuse or rebuild) of named tables (Parquet folders).
+
+    A table that isn't there, can't be read as Parquet, lacks a required column or has no row must be built again.
+    """
+    rows = []
+    for name, path in tables.items():
+        store = spark._jvm.org.apache.hadoop.fs.Path(path)
+        exists = store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store)
+        count, missing, reasons = None, [], [] if exists else [f"{name}_missing"]
+        if exists:
+            try:
+                df = spark.read.parquet(path)
+                missing = [c for c in required.get(name, []) if c not in df.columns]
+                count = df.count()
+            except AnalysisException:  # no Parquet there; what else fails is raised
+                reasons.append(f"{name}_malformed")
+            if missing:
+                reasons.append(f"{name}_missing_columns")
+            elif count == 0:
+                reasons.append(f"{name}_empty")
+        rows.append((name, exists, count, missing, reasons, "rebuild" if reasons else "reuse"))
+    return spark.createDataFrame(rows, "table string, exists boolean, row_count long, missing_columns array<string>, reasons array<string>, decision string")
+
+
 def check_schema(df: DataFrame, expected: T.StructType) -> list[str]:
     """What a table lacks or types otherwise, as messages; empty if it may be used."""
     have = {f.name: f.dataType for f in df.schema}
