@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,10 @@ def append_log(df: DataFrame, path: str, day: str) -> None:
     df.withColumn("day", F.date_format(day, "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
 
 
+#: Conditions under which Spark can't read a file as what it should be.
+_MALFORMED = ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
+
+
 def catalogue_audit(spark: SparkSession, tables: dict[str, str], required: dict[str, list[str]]) -> DataFrame:
     """table, exists, row_count, missing_columns, reasons, decision (reuse or rebuild) of named tables (Parquet folders).
 
@@ -70,7 +75,9 @@ def catalogue_audit(spark: SparkSession, tables: dict[str, str], required: dict[
                 df = spark.read.parquet(path)
                 missing = [c for c in required.get(name, []) if c not in df.columns]
                 count = df.count()
-            except AnalysisException:  # no Parquet there; what else fails is raised
+            except (PySparkException, Py4JJavaError) as e:
+                if not any(m in str(e) for m in _MALFORMED):  # what passes, or isn't the file's fault, is raised
+                    raise
                 reasons.append(f"{name}_malformed")
             if missing:
                 reasons.append(f"{name}_missing_columns")
