@@ -24,7 +24,7 @@ from .tokens import default_path
 #: Documents that the probabilities are learnt from, at most, about.
 SAMPLE_DOCS = 12_000
 ROUNDS = 3
-#: Words of more letters are summed one by one, with rescaling, and not held; others many at once.
+#: Words of more letters are summed one by one, their segments at once, and not held; others many at once.
 LONGEST = 24
 UNKNOWN = 1e-7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,16 +86,64 @@ class Pieces:
                 if len(w):
                     yield at, to, w, ids
 
-
-    def steps(self, w: str) -> list[list[tuple[int, int]]]:
-        """For each place of a word after the first, (from, piece or -1 for an unknown letter) of the pieces that end there."""
-        find, out = self.known.get, []
-        for to in range(1, len(w) + 1):
-            ends = [(at, k) for at in range(max(0, to - self.longest), to) if (k := find(w[at:to])) is not None]
-            out.append(ends if ends and ends[-1][0] == to - 1 else [*ends, (to - 1, -1)])
+    def lattice(self, w: str) -> np.ndarray:
+        """For each place of a word after the first and each length the piece of that length that ends there: -1 for an
+        unknown letter, NONE where there is no such piece."""
+        c = self.codes([w])[0].astype(np.uint64) + np.uint64(1)
+        out, h = np.full((len(c), min(self.longest, len(c))), NONE, np.int32), np.zeros(len(c), np.uint64)
+        out[:, 0] = -1
+        for size in range(1, out.shape[1] + 1):
+            h = h[: len(c) - size + 1] * _BASE + c[size - 1 :]
+            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            k = np.searchsorted(self.hashes, h[at])
+            k[k == self.n] = 0
+            hit = self.hashes[k] == h[at]
+            out[at[hit] + size - 1, size - 1] = self.ids[k[hit]]
         return out
 
 
+#: No piece, in a lattice.
+NONE = -2
+#: Places of a long word that are summed side by side: so many segments of so many places.
+SEGMENT, SEGMENTS = 24, 2048
+
+
+def log_sums(weight: np.ndarray) -> np.ndarray:
+    """Log of a[0], a[1], ... where a[0] = 1 and a[t] is the sum over sizes of weight[t - 1, size - 1] * a[t - size].
+
+    The last places are a state that every place changes linearly. Segments of places are taken at once: first the change
+    that each makes as a whole, then, one after the other, the states between them, then the places within each from
+    its own state. States are rescaled from segment to segment.
+    """
+    n, size = weight.shape
+    total, state, log = np.zeros(n + 1), np.eye(size)[0], 0.0
+    for begin in range(0, n, SEGMENT * SEGMENTS):
+        some = weight[begin : begin + SEGMENT * SEGMENTS]
+        count = -(-len(some) // SEGMENT)
+        c = np.zeros((count * SEGMENT, size))
+        c[: len(some)], c[len(some) :, 0] = some, 1.0  # what fills up the last segment changes nothing
+        c = c.reshape(count, SEGMENT, size)
+        change = np.broadcast_to(np.eye(size), (count, size, size))
+        for j in range(SEGMENT):
+            change = np.concatenate([np.einsum("sl,slk->sk", c[:, j], change)[:, None], change[:, :-1]], axis=1)
+        states, logs = np.empty((count, size)), np.empty(count)
+        for k in range(count):
+            states[k], logs[k] = state, log
+            state = change[k] @ state
+            top = max(float(state.max()), 1e-300)
+            state, log = state / top, log + np.log(top)
+        inner = np.empty((count, SEGMENT))
+        for j in range(SEGMENT):
+            inner[:, j] = np.einsum("sl,sl->s", c[:, j], states)
+            states = np.concatenate([inner[:, j : j + 1], states[:, :-1]], axis=1)
+        total[begin + 1 : begin + 1 + len(some)] = (np.log(np.maximum(inner, 1e-300)) + logs[:, None]).ravel()[: len(some)]
+    return total
+
+
+def _weights(lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.where(lattice == NONE, 0.0, p[lattice])  # the unknown letter is the last
+
+
 _pieces: dict[str, Pieces] = {}
 
 
@@ -113,39 +161,26 @@ class Model:
 
 
 def forward_long(v: Pieces, w: str, probability: np.ndarray) -> np.ndarray:
-    """Log probability of one word of any length in each language; the sums are rescaled as they go."""
-    a, scale = [np.ones(probability.shape[1])], np.zeros(probability.shape[1])
-    for to, ends in enumerate(v.steps(w), 1):
-        x = sum(a[at - to] * probability[k] for at, k in ends)  # a holds the last places only
-        a = [*a[1 - v.longest :], x]
-        if to % 16 == 0:
-            most = np.maximum(np.max(a, axis=0), 1e-300)
-            a = [y / most for y in a]
-            scale += np.log(most)
-    return np.log(np.maximum(a[-1], 1e-300)) + scale
+    """Log probability of one word of any length in each language."""
+    lattice = v.lattice(w)
+    return np.array([log_sums(_weights(lattice, p))[-1] for p in probability.T])
 
 
 def expected_long(v: Pieces, w: str, n: float, p: np.ndarray) -> Iterator[tuple[int, float]]:
-    """(piece, expected count) in one word of any length that occurs n times, in one language."""
-    steps, size = v.steps(w), len(w)
-    a, b = np.zeros(size + 1), np.zeros(size + 1)
-    up, down = np.zeros(size + 1), np.zeros(size + 1)  # log scales of a and b at each place
-    a[0] = b[size] = 1
-    for to, ends in enumerate(steps, 1):
-        base = up[to - 1]
-        x = sum(a[at] * np.exp(up[at] - base) * p[k] for at, k in ends)
-        a[to], up[to] = 1.0, base + np.log(max(x, 1e-300))
-    after: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
-    for to, ends in enumerate(steps, 1):
-        for at, k in ends:
-            after[at].append((to, k))
-    for at in range(size - 1, -1, -1):
-        base = down[at + 1]
-        x = sum(b[to] * np.exp(down[to] - base) * p[k] for to, k in after[at])
-        b[at], down[at] = 1.0, base + np.log(max(x, 1e-300))
-    for to, ends in enumerate(steps, 1):
-        for at, k in ends:
-            yield k, n * float(np.exp(up[at] + np.log(max(p[k], 1e-300)) + down[to] - up[size]))
+    """(piece, expected count) of the pieces in one word of any length that occurs n times, in one language."""
+    lattice = v.lattice(w)
+    weight, size = _weights(lattice, p), len(w)
+    ahead, mirrored = log_sums(weight), np.zeros_like(weight)
+    for k in range(1, weight.shape[1] + 1):  # from the end back: a piece of size k that ends at t begins at t - k
+        mirrored[k - 1 :, k - 1] = weight[k - 1 :, k - 1][::-1]
+    behind = log_sums(mirrored)[::-1]
+    counts = np.zeros(v.n + 1)
+    for k in range(1, weight.shape[1] + 1):
+        to = np.flatnonzero(weight[:, k - 1] > 0) + 1
+        x = np.exp(ahead[to - k] + np.log(weight[to - 1, k - 1]) + behind[to] - ahead[size])
+        counts += np.bincount(np.where(lattice[to - 1, k - 1] < 0, v.n, lattice[to - 1, k - 1]), weights=n * x, minlength=v.n + 1)
+    found = np.flatnonzero(counts)
+    yield from zip(found.tolist(), counts[found].tolist(), strict=True)
 
 
 def forward(v: Pieces, ws: list[str], probability: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import text_rows
 from .tokens import WORDS, default_path, encoder
@@ -64,13 +65,14 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return which, offset, n
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000, task_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into windows of at most `window` tokens; one row for each piece.
 
     A document's ids are those of its text, then end_id. Overlong documents are first cut into full windows, each a
     sequence of its own; what is left of each document is packed by best-fit decreasing. Every task packs its own
     rows, in blocks of about block_tokens ids, so nothing is shuffled and memory is bounded; a block leaves at most
-    a few windows that are not nearly full. sequence_id is the task's number in the high bits, its count in the
+    a few windows that are not nearly full. So that blocks are full, partitions of few bytes are read together, by
+    about task_bytes of text a task (the bytes are measured first). sequence_id is the task's number in the high bits, its count in the
     low ones.
 
     Null and empty texts are documents of one id (the end); a null doc_id stays null; repeated rows are packed as
@@ -106,4 +108,6 @@ def pack(df: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id
             out, base = rows(held, base)
             yield from (out.iloc[j : j + 2000] for j in range(0, len(out), 2000))
 
-    return text_rows(df, id_col, text_col).mapInPandas(task, PIECES)
+    rows = text_rows(df, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.coalesce(max(1, -(-size // task_bytes))).mapInPandas(task, PIECES)

@@ -7,7 +7,8 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from phonolake.llm import audit, neighbours, periods, queries
+from phonolake.llm import audit, langid, neighbours, packing, periods, queries
+from phonolake.llm.tokens import default_path
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, source string, failed int, part string, runs string, key string, mark int, score double"
@@ -245,3 +246,58 @@ def test_quality_of_labels_held_out(spark, tmp_path):
     model = neighbours.train(table(spark, rows[:0]), spark.createDataFrame([], "doc_id long, quality int"))
     assert [r["score"] for r in neighbours.score(table(spark, rows[:2]), model).collect()] == [0.5, 0.5]
     assert neighbours.score(table(spark, rows[:0]), model).count() == 0
+
+
+def test_many_small_partitions_fill_their_windows(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(1, 400))), "s") for i in range(1500)]
+    got = packing.pack(table(spark, rows).repartition(200)).select("sequence_id", "length").toPandas()
+    full = got["length"].sum() / (got["sequence_id"].nunique() * 2048)
+    assert full >= 0.98
+    few = packing.pack(table(spark, rows[:200]).repartition(40), task_bytes=1 << 16)  # several tasks still
+    assert few.rdd.getNumPartitions() > 1 and few.agg(F.sum("length")).first()[0] == packing.pack(table(spark, rows[:200])).agg(F.sum("length")).first()[0]
+
+
+def plain_sums(v, w, p):
+    """a and b of every place by plain recursion with Python's floats in logs, and the counts of all pieces."""
+    n, ids = len(w), {}
+    for to in range(1, n + 1):
+        for at in range(max(0, to - v.longest), to):
+            k = v.known.get(w[at:to], v.n if at == to - 1 else None)
+            if k is not None:
+                ids[at, to] = k
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0.0
+    for at, to in sorted(ids, key=lambda x: x[1]):
+        a[to] = np.logaddexp(a[to], a[at] + np.log(p[ids[at, to]]))
+    for at, to in sorted(ids, key=lambda x: -x[0]):
+        b[at] = np.logaddexp(b[at], b[to] + np.log(p[ids[at, to]]))
+    counts = np.zeros(v.n + 1)
+    for (at, to), k in ids.items():
+        counts[k] += np.exp(a[at] + np.log(p[k]) + b[to] - a[n])
+    return a[n], counts
+
+
+def test_long_words_are_summed_by_segments(monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENTS", 5)  # several rounds of segments
+    v, rng = langid.pieces(default_path("piece_bpe_32k.model")), random.Random(6)
+    p = np.random.default_rng(2).random((v.n + 1, 2)) ** 3
+    p /= p.sum(0)
+    p[-1] = langid.UNKNOWN
+    for n in (1, 24, 25, 300, 700):
+        w = "▁" + "".join(rng.choice(["the", "ing", "straße", "Ж", "文", "q", "z", "estación"]) for _ in range(n))
+        total, counts = plain_sums(v, w, p[:, 0])
+        got = np.zeros(v.n + 1)
+        for k, x in langid.expected_long(v, w, 3.0, p[:, 0]):
+            got[k] += x
+        assert np.allclose(langid.forward_long(v, w, p)[0], total) and np.allclose(got, 3 * counts, atol=1e-6)
+
+
+def test_texts_without_spaces(spark):
+    """Words of hundreds of thousands of letters, in the texts learnt from and in those that are asked for."""
+    rng = random.Random(1)
+    long = {x: "".join(rng.choice(s) for _ in range(200_000)) for x, s in (("en", ["the", "stone", "and"]), ("de", ["der", "straße", "und"]))}
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(list(long.items()) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(df, langid.train(df)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: lang for i, _, lang in rows}
