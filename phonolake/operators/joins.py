@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import STRETCH, stretches
+
 
 def exists_flag(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
     """Whether the key occurs in the other table. Its keys are made distinct first, so rows are never multiplied."""
@@ -48,15 +50,31 @@ def overlap_best(left: DataFrame, right: DataFrame, on: str, left_span: tuple[st
     return left.join(best, left_id, "left").select(*left.columns, F.col("m.overlap").alias("overlap"), (-F.col("m.v")).alias(value))
 
 
-def nearest_before_after(df: DataFrame, by: str, time: str, order: str, is_probe: Column, payload: str) -> DataFrame:
+def _around(df: DataFrame, by: str, time: str, other: Column, order: tuple[Column, Column], width: int) -> DataFrame:
+    """Adds _b and _a: the last `other` (a struct, null where a row is none) of the rows before each within its key, and
+    the first of those after, in two orders that begin with the time.
+
+    Windows run within stretches of time; what lies beyond a stretch comes from one row for each key and stretch.
+    """
+    rows = stretches(df, by, time, width).withColumn("_o", other).withColumn("_at_b", order[0]).withColumn("_at_a", order[1])
+    has = F.col("_o").isNotNull()
+    ends = rows.groupBy("_k", "_s").agg(F.max_by("_o", F.when(has, F.col("_at_b"))).alias("last"), F.min_by("_o", F.when(has, F.col("_at_a"))).alias("first"))
+    across, within = Window.partitionBy("_k").orderBy("_s"), Window.partitionBy("_k", "_s")
+    back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    ends = ends.select("_k", "_s", F.last("last", True).over(across.rowsBetween(*back)).alias("_eb"), F.first("first", True).over(across.rowsBetween(*ahead)).alias("_ea"))
+    rows = rows.withColumn("_b", F.last("_o", True).over(within.orderBy("_at_b").rowsBetween(*back)))
+    rows = rows.withColumn("_a", F.first("_o", True).over(within.orderBy("_at_a").rowsBetween(*ahead)))
+    return rows.join(ends, ["_k", "_s"]).select(*df.columns, F.coalesce("_b", "_eb").alias("_b"), F.coalesce("_a", "_ea").alias("_a"))
+
+
+def nearest_before_after(df: DataFrame, by: str, time: str, order: str, is_probe: Column, payload: str, width: int = STRETCH) -> DataFrame:
     """For each probe row the nearest other row of its key in time (the earlier one among equals).
 
-    One window in each direction over the union of both kinds, instead of a join of all pairs.
+    One window in each direction over the union of both kinds, within stretches of time, instead of a join of all pairs.
     """
-    back = Window.partitionBy(by).orderBy(time, order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(by).orderBy(time, order).rowsBetween(1, Window.unboundedFollowing)
     other = F.when(~is_probe, F.struct(F.col(time).alias("t"), F.col(payload).alias("p")))
-    rows = df.withColumn("_b", F.last(other, ignorenulls=True).over(back)).withColumn("_a", F.first(other, ignorenulls=True).over(ahead)).where(is_probe)
+    at = F.struct(time, order)
+    rows = _around(df, by, time, other, (at, at), width).where(is_probe)
     db, da = F.col(time) - F.col("_b.t"), F.col("_a.t") - F.col(time)
     before = F.col("_b").isNotNull() & (F.col("_a").isNull() | (db <= da))
     return rows.withColumn("nearest", F.when(before, F.col("_b.p")).otherwise(F.col("_a.p"))).withColumn("distance", F.when(before, db).otherwise(da)).drop("_a", "_b")
@@ -90,7 +108,7 @@ def overlap_first(left: DataFrame, right: DataFrame, on: str, left_id: str, righ
     return left.select(left_id).join(best, left_id, "left").select(left_id, (-F.col("m.id")).alias(right_id), F.col(f"m.{primary}").alias(primary), F.col("m.overlap").alias("overlap"))
 
 
-def nearest_containing(points: DataFrame, intervals: DataFrame, on: str, point_id: str, right_id: str, bin_size: int) -> DataFrame:
+def nearest_containing(points: DataFrame, intervals: DataFrame, on: str, point_id: str, right_id: str, bin_size: int, width: int = STRETCH) -> DataFrame:
     """Each point's interval: of those that contain it the nearest centre, else the nearest centre of all.
 
     Containment is a join by time bins; the nearest centre is looked up by windows over points and centres together. So
@@ -102,11 +120,10 @@ def nearest_containing(points: DataFrame, intervals: DataFrame, on: str, point_i
     inside = _meeting(spots, right, on, bin_size).groupBy(point_id).agg(F.min(F.struct(F.abs(centre - F.col("t")).alias("d"), F.col(right_id).alias("id"))).alias("inside"))
     both = points.select(on, "t", F.col(point_id).alias("_p"), F.lit(None).cast("long").alias("_i")).unionByName(right.select(on, centre.alias("t"), F.lit(None).cast("long").alias("_p"), F.col(right_id).alias("_i")))
     mark = F.when(F.col("_i").isNotNull(), F.struct("t", F.col("_i").alias("id")))
-    back = Window.partitionBy(on).orderBy("t", F.col("_i").isNull(), F.desc("_i")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(on).orderBy("t", F.col("_i").isNotNull(), "_i").rowsBetween(1, Window.unboundedFollowing)
-    near = both.withColumn("b", F.last(mark, True).over(back)).withColumn("a", F.first(mark, True).over(ahead)).where("_p IS NOT NULL")
+    order = F.struct("t", F.col("_i").isNull(), -F.col("_i")), F.struct("t", F.col("_i").isNotNull(), "_i")
+    near = _around(both, on, "t", mark, order, width).where("_p IS NOT NULL")
     side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("d"), F.col(f"{c}.id").alias("id")))
-    near = near.select(F.col("_p").alias(point_id), F.array_min(F.array_compact(F.array(side("b"), side("a")))).alias("near"))
+    near = near.select(F.col("_p").alias(point_id), F.array_min(F.array_compact(F.array(side("_b"), side("_a")))).alias("near"))
     out = points.select(point_id).join(inside, point_id, "left").join(near, point_id, "left")
     best = F.coalesce("inside", "near")
     return out.select(point_id, best["id"].alias(right_id), F.when(best.isNotNull(), F.col("inside").isNotNull()).alias("inside"), best["d"].alias("distance"))

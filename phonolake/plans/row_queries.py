@@ -190,7 +190,7 @@ def longest_run(spark, d):
 def midpoint_bounds(spark, d):
     start = F.floor(F.col("start_us") / 1000)
     e = phone_events(spark, d).select("event_id", "speaker", start.alias("s"), (start + F.col("duration_ms").cast("long")).alias("e"))
-    return W.midpoint_bounds(e, "speaker", "s", "e").select("event_id", "lo", "hi")
+    return W.midpoint_bounds(e, "speaker", "s", "e", W.STRETCH // 1000).select("event_id", "lo", "hi")
 
 
 @query(f"""WITH a AS (SELECT speaker, event_id, duration_ms, k, min(duration_ms) OVER p AS dl, max(duration_ms) OVER p AS dh, min(k) OVER p AS kl, max(k) OVER p AS kh FROM {PHONE_EVENTS} WINDOW p AS (PARTITION BY speaker)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import sha1_mod100
 from ..operators import scoring as S
+from ..operators import windows as W
 from . import matrix_sql as M
 from .adapters import OBSERVATIONS, PHONE_EVENTS, observations, phone_events, table
 from .row_queries import _mod100
@@ -97,16 +98,16 @@ def collapse_tokens(spark, d):
 
 @query(f"SELECT event_id, sum(CASE WHEN phone = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY speaker ORDER BY start_us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS word_index FROM {PHONE_EVENTS}")
 def word_index(spark, d):
-    w = Window.partitionBy("speaker").orderBy("start_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return phone_events(spark, d).select("event_id", F.sum(F.when(F.col("phone") == "view", 1).otherwise(0)).over(w).alias("word_index"))
+    new = F.when(F.col("phone") == "view", 1).otherwise(0)
+    return W.running(phone_events(spark, d), "speaker", ["start_us", "event_id"], new, "word_index").select("event_id", "word_index")
 
 
 @query(f"""SELECT event_id, lo, greatest(hi, lo) AS hi, hi <= lo AS fallback FROM (SELECT event_id, coalesce(lag(e) OVER w, s) AS lo, coalesce(lead(s) OVER w, e) AS hi FROM (SELECT event_id, speaker, start_us // 1000 AS s, start_us // 1000 + CAST(trunc(duration_ms) AS BIGINT) AS e FROM {PHONE_EVENTS}) WINDOW w AS (PARTITION BY speaker ORDER BY s, event_id))""")
 def quantity_spans(spark, d):
     start = F.floor(F.col("start_us") / 1000)
     e = phone_events(spark, d).select("event_id", "speaker", start.alias("s"), (start + F.col("duration_ms").cast("long")).alias("e"))
-    w = Window.partitionBy("speaker").orderBy("s", "event_id")
-    e = e.select("event_id", F.coalesce(F.lag("e").over(w), "s").alias("lo"), F.coalesce(F.lead("s").over(w), "e").alias("hi"))
+    e = W.beside(e, "speaker", ["s", "event_id"], ["s", "e"], W.STRETCH // 1000)
+    e = e.select("event_id", F.coalesce("_prev.e", "s").alias("lo"), F.coalesce("_next.s", "e").alias("hi"))
     return e.select("event_id", "lo", F.greatest("hi", "lo").alias("hi"), (F.col("hi") <= F.col("lo")).alias("fallback"))
 
 
