@@ -20,10 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, hash_sample, hold, text_rows
+from .common import free_names, hash_sample, hold, materialize, scratch, text_rows
 
 #: Labelled documents that dictionaries and calibration are fitted on, at most, about.
 SAMPLE_DOCS = 8_000
+SAMPLE_BYTES = 256 << 20  # of whole texts that the fit holds on the driver
 ORDINARY_BYTES = 65_536
 TOXIC_BYTES = 4_096
 LEVEL = 12
@@ -156,18 +157,30 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool], seed: int = 7
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled documents whose crc32(doc_id as text) mod 5 is not 0: about sample_docs of them, chosen by a hash.
 
-    Where labels of one document conflict, toxic counts.
+    Of these, in the order of the hash, it learns from those whose whole texts fit sample_bytes together; a document that
+    doesn't fit is passed over, and later ones are still tried. Where labels of one document conflict, toxic counts.
     """
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    spark, fold = docs.sparkSession, F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic IS NOT NULL").where(fold % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = hash_sample(known, sample_docs, known.count(), 3)
-    rows = text_rows(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic", (fold % 5 == 1).alias("calibrate")).toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), rows["calibrate"].tolist())
+    with scratch(spark, "toxicity-fit"):
+        rows = materialize(text_rows(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic", (fold % 5 == 1).alias("calibrate")), "sample")
+        sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
+        total, fits, over = 0, [], False
+        for r in sizes.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").collect():  # a row for each document of the sample
+            if total + r["n"] <= sample_bytes:
+                total += r["n"]
+                fits.append((r["doc_id"],))
+            else:
+                over = True
+        if over:
+            rows = rows.join(F.broadcast(spark.createDataFrame(fits, "doc_id long")), "doc_id", "left_semi")
+        sample = rows.toPandas().sort_values(["doc_id", "text"])
+    return fit(sample["text"].tolist(), sample["toxic"].astype(int).tolist(), sample["calibrate"].tolist())
 
 
 _scorers: dict[int, Scorer] = {}

@@ -139,3 +139,18 @@ def test_training_counts_whole_texts(spark):
             p = c / c.sum()
             p[-1] = langid.UNKNOWN
         assert np.allclose(model.probability[:, k], p, rtol=1e-6)
+
+
+def test_the_sample_that_toxicity_is_fitted_on_is_bounded_in_bytes(spark, monkeypatch):
+    got = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, calibrate: got.update(texts=texts))
+    rows = [(i, None if i == 3 else "é" * (5_000 if i == 8 else 20), "a") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    toxicity.train(docs(spark, rows), labels)
+    assert len(got["texts"]) == len(learnt)
+    long_one = zlib.crc32(b"8") % 5 != 0
+    toxicity.train(docs(spark, rows), labels, sample_bytes=9_000)
+    assert long_one and len(got["texts"]) == len(learnt) - 1
+    toxicity.train(docs(spark, rows), labels, sample_bytes=400)
+    assert sum(len((t or "").encode()) for t in got["texts"]) <= 400 and len(got["texts"]) >= 10
