@@ -18,3 +18,13 @@ def test_no_words_of_texts_are_broadcast(spark, tmp_path):
     assert [got[k]["drop_reason"] for k in range(1, 6)] == [None, "empty_text", "empty_text", "no_word_tokens", None]
     assert [got[k]["normalized"] for k in range(1, 6)] == ["elma armut", "", None, "", "elma"]
     assert got[5]["tokens"] == got[1]["tokens"][: got[5]["token_count"]] and got[2]["tokens"] == [] and got[4]["ipa"] is None
+
+
+def test_phone_likeness_transcribes_distinct_words_only(spark, tmp_path):
+    from phonolake.plans import registry
+
+    spark.createDataFrame([(1, "araba a araba"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.QUERIES["phone_likeness"](spark, str(tmp_path))
+    below = plan(out, "optimizedPlan").split("Aggregate [word")[-1].split("\n", 1)[1]
+    assert "regexp_replace" not in below  # under the count of words only what finds them
+    assert sum(r["n"] for r in out.collect()) == 2 * 4
