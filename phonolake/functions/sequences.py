@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,35 +21,62 @@ def token_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(code(ref), code(hyp))
 
 
-EDITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "target", "predicted")]))
+#: Rows of a batch that are taken out of Arrow at a time.
+ROWS = 64
+
 
+def _path(target: list[str], observed: list[str], edit: int, match: int) -> list[tuple[bool, bool]]:
+    """The path of least cost as steps (in the target, in the observed): a diagonal step is tried first, then one in the target.
 
-def _edits(target: list[str], predicted: list[str]) -> list[dict]:
-    n, m = len(target), len(predicted)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[:, 0], d[0] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.minimum(d[i - 1, :-1] + np.array([t != target[i - 1] for t in predicted], np.int32), d[i - 1, 1:] + 1)
-        run = np.concatenate([[d[i, 0]], row]) - np.arange(m + 1)
-        d[i] = np.minimum.accumulate(run) + np.arange(m + 1)  # insertions
-    out, i, j = [], n, m
+    Rows of costs are filled as arrays and dropped; of each cell two bits stay, which steps lead to it.
+    """
+    number: dict = {}
+    t, o = ([number.setdefault(x, len(number)) for x in side] for side in (target, observed))
+    o, slope = np.array(o, np.int64), edit * np.arange(len(observed) + 1, dtype=np.int64)
+    d, diagonal, down = slope, [], []
+    for i, x in enumerate(t, 1):
+        across, below = d[:-1] + np.where(o == x, match, edit), d + edit
+        row = np.concatenate([[edit * i], np.minimum(across, below[1:])])
+        d = np.minimum.accumulate(row - slope) + slope
+        diagonal.append(np.packbits(d[1:] == across))
+        down.append(np.packbits(d == below))
+    out, i, j = [], len(target), len(observed)
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (target[i - 1] != predicted[j - 1]):
-            i, j = i - 1, j - 1
-            out.append({"op": "match" if target[i] == predicted[j] else "substitution", "target": target[i], "predicted": predicted[j]})
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            out.append({"op": "deletion", "target": target[i], "predicted": None})
+        if i and j and diagonal[i - 1][j - 1 >> 3] >> (7 - (j - 1 & 7)) & 1:
+            step = (True, True)
         else:
-            j -= 1
-            out.append({"op": "insertion", "target": None, "predicted": predicted[j]})
+            step = (True, False) if i and down[i - 1][j >> 3] >> (7 - (j & 7)) & 1 else (False, True)
+        i, j = i - step[0], j - step[1]
+        out.append(step)
     return out[::-1]
 
 
-@F.pandas_udf(EDITS)
-def align(target: pd.Series, predicted: pd.Series) -> pd.Series:
+def _steps(targets: pa.Array, observed: pa.Array, edit: int, match: int, fields: tuple[str, str, str], names: tuple[str, str, str, str]) -> pa.Array:
+    """Paths as arrays of (name of the step, target, observed), built a few rows at a time. names: same, other, lost, extra."""
+    same, other, lost, extra = names
+    kind, parts = pa.struct([(f, pa.string()) for f in fields]), []
+    for at in range(0, len(targets), ROWS):
+        columns, ends = ([], [], []), [0]
+        for r, h in zip(targets[at : at + ROWS].to_pylist(), observed[at : at + ROWS].to_pylist(), strict=True):
+            i = j = 0
+            for in_r, in_h in _path(r, h, edit, match):
+                x, y = r[i] if in_r else None, h[j] if in_h else None
+                i, j = i + in_r, j + in_h
+                for c, v in zip(columns, ((same if x == y else other) if in_r and in_h else lost if in_r else extra, x, y), strict=True):
+                    c.append(v)
+            ends.append(len(columns[0]))
+        values = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(kind))
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+
+EDITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "target", "predicted")]))
+
+
+@F.arrow_udf(EDITS)
+def align(target: pa.Array, predicted: pa.Array) -> pa.Array:
     """Edit operations from target to predicted; a diagonal step is tried first, then a deletion, then an insertion."""
-    return pd.Series([_edits(list(t), list(p)) for t, p in zip(target, predicted, strict=True)])
+    return _steps(target, predicted, 1, 0, ("op", "target", "predicted"), ("match", "substitution", "deletion", "insertion"))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -77,35 +105,8 @@ def viterbi(scores: pd.Series, n_targets: pd.Series) -> pd.Series:
 STATUSES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("status", "target", "observed")]))
 
 
-def _statuses(target: list[str], observed: list[str]) -> list[dict]:
-    """The path of least (cost, -matches); among equal ones a diagonal step goes before a missing, a missing before an extra.
-
-    Cost and matches are one number, 2 ** 20 for an edit less 1 for a match, so that a row is filled as an array.
-    """
-    n, m = len(target), len(observed)
-    edit = 1 << 20
-    d = np.zeros((n + 1, m + 1), np.int64)
-    d[:, 0], d[0] = edit * np.arange(n + 1), edit * np.arange(m + 1)
-    same = np.array([[t == o for o in observed] for t in target], bool).reshape(n, m)
-    for i in range(1, n + 1):
-        row = np.minimum(d[i - 1, :-1] + np.where(same[i - 1], -1, edit), d[i - 1, 1:] + edit)
-        run = np.concatenate([[d[i, 0]], row]) - edit * np.arange(m + 1)
-        d[i] = np.minimum.accumulate(run) + edit * np.arange(m + 1)
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (-1 if same[i - 1, j - 1] else edit):
-            i, j = i - 1, j - 1
-            out.append({"status": "correct" if same[i, j] else "incorrect", "target": target[i], "observed": observed[j]})
-        elif i and d[i, j] == d[i - 1, j] + edit:
-            i -= 1
-            out.append({"status": "missing", "target": target[i], "observed": None})
-        else:
-            j -= 1
-            out.append({"status": "extra", "target": None, "observed": observed[j]})
-    return out[::-1]
-
-
-@F.pandas_udf(STATUSES)
-def assess(target: pd.Series, observed: pd.Series) -> pd.Series:
-    """Status of each target and each extra token."""
-    return pd.Series([_statuses(list(t), list(o)) for t, o in zip(target, observed, strict=True)])
+@F.arrow_udf(STATUSES)
+def assess(target: pa.Array, observed: pa.Array) -> pa.Array:
+    """Status of each target and each extra token, on the path of least (cost, -matches); among equal ones a diagonal step goes
+    before a missing, a missing before an extra. Cost and matches are one number, 2 ** 20 for an edit less 1 for a match."""
+    return _steps(target, observed, 1 << 20, -1, ("status", "target", "observed"), ("correct", "incorrect", "missing", "extra"))

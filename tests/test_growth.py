@@ -28,3 +28,22 @@ def test_phone_likeness_transcribes_distinct_words_only(spark, tmp_path):
     below = plan(out, "optimizedPlan").split("Aggregate [word")[-1].split("\n", 1)[1]
     assert "regexp_replace" not in below  # under the count of words only what finds them
     assert sum(r["n"] for r in out.collect()) == 2 * 4
+
+
+def test_alignments_keep_no_rows_of_a_batch_as_objects(spark):
+    """A batch of pairs of turns stays in Arrow: what Python holds besides is a few rows of it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from phonolake.functions import sequences
+
+    r = [[f"w{(i * k) % 97}" for i in range(60)] for k in range(1, 4)] * 200
+    h = [x[5:] + x[:3] for x in r]
+    a, b = pa.array(r), pa.array(h)
+    for f in (sequences.align, sequences.assess):
+        tracemalloc.start()
+        out = f.func(a, b)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [len(x) for x in out] and held < 4e6
