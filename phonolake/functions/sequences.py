@@ -15,10 +15,11 @@ def token_edits(ref: Column, hyp: Column) -> Column:
 
     Characters are those from U+10000 on, of which there are a million; so no two tokens share one.
     """
-    tokens = F.array_distinct(F.concat(ref, hyp))
-    number = lambda t: F.lpad(F.hex(F.array_position(tokens, t) + 0xFFFF), 8, "0")
-    code = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, number), "")), "UTF-32")
-    return F.levenshtein(code(ref), code(hyp))
+    # The tokens are a lambda's argument, so that they are found once a row and not once a token.
+    number = lambda tokens: lambda t: F.lpad(F.hex(F.array_position(tokens, t) + 0xFFFF), 8, "0")
+    code = lambda a, tokens: F.decode(F.unhex(F.array_join(F.transform(a, number(tokens)), "")), "UTF-32")
+    edits = lambda tokens: F.levenshtein(code(ref, tokens), code(hyp, tokens))
+    return F.element_at(F.transform(F.array(F.array_distinct(F.concat(ref, hyp))), edits), 1)
 
 
 #: Rows of a batch that are taken out of Arrow at a time.

@@ -47,3 +47,16 @@ def test_alignments_keep_no_rows_of_a_batch_as_objects(spark):
         held = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert [len(x) for x in out] and held < 4e6
+
+
+def test_empty_reference_rates_reads_the_pairs_once(spark, tmp_path):
+    from phonolake.plans import registry
+
+    turns = [(c, t, ("user", "assistant")[t % 2], "a b c" if t % 2 == 0 else "a b") for c in range(1, 9) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = registry.QUERIES["empty_reference_rates"](spark, str(tmp_path))
+    assert plan(out, "optimizedPlan").count("Relation [") == 1
+    got = {r["grp"]: r for r in out.collect()}
+    ids = [c * 1000 for c in range(1, 9)]
+    assert sum(r["n"] for r in got.values()) == 8 + sum(i % 3 == 0 for i in ids) + sum(i % 7 == 0 for i in ids)
+    assert got[3]["n_empty"] == 1 and abs(got[3]["mean_rate"] - (1 / 3 + 1 + 1 / 3) / 3) < 1e-6
