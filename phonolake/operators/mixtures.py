@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .aggregates import exact_quantiles, prefix_sums
-from .scoring import robust_models, verdict
+from .scoring import robust_models, summed, verdict
 
 #: More groups than this are not an inventory.
 MOST_GROUPS = 2_000
@@ -33,12 +34,11 @@ class Component:
     log_det: float
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        d = x - self.mean
-        return math.log(max(self.weight, 1e-12)) - 0.5 * (np.einsum("ij,jk,ik->i", d, self.precision, d) + self.log_det + x.shape[1] * math.log(2 * math.pi))
+        return math.log(max(self.weight, 1e-12)) - 0.5 * (self.squared_distance(x) + self.log_det + x.shape[1] * math.log(2 * math.pi))
 
     def squared_distance(self, x: np.ndarray) -> np.ndarray:
         d = x - self.mean
-        return np.einsum("ij,jk,ik->i", d, self.precision, d)
+        return ((d @ self.precision) * d).sum(1)
 
 
 def _component(weight: float, mean: np.ndarray, cov: np.ndarray) -> Component:
@@ -52,31 +52,25 @@ def log_density(model: list[Component], x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(parts - top).sum(0))
 
 
-def _sums(rows: DataFrame, by: str, models: dict) -> dict:
-    """One step of expectation: per group and component the weight, the weighted sums of vectors and of their products, and the
-    group's log likelihood. Each task sums its rows; one row a task, group and component is shuffled."""
+def _sums(rows: DataFrame, models: dict[int, dict[int, list[Component]]]) -> dict[tuple[int, int, int], np.ndarray]:
+    """One step of expectation for models of several sizes at once, {size: {group: components}}: per size, group and component
+    the weight, the weighted sums of vectors and of their products, and the group's log likelihood. rows: i, v."""
     shared = rows.sparkSession.sparkContext.broadcast(models)  # as many models as the inventory has groups
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
-        for pdf in batches:
-            for g, part in pdf.groupby(by):
-                x, model = np.stack(part["v"].to_numpy()), shared.value[g]
-                parts = np.stack([c.log_density(x) for c in model])
-                top = parts.max(0)
-                p = np.exp(parts - top)
-                like = float((top + np.log(p.sum(0))).sum())
-                p /= p.sum(0)
-                for k in range(len(model)):
-                    s = np.concatenate([[len(x) if k == 0 else 0, like if k == 0 else 0.0, p[k].sum()], p[k] @ x, ((x * p[k][:, None]).T @ x).ravel()])
-                    total[g, k] = total.get((g, k), 0.0) + s
-        if total:
-            yield pd.DataFrame({by: [g for g, _ in total], "k": [k for _, k in total], "s": list(total.values())})
-
-    parts = rows.mapInPandas(task, f"{by} {dict(rows.dtypes)[by]}, k int, s array<double>")
-    cells = parts.select(by, "k", F.posexplode("s").alias("i", "x")).groupBy(by, "k", "i").agg(F.sum("x").alias("x"))
-    whole = cells.groupBy(by, "k").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    out = {(r[by], r["k"]): np.array([c["x"] for c in r["s"]]) for r in whole.collect()}  # one row a group and component
+    def measure(g: int, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for n, some in shared.value.items():
+            if g not in some:
+                continue
+            parts = np.stack([c.log_density(x) for c in some[g]])
+            top = parts.max(0)
+            p = np.exp(parts - top)
+            like = float((top + np.log(p.sum(0))).sum())
+            p /= p.sum(0)
+            for k in range(n):
+                head = [len(x) if k == 0 else 0, like if k == 0 else 0.0, p[k].sum()]
+                yield n << 16 | k, np.concatenate([head, p[k] @ x, ((x * p[k][:, None]).T @ x).ravel()])
+
+    out = {(at >> 16, g, at & 0xFFFF): s for (g, at), s in summed(rows, measure).items()}
     shared.unpersist()
     return out
 
@@ -95,33 +89,42 @@ def fit_mixtures(df: DataFrame, by: str, vector: str, most: int = 3, least_rows:
         raise ValueError(f"over {MOST_GROUPS} groups are no inventory")
     if not base:
         return {}
-    rows = rows.where(F.col(by).isin(list(base)))
+    names = list(base)
+    numbers = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], StructType([StructField(by, rows.schema[by].dataType), StructField("i", IntegerType())]))
+    rows = rows.join(F.broadcast(numbers), by).select("i", "v")
     one = {}
-    for g, r in base.items():
+    for i, g in enumerate(names):
+        r = base[g]
         c = np.linalg.pinv(np.array(r["precision"]).reshape(len(r["centre"]), -1))
-        one[g] = [_component(1.0, np.array(r["centre"]), (c + c.T) / 2)]
-    best, least = dict(one), {}
-    for (g, k), s in _sums(rows, by, one).items():
-        if k == 0:
-            d = len(one[g][0].mean)
-            least[g] = -2 * s[1] + (d + d * (d + 1) / 2) * math.log(max(s[0], 1))
-    for n in range(2, most + 1):
-        open_ = {g: start_apart(m[0], n) for g, m in one.items() if base[g]["n"] // least_rows >= n}
+        one[i] = [_component(1.0, np.array(r["centre"]), (c + c.T) / 2)]
+    sizes = {n: {i: start_apart(m[0], n) for i, m in one.items() if base[names[i]]["n"] // least_rows >= n} for n in range(2, most + 1)}
+    open_ = {n: some for n, some in sizes.items() if some}  # models of all sizes are fitted in the same passes
+    fitted, likes = dict(open_), {}
+    for round_ in range(max(1, ROUNDS if open_ else 1)):
+        sums = _sums(rows, open_ | ({1: one} if round_ == 0 else {}))
+        if round_ == 0:
+            likes[1] = {i: sums[1, i, 0][1] for i in one}
+            count = {i: sums[1, i, 0][0] for i in one}
+        for n, some in list(open_.items()):
+            like, last = {i: sums[n, i, 0][1] for i in some}, likes.get(n)
+            if last and all(abs(like[i] - last[i]) <= 1e-6 * max(1.0, abs(last[i])) for i in like):
+                del open_[n]
+                continue
+            likes[n] = like
+            fitted[n] = open_[n] = {i: maximise([sums[n, i, k] for k in range(n)]) for i in some}
         if not open_:
             break
-        here, last = rows.where(F.col(by).isin(list(open_))), {}
-        for _ in range(ROUNDS):
-            sums = _sums(here, by, open_)
-            like = {g: sums[g, 0][1] for g in open_}
-            if last and all(abs(like[g] - last[g]) <= 1e-6 * max(1.0, abs(last[g])) for g in like):
-                break
-            last, open_ = like, {g: maximise([sums[g, k] for k in range(n)]) for g in open_}
-        for g, m in open_.items():
+    best, least = dict(one), {}
+    for i, m in one.items():
+        d = len(m[0].mean)
+        least[i] = -2 * likes[1][i] + (d + d * (d + 1) / 2) * math.log(max(count[i], 1))
+    for n, some in fitted.items():
+        for i, m in some.items():
             d = len(m[0].mean)
-            bic = -2 * last[g] + (n * (d + d * (d + 1) / 2) + n - 1) * math.log(max(base[g]["n"], 1))
-            if bic < least[g]:
-                best[g], least[g] = m, bic
-    return best
+            bic = -2 * likes[n][i] + (n * (d + d * (d + 1) / 2) + n - 1) * math.log(max(base[names[i]]["n"], 1))
+            if bic < least[i]:
+                best[i], least[i] = m, bic
+    return {names[i]: m for i, m in best.items()}
 
 
 def start_apart(c: Component, n: int) -> list[Component]:

@@ -60,3 +60,37 @@ def test_empty_reference_rates_reads_the_pairs_once(spark, tmp_path):
     ids = [c * 1000 for c in range(1, 9)]
     assert sum(r["n"] for r in got.values()) == 8 + sum(i % 3 == 0 for i in ids) + sum(i % 7 == 0 for i in ids)
     assert got[3]["n_empty"] == 1 and abs(got[3]["mean_rate"] - (1 / 3 + 1 + 1 / 3) / 3) < 1e-6
+
+
+def test_robust_models_write_no_matrix_with_a_vector(spark, monkeypatch):
+    import numpy as np
+
+    from phonolake.operators import scoring
+
+    x = np.random.default_rng(8).normal(size=(300, 3)).round(1)
+    rows = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "g int, v array<double>")
+    written, cut = [], scoring.cut
+    monkeypatch.setattr(scoring, "cut", lambda df, name: written.append(set(df.columns)) or cut(df, name))
+    sent = sorted(scoring.robust_models(rows, "g", "v").collect())
+    assert written and not any("precision" in c for c in written)
+    monkeypatch.setattr(scoring, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(scoring, "BOUNDS", -1)  # bounds that hold no median: all values are ranked
+    ranked = sorted(scoring.robust_models(rows, "g", "v").collect())
+    monkeypatch.setattr(scoring, "SENT_BYTES", 0)
+    joined = sorted(scoring.robust_models(rows, "g", "v").collect())
+    for other in (ranked, joined):
+        for a, b in zip(sent, other, strict=True):
+            assert a["g"] == b["g"] and a["n"] == b["n"] and all(np.allclose(a[c], b[c]) for c in ("centre", "precision", "threshold"))
+
+
+def test_mixtures_of_all_sizes_share_their_passes(spark, monkeypatch):
+    import numpy as np
+
+    from phonolake.operators import mixtures
+
+    x = np.random.default_rng(9).normal(size=(240, 2))
+    passes, sums = [], mixtures._sums
+    monkeypatch.setattr(mixtures, "_sums", lambda *a: passes.append(1) or sums(*a))
+    monkeypatch.setattr(mixtures, "ROUNDS", 3)
+    assert set(mixtures.fit_mixtures(spark.createDataFrame([("a", v.tolist()) for v in x], "g string, v array<double>"), "g", "v")) == {"a"}
+    assert len(passes) <= 3
