@@ -94,3 +94,16 @@ def test_mixtures_of_all_sizes_share_their_passes(spark, monkeypatch):
     monkeypatch.setattr(mixtures, "ROUNDS", 3)
     assert set(mixtures.fit_mixtures(spark.createDataFrame([("a", v.tolist()) for v in x], "g string, v array<double>"), "g", "v")) == {"a"}
     assert len(passes) <= 3
+
+
+def test_triggers_are_shuffled_without_digests(spark, monkeypatch):
+    """Classes of triggers name their first row by a number: 16 bytes of digest and the id would be most of what is shuffled."""
+    from phonolake.llm import suffixes
+
+    seen, classes = [], suffixes._classes
+    monkeypatch.setattr(suffixes, "_classes", lambda rows, *a: seen.append(rows.columns) or classes(rows, *a))
+    passage = " ".join(f"w{i * 37 % 101}" for i in range(60))
+    texts = [(1, f"one {passage} two"), (2, f"three {passage} four"), (None, "short"), (4, "x" * 150), (4, "x" * 150)]
+    out = suffixes.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), 100).collect()
+    assert "key" not in seen[0] and "doc_id" not in seen[0]
+    assert sorted(bytes(r["kept"]) for r in out) == sorted([b"ontwo", b"threfour", b"short", b"", b""])
