@@ -24,6 +24,8 @@ WORDS = rf"[^{_WS}]+"
 #: A word with at most one space before it, else white space, for byte-level tokenizers that keep it.
 SPACED_WORDS = rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
+#: Units that each of the two generations of an encoder holds, at most, about.
+MAX_UNITS = 400_000
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -38,7 +40,7 @@ class Encoder:
     bounded.
     """
 
-    def __init__(self, path: str, pattern: str, max_units: int = 400_000):
+    def __init__(self, path: str, pattern: str, max_units: int = MAX_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,12 +132,13 @@ class Encoder:
         return out
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """The worker's own encoder, kept from task to task."""
+def encoder(path: str, pattern: str, max_units: int = MAX_UNITS) -> Encoder:
+    """The worker's own encoder, kept from task to task; one that held more units goes."""
     hold("tokens", _encoders.clear)
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    e = _encoders.get((path, pattern))
+    if e is None or e.max_units != max_units:
+        _encoders[path, pattern] = e = Encoder(path, pattern, max_units)
+    return e
 
 
 def default_path(name: str) -> str:

@@ -79,6 +79,20 @@ def test_pack(spark, awkward, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_workers_hold_few_words_and_rows(spark):
+    """The words that a worker remembers are bounded by the caller, to the same pieces; ids leave it a few rows at once."""
+    rows = [(i, " ".join(f"{chr(97 + (i * k) % 26)}{i * k}" for k in range(1, 40))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    few, many = packing.pack(df, window=128, max_units=100), packing.pack(df, window=128)
+    order = ["sequence_id", "offset"]
+    assert few.count() >= 700 and few.sort(order).collect() == many.sort(order).collect()
+    assert "MapInArrow" in few._jdf.queryExecution().executedPlan().toString()
+    e = encoder(default_path("word_bpe_49k.json"), WORDS, 100)
+    e.encode([t for _, t in rows])
+    assert e.max_units == 100 and len(e.older) < 20_000 > len(e.known)
+    assert encoder(default_path("word_bpe_49k.json"), WORDS) is not e
+
+
 def test_records_round_trip(spark, awkward, none, tmp_path):
     folder, index = records.encode_to_folder(awkward)
     placed = records.with_starts(index)
