@@ -16,6 +16,8 @@ from phonolake.session import ship
 PASSAGE_WORDS = 50
 #: Passages are looked for from so many bytes on, which hardly any 51 words fall short of.
 PASSAGE_BYTES = 192
+#: Distinct words that a packing worker remembers, twice so many at most: here it runs beside an executor whose heap earlier stages have filled.
+PACKING_WORDS = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048; one row for each piece of a document."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, max_units=PACKING_WORDS)
 
 
 STAGES = [
